@@ -168,35 +168,11 @@ def attach(
     return df.withColumn("_chunk", chunk_number(order, width)).join(spans, [*keys, "_chunk"], how).drop("_chunk")
 
 
-HOT_ROWS = 4_000_000
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of many rows with one or few rows per key.
 
-
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    salts: int = 64,
-) -> DataFrame:
-    """Equi-join that spreads keys owning more than ``hot_rows`` rows of ``big``.
-
-    The list of hot keys has at most rows/hot_rows entries, a proven bound that
-    makes its broadcast safe.  ``how`` is ``inner`` or ``left``.
+    A key owning a large share of ``big`` is split by adaptive execution: no
+    caller needs the partitioning of the join afterwards, which is the condition
+    for Spark to divide a skewed partition and repeat the small side for it.
     """
-    on = list(on)
-    hot = big.groupBy(*on).count().where(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)
-    left = big.join(hot, on, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts))).otherwise(F.lit(0)),
-    )
-    right = small.join(hot, on, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
-                F.array(F.lit(0).cast("bigint"))
-            )
-        ),
-    )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return big.join(small, list(on), how)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geo
 from strandline.functions.cells import segment_cells
-from strandline.lines import LINE, salted_join, with_neighbours
+from strandline.lines import LINE, attach, lookup_join, with_neighbours
+from strandline.session import cut_lineage
 
 # Fixed values of the crossing test.
 ORIENTATION_EPS = 1e-9
@@ -89,10 +90,13 @@ def self_intersections(
         F.col("next.lon").alias("bx"),
         F.col("next.lat").alias("by"),
     )
+    segs = cut_lineage(segs)  # read four times below
     shapes = segs.groupBy(*keys, *SHAPE).agg(F.min("i").alias("shape"))
     reach = F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by")))
     stats = shapes.groupBy(*keys).agg(
         F.count("*").alias("n"),
+        F.min("shape").alias("lo_shape"),
+        F.max("shape").alias("hi_shape"),
         F.avg(reach).alias("reach"),
         (F.max("ax") - F.min("ax")).alias("w"),
         (F.max("ay") - F.min("ay")).alias("h"),
@@ -102,12 +106,14 @@ def self_intersections(
     cell = F.least(
         F.greatest(PER_CELL * room / (F.col("n") * F.col("reach")), F.col("reach") / 16), F.col("reach") * 4
     )
-    sized = stats.select(*keys, F.greatest(F.coalesce(cell, F.lit(1.0)), F.lit(1e-6)).alias("cell"))
-    with_cell = salted_join(shapes, sized, keys)
+    sized = stats.select(*keys, "lo_shape", "hi_shape", F.greatest(F.coalesce(cell, F.lit(1.0)), F.lit(1e-6)).alias("cell"))
+    with_cell = attach(shapes, sized, keys, order="shape", lo="lo_shape", hi="hi_shape")
     entries = with_cell.withColumn(
         "_c", F.explode(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("cell")))
     ).select(*keys, "shape", *SHAPE, "cell", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
 
+    entries = cut_lineage(entries)
+
     # crowded cells get a finer grid of their own
     load = (
         entries.groupBy(*keys, "cx", "cy")
@@ -115,7 +121,7 @@ def self_intersections(
         .where(F.col("count") > crowded)
         .select(*keys, "cx", "cy", F.least(F.ceil(F.sqrt(F.col("count") / 32)), F.lit(64)).alias("parts"))
     )
-    graded = salted_join(entries, load, [*keys, "cx", "cy"], "left")
+    graded = lookup_join(entries, load, [*keys, "cx", "cy"], "left")
     fine = F.col("cell") / F.col("parts")
     inside = F.filter(
         segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), fine),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.lines import LINE, attach, renumber, running, salted_join, with_neighbours
+from strandline.lines import LINE, attach, renumber, running, lookup_join, with_neighbours
 from strandline.operators.crossings import self_intersections
 from strandline.operators.geometry import line_summary, segments
 
@@ -319,7 +319,7 @@ def nearest_landmark(
         .drop("_di", "_dj")
     )
     cells = lines.withColumns({"ci": F.floor(F.col("lat") / reach), "cj": F.floor(F.col("lon") / reach)})
-    met = salted_join(cells, spread, ["ci", "cj"], "left")
+    met = lookup_join(cells, spread, ["ci", "cj"], "left")
     dy, dx = F.col("lat") - F.col("l_lat"), F.col("lon") - F.col("l_lon")
     inside = (F.abs(dy) < reach) & (F.abs(dx) < reach)
     best = F.when(inside, F.struct(geo.length2d(dx, dy).alias("d"), F.col("l_ord").alias("o"), F.col("l_name").alias("n")))
@@ -406,7 +406,7 @@ def length_plausibility(lengths: DataFrame, reference: DataFrame) -> DataFrame:
     ``lengths`` carries ``dataset`` and ``length_km``; unknown datasets stay
     unchecked.  The dimension is small by nature, and joins by its key.
     """
-    joined = salted_join(lengths, reference, ["dataset"], "left")
+    joined = lookup_join(lengths, reference, ["dataset"], "left")
     known = F.col("min_km").isNotNull()
     fine = F.col("length_km").between(
         F.col("min_km") * (1 - LENGTH_TOLERANCE), F.col("max_km") * (1 + LENGTH_TOLERANCE)

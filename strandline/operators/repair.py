@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strandline.functions import geo
 from strandline.lines import LINE, attach
 from strandline.operators.quality import LONG_SEGMENT_KM, better_score, candidate_starts, order_score
+from strandline.session import cut_lineage
 
 LOCAL_POINTS = 20_000
 
@@ -78,7 +79,7 @@ def repair_order(
 ) -> DataFrame:
     """Each line in its best-scoring order, with the number of the candidate."""
     keys = list(keys)
-    orders = candidate_orders(lines, keys)
+    orders = cut_lineage(candidate_orders(cut_lineage(lines), keys))
     scores = order_score(orders, [*keys, "candidate"], long_km)
     fields = ["candidate", "intersections", "long_segments", "max_segment_km", "total_km"]
     listed = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
@@ -88,5 +89,9 @@ def repair_order(
             F.slice("all", 2, 100), F.element_at("all", 1), lambda old, new: F.when(better_score(new, old), new).otherwise(old)
         )["candidate"].alias("candidate"),
     )
-    sizes = lines.groupBy(*keys).agg(F.lit(1).alias("lo_seq"), F.count("*").alias("hi_seq"))
+    sizes = (
+        orders.where(F.col("candidate") == 0)
+        .groupBy(*keys)
+        .agg(F.min("seq").alias("lo_seq"), F.max("seq").alias("hi_seq"))
+    )
     return attach(orders, best.join(sizes, keys), [*keys, "candidate"]).select(*keys, "seq", "lat", "lon", "candidate")

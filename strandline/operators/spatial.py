@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.lines import salted_join
+from strandline.lines import lookup_join
 
 # Fixed values of the rock interpolation.
 NEIGHBOURS = 6
@@ -66,7 +66,7 @@ def interpolate_depth(points: DataFrame, samples: DataFrame, resolution: float)
     looked = corners.join(grid, ["i", "j"]).groupBy("_ci", "_cj").agg(
         *[F.max(F.when(F.col("k") == k, F.col("depth"))).alias(f"_d{k}") for k in range(4)]
     )
-    met = salted_join(keyed, looked, ["_ci", "_cj"], "left").crossJoin(bounds)
+    met = lookup_join(keyed, looked, ["_ci", "_cj"], "left").crossJoin(bounds)
     fx = (F.col("lon") - F.col("_cj").cast("double") * res) / res
     fy = (F.col("lat") - F.col("_ci").cast("double") * res) / res
     low = F.col("_d0") + fx * (F.col("_d1") - F.col("_d0"))

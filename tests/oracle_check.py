@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -71,10 +72,16 @@ def main(argv: list[str]) -> int:
     con = connect(sf_dir)
     oracles = oracle_sql()
     failures = 0
+
+    def late(*_):
+        raise TimeoutError("query took too long")
+
+    signal.signal(signal.SIGALRM, late)
     for name, fn in queries().items():
         if wanted and not any(name == w or name.startswith(w + "_") or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
         t0 = time.time()
+        signal.alarm(int(os.environ.get("QUERY_SECONDS", "90")))
         try:
             got = fn(spark, sf_dir).toPandas()
             t1 = time.time()
@@ -85,6 +92,8 @@ def main(argv: list[str]) -> int:
             t2 = time.time()
         except Exception as exc:  # report and go on with the other queries
             problem, t1, t2, got = f"{type(exc).__name__}: {str(exc)[:1500]}", time.time(), time.time(), []
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         failures += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name}: {len(got)} rows, spark {t1 - t0:.1f}s duckdb {t2 - t1:.1f}s {problem or ''}", flush=True)
     return failures
