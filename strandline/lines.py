@@ -176,3 +176,14 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     for Spark to divide a skewed partition and repeat the small side for it.
     """
     return big.join(small, list(on), how)
+
+
+def spread_out(df: DataFrame, by: Sequence[str], factor: int = 1) -> DataFrame:
+    """Repartition ahead of an explosion of rows.
+
+    Adaptive execution sizes partitions by their input, which says nothing about
+    rows that each unfold into hundreds; an explicit number is left alone.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted * factor, *by)

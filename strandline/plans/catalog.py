@@ -1,6 +1,11 @@
 """All registered queries; importing the family modules fills the registry."""
 
-from strandline.plans import geometry_queries, quality_queries  # noqa: F401
+from strandline.plans import (  # noqa: F401
+    fractal_queries,
+    geometry_queries,
+    quality_queries,
+    report_queries,
+)
 from strandline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
