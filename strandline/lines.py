@@ -187,3 +187,10 @@ def spread_out(df: DataFrame, by: Sequence[str], factor: int = 1) -> DataFrame:
     spark = df.sparkSession
     wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(wanted * factor, *by)
+
+
+def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an ungrouped aggregate) to every row."""
+    return (
+        df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    )

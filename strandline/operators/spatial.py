@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.lines import lookup_join
+from strandline.lines import lookup_join, with_one_row
 
 # Fixed values of the rock interpolation.
 NEIGHBOURS = 6
@@ -42,7 +42,7 @@ def interpolate_depth(points: DataFrame, samples: DataFrame, resolution: float)
     """
     res = F.lit(resolution)
     grid = build_grid(samples, resolution)
-    bounds = F.broadcast(grid_bounds(samples))  # exactly one row
+    bounds = grid_bounds(samples)
     keyed = points.withColumns({"_ci": F.floor(F.col("lat") / res), "_cj": F.floor(F.col("lon") / res)})
     cells = keyed.select("_ci", "_cj").distinct()
 
@@ -66,7 +66,7 @@ def interpolate_depth(points: DataFrame, samples: DataFrame, resolution: float)
     looked = corners.join(grid, ["i", "j"]).groupBy("_ci", "_cj").agg(
         *[F.max(F.when(F.col("k") == k, F.col("depth"))).alias(f"_d{k}") for k in range(4)]
     )
-    met = lookup_join(keyed, looked, ["_ci", "_cj"], "left").crossJoin(bounds)
+    met = with_one_row(lookup_join(keyed, looked, ["_ci", "_cj"], "left"), bounds)
     fx = (F.col("lon") - F.col("_cj").cast("double") * res) / res
     fy = (F.col("lat") - F.col("_ci").cast("double") * res) / res
     low = F.col("_d0") + fx * (F.col("_d1") - F.col("_d0"))
@@ -85,3 +85,174 @@ def depth_factor(depth: Column, scale_m: float | Column) -> Column:
     """Share of wave energy reaching the shore over a depth."""
     scale = scale_m if isinstance(scale_m, Column) else F.lit(scale_m)
     return 1 - F.exp(-F.greatest(-depth, F.lit(0.0)) / scale)
+
+
+# -- nearest points ----------------------------------------------------------
+
+LEVELS = 7
+EVERYWHERE = 99
+
+
+def _keep_first(points: DataFrame, k: int) -> DataFrame:
+    """At most ``k`` points per position can be among the nearest ``k``.
+
+    The rank filter is applied before the shuffle too, so a position holding a
+    large share of all points sends only ``k`` rows per task.
+    """
+    w = Window.partitionBy("lat", "lon").orderBy("ord")
+    return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _around(index: Column, reach: int) -> Column:
+    return F.sequence(index - reach, index + reach)
+
+
+def nearest_candidates(cells: DataFrame, points: DataFrame, k: int, cell: float) -> DataFrame:
+    """Points that may be among the ``k`` nearest of some place in a cell.
+
+    ``cells`` has distinct integers ``qi, qj``.  A pyramid of counts tells the
+    smallest level at which the 3 x 3 block around a cell holds ``k`` points;
+    those lie within three cells of that level, so its 7 x 7 block contains the
+    nearest ``k`` of every place in the cell.  The block is then thinned: a
+    point farther than the k-th largest possible distance cannot be wanted.
+    """
+    kept = _keep_first(points, k)
+    level = F.explode(F.array(*[F.lit(n) for n in range(LEVELS)], F.lit(EVERYWHERE)))
+
+    def at_level(value: Column) -> Column:
+        width = F.lit(cell) * F.pow(F.lit(2.0), F.col("level").cast("double"))
+        return F.when(F.col("level") == EVERYWHERE, F.lit(0).cast("bigint")).otherwise(F.floor(value / width))
+
+    placed = kept.withColumn("level", level).withColumns({"li": at_level(F.col("lat")), "lj": at_level(F.col("lon"))})
+    counts = placed.where(F.col("level") < EVERYWHERE).groupBy("level", "li", "lj").agg(F.count("*").alias("n"))
+
+    def up(name: str) -> Column:
+        return F.floor(F.col(name) / F.pow(F.lit(2.0), F.col("level").cast("double")))
+
+    probe = (
+        cells.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(LEVELS)])))
+        .withColumn("li", F.explode(_around(up("qi"), 1)))
+        .withColumn("lj", F.explode(_around(up("qj"), 1)))
+    )
+    enough = (
+        probe.join(counts, ["level", "li", "lj"])
+        .groupBy("qi", "qj", "level")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= k)
+        .groupBy("qi", "qj")
+        .agg(F.min("level").alias("level"))
+    )
+    levelled = cells.join(enough, ["qi", "qj"], "left").withColumn("level", F.coalesce("level", F.lit(EVERYWHERE)))
+    nowhere = F.array(F.lit(0).cast("bigint"))
+    everywhere = F.col("level") == EVERYWHERE
+    wanted = levelled.withColumn(
+        "li", F.explode(F.when(everywhere, nowhere).otherwise(_around(up("qi"), 3)))
+    ).withColumn("lj", F.explode(F.when(everywhere, nowhere).otherwise(_around(up("qj"), 3))))
+    met = wanted.join(placed, ["level", "li", "lj"])
+    lo_i, hi_i = F.col("qi") * cell, (F.col("qi") + 1) * cell
+    lo_j, hi_j = F.col("qj") * cell, (F.col("qj") + 1) * cell
+    zero = F.lit(0.0)
+    near = geo.length2d(
+        F.greatest(lo_i - F.col("lat"), F.col("lat") - hi_i, zero), F.greatest(lo_j - F.col("lon"), F.col("lon") - hi_j, zero)
+    )
+    far = geo.length2d(
+        F.greatest(F.abs(F.col("lat") - lo_i), F.abs(F.col("lat") - hi_i)),
+        F.greatest(F.abs(F.col("lon") - lo_j), F.abs(F.col("lon") - hi_j)),
+    )
+    per_cell = Window.partitionBy("qi", "qj")
+    ranked = met.withColumns({"_near": near, "_far": far}).withColumn(
+        "_r", F.row_number().over(per_cell.orderBy("_far", "ord"))
+    )
+    limit = F.max(F.when(F.col("_r") <= k, F.col("_far"))).over(per_cell)
+    return ranked.withColumn("_limit", limit).where(F.col("_near") <= F.col("_limit") + 1e-9).drop(
+        "_near", "_far", "_r", "_limit", "level", "li", "lj"
+    )
+
+
+def nearest_points(
+    places: DataFrame, points: DataFrame, k: int = NEIGHBOURS, cell: float = 0.5, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``near``: the ``k`` nearest points in planar degrees, ties by order (I4).
+
+    ``cell`` should be chosen so that a cell holds about ``k`` points; the
+    shared candidate list of a cell is then a few dozen entries.
+    """
+    keyed = places.withColumns({"qi": F.floor(F.col("lat") / cell), "qj": F.floor(F.col("lon") / cell)})
+    cands = nearest_candidates(keyed.select("qi", "qj").distinct(), points, k, cell)
+    lists = cands.groupBy("qi", "qj").agg(
+        F.collect_list(F.struct("ord", F.col("lat").alias("plat"), F.col("lon").alias("plon"), *carry)).alias("_c")
+    )
+    met = lookup_join(keyed, lists, ["qi", "qj"], "left")
+    here_lat, here_lon = F.col("lat"), F.col("lon")
+
+    def measured(c: Column) -> Column:
+        d = geo.length2d(c["plat"] - here_lat, c["plon"] - here_lon)
+        return F.struct(d.alias("dist"), c["ord"].alias("ord"), *[c[n].alias(n) for n in carry])
+
+    return met.withColumn("near", F.slice(F.array_sort(F.transform("_c", measured)), 1, k)).drop("_c", "qi", "qj")
+
+
+def default_rock(classes: DataFrame) -> DataFrame:
+    """One row: resistance and colour of the default rock."""
+    is_default = F.col("class") == DEFAULT_CLASS
+    return classes.agg(
+        F.coalesce(F.max(F.when(is_default, F.col("resistance"))), F.lit(DEFAULT_RESISTANCE)).alias("_dr"),
+        F.coalesce(F.max(F.when(is_default, F.col("color"))), F.lit(DEFAULT_COLOR)).alias("_dc"),
+    )
+
+
+def rock_at(
+    places: DataFrame,
+    points: DataFrame,
+    classes: DataFrame,
+    bounds: dict[str, float] | None = None,
+    cell: float = 0.5,
+) -> DataFrame:
+    """Rock class and resistance by inverse-distance weighting.
+
+    Outside the bounds, without points, or with an unknown class of the nearest
+    point, the default rock is used.  Weights fall with distance, so the
+    heaviest neighbour is the nearest one.
+    """
+    known = classes.select(F.col("class").alias("lithology_class"), F.lit(True).alias("known"))
+    tagged = lookup_join(points, known, ["lithology_class"], "left").withColumn(
+        "known", F.coalesce("known", F.lit(False))
+    )
+    carry = ["lithology_class", "resistance", "color", "description", "known"]
+    met = with_one_row(nearest_points(places, tagged, NEIGHBOURS, cell, carry), default_rock(classes))
+    weights = F.transform("near", lambda p: F.lit(1.0) / (p["dist"] * p["dist"]))
+    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    pulled = F.aggregate(
+        F.transform("near", lambda p: p["resistance"] / (p["dist"] * p["dist"])), F.lit(0.0), lambda s, w: s + w
+    )
+    head = F.get("near", 0)
+    usable = F.coalesce(head["known"], F.lit(False))
+    if bounds is not None:
+        usable = usable & F.col("lat").between(bounds["min_lat"], bounds["max_lat"]) & F.col("lon").between(
+            bounds["min_lon"], bounds["max_lon"]
+        )
+    hit = head["dist"] < EXACT_HIT_DEG
+    # one expression per value; an exact hit must not divide by its zero distance
+    value = F.when(hit | (F.size("near") == 1), head["resistance"]).otherwise(pulled / total)
+    return met.select(
+        *places.columns,
+        F.when(usable, head["lithology_class"]).otherwise(F.lit(DEFAULT_CLASS)).alias("rock"),
+        F.when(usable, value).otherwise(F.col("_dr")).alias("rock_resistance"),
+        F.when(usable, head["color"]).otherwise(F.col("_dc")).alias("rock_color"),
+        F.when(usable, head["description"]).otherwise(F.lit(DEFAULT_DESCRIPTION)).alias("rock_description"),
+    )
+
+
+def profile_statistics(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Counts, resistance range and mean of a profile."""
+    return points.groupBy(*keys).agg(
+        F.count("*").alias("num_points"),
+        F.min("resistance").alias("resistance_min"),
+        F.max("resistance").alias("resistance_max"),
+        F.avg("resistance").alias("resistance_mean"),
+    )
+
+
+def confidence_distribution(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Points per confidence label."""
+    return points.groupBy(*keys, "confidence").agg(F.count("*").alias("num_points"))

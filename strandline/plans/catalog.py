@@ -5,6 +5,7 @@ from strandline.plans import (  # noqa: F401
     geometry_queries,
     quality_queries,
     report_queries,
+    spatial_queries,
 )
 from strandline.plans.registry import ORACLES, QUERIES
 
