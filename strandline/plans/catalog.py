@@ -1,6 +1,7 @@
 """All registered queries; importing the family modules fills the registry."""
 
 from strandline.plans import (  # noqa: F401
+    exposure_queries,
     fractal_queries,
     geometry_queries,
     quality_queries,
