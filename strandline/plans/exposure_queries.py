@@ -94,7 +94,7 @@ define(
 define(
     "wfetch",
     f"""SELECT r.line_id, r.seq, r.ray, any_value(r.dx) AS dx, any_value(r.dy) AS dy, any_value(r.tx) AS tx, any_value(r.ty) AS ty,
- {PROBE}e0+least({LIMIT}e0, coalesce(min(CASE WHEN abs(den)>=1e-9 AND tt>1e-6 AND uu BETWEEN -1e-6 AND 1+1e-6 THEN tt END), {LIMIT}e0)) AS fetch
+ {PROBE}e0+least({LIMIT}e0, coalesce(min(CASE WHEN abs(den)>=1e-9 AND tt>1e-6 AND uu BETWEEN -1e-6 AND 1+1e-6 THEN tt END), {LIMIT}e0)) AS fe
 FROM (SELECT r.*, s.seq AS seg, dx*(s.ny-s.y)-dy*(s.nx-s.x) AS den, ((s.x-ox)*(s.ny-s.y)-(s.y-oy)*(s.nx-s.x))/nullif(dx*(s.ny-s.y)-dy*(s.nx-s.x),0) AS tt, ((s.x-ox)*dy-(s.y-oy)*dx)/nullif(dx*(s.ny-s.y)-dy*(s.nx-s.x),0) AS uu
  FROM wrays r LEFT JOIN (SELECT * FROM wframe0 WHERE closed OR NOT islast) s ON s.line_id=r.line_id AND s.seq<>r.seq AND s.seq<>r.pseq) r GROUP BY 1,2,3""",
     "wrays",
@@ -102,7 +102,7 @@ FROM (SELECT r.*, s.seq AS seg, dx*(s.ny-s.y)-dy*(s.nx-s.x) AS den, ((s.x-ox)*(s
 )
 
 
-@register("w3_ray_fetch", query(f"SELECT line_id, seq, ray, {s6('fetch',3)} AS fetch_m FROM wfetch", "wfetch"))
+@register("w3_ray_fetch", query(f"SELECT line_id, seq, ray, {s6('fe',3)} AS fetch_m FROM wfetch", "wfetch"))
 def w3(spark, sf):
     return w.ray_fetch(w.vertex_frames(a.shores(spark, sf)), P).select("line_id", "seq", "ray", r6("fetch", "fetch_m", 3))
 
@@ -111,8 +111,8 @@ define("wdepth", sq.depth_sql("wframe", "line_id, seq"), "wframe", "bathy", "gri
 define(
     "wsides",
     f"""SELECT *, sqrt(least(mf/{P.max_fetch_m}e0,1))*least(ws/{N}.0e0,1)*(0.35e0+0.65e0*coalesce(1-exp(-greatest(-depth,0)/{P.depth_scale_m}e0), 1-exp(-nf/{P.depth_scale_m}e0))) AS score FROM (
- SELECT line_id, seq, side, sum(wt) AS ws, sum(wt*fetch)/sum(wt) AS mf, max(nf) AS nf FROM (
-  SELECT line_id, seq, side, fetch, CASE WHEN ray<{N} AND inc>0 THEN power(inc,{P.exposure_power}e0) END AS wt, CASE WHEN ray=CASE side WHEN 'left' THEN {N} ELSE {N + 1} END THEN fetch END AS nf FROM (
+ SELECT line_id, seq, side, sum(wt) AS ws, sum(wt*fe)/sum(wt) AS mf, max(nf) AS nf FROM (
+  SELECT line_id, seq, side, fe, CASE WHEN ray<{N} AND inc>0 THEN power(inc,{P.exposure_power}e0) END AS wt, CASE WHEN ray=CASE side WHEN 'left' THEN {N} ELSE {N + 1} END THEN fe END AS nf FROM (
    SELECT *, (dx*(-ty)+dy*tx)*CASE side WHEN 'left' THEN 1 ELSE -1 END AS inc FROM wfetch, (VALUES ('left'),('right')) t(side))) GROUP BY 1,2,3)
 JOIN (SELECT line_id, seq, depth FROM wdepth) USING (line_id, seq)""",
     "wfetch",
