@@ -42,7 +42,8 @@ def length2d(x: Column, y: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Null stays null, although least and greatest skip nulls."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def dot(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

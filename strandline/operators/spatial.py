@@ -84,7 +84,7 @@ def interpolate_depth(points: DataFrame, samples: DataFrame, resolution: float)
 def depth_factor(depth: Column, scale_m: float | Column) -> Column:
     """Share of wave energy reaching the shore over a depth."""
     scale = scale_m if isinstance(scale_m, Column) else F.lit(scale_m)
-    return 1 - F.exp(-F.greatest(-depth, F.lit(0.0)) / scale)
+    return F.when(depth.isNotNull(), 1 - F.exp(-F.greatest(-depth, F.lit(0.0)) / scale))
 
 
 # -- nearest points ----------------------------------------------------------

@@ -110,7 +110,7 @@ def w3(spark, sf):
 define("wdepth", sq.depth_sql("wframe", "line_id, seq"), "wframe", "bathy", "grid")
 define(
     "wsides",
-    f"""SELECT *, sqrt(least(mf/{P.max_fetch_m}e0,1))*least(ws/{N}.0e0,1)*(0.35e0+0.65e0*coalesce(1-exp(-greatest(-depth,0)/{P.depth_scale_m}e0), 1-exp(-nf/{P.depth_scale_m}e0))) AS score FROM (
+    f"""SELECT *, CASE WHEN ws IS NULL THEN 0 ELSE sqrt(least(mf/{P.max_fetch_m}e0,1))*least(ws/{N}.0e0,1)*(0.35e0+0.65e0*CASE WHEN depth IS NOT NULL THEN 1-exp(-greatest(-depth,0)/{P.depth_scale_m}e0) ELSE 1-exp(-nf/{P.depth_scale_m}e0) END) END AS score FROM (
  SELECT line_id, seq, side, sum(wt) AS ws, sum(wt*fe)/sum(wt) AS mf, max(nf) AS nf FROM (
   SELECT line_id, seq, side, fe, CASE WHEN ray<{N} AND inc>0 THEN power(inc,{P.exposure_power}e0) END AS wt, CASE WHEN ray=CASE side WHEN 'left' THEN {N} ELSE {N + 1} END THEN fe END AS nf FROM (
    SELECT *, (dx*(-ty)+dy*tx)*CASE side WHEN 'left' THEN 1 ELSE -1 END AS inc FROM wfetch, (VALUES ('left'),('right')) t(side))) GROUP BY 1,2,3)
