@@ -6,6 +6,7 @@ from strandline.plans import (  # noqa: F401
     geometry_queries,
     quality_queries,
     report_queries,
+    source_queries,
     spatial_queries,
 )
 from strandline.plans.registry import ORACLES, QUERIES

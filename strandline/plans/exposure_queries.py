@@ -11,6 +11,7 @@ from strandline.plans import adapters as a
 from strandline.plans import spatial_queries as sq
 from strandline.plans.registry import r6, register, s6
 from strandline.plans.sql import define, query
+from strandline.session import cut_lineage
 
 P = w.WaveParams(strength_m=40.0, wind_dir_deg=210.0, wind_speed=14.0, max_fetch_m=60_000.0)
 N = P.fetch_samples
@@ -126,7 +127,7 @@ define(
 
 
 def _scores(spark, sf):
-    frames = w.vertex_frames(a.shores(spark, sf))
+    frames = cut_lineage(w.vertex_frames(a.shores(spark, sf)))
     return w.side_scores(frames, w.ray_fetch(frames, P), P, a.bathymetry(spark, sf))
 
 
