@@ -259,7 +259,11 @@ def s9(spark, sf):
 
 
 SLUG = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(dataset)),'[^\\p{L}\\p{Nd}]+','-','g'),'[^a-z0-9-]','','g'),'-+','-','g'),'-')"
-AT = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+
+
+def snapshot_time():
+    return F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+
 
 
 @register(
@@ -272,7 +276,7 @@ AT = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
 def s10(spark, sf):
     return _named_pages(spark, sf).select(
         "page_id", slug(F.col("dataset")).alias("slug"),
-        snapshot_name(F.col("dataset"), F.col("page_id") % 2 == 0, AT).alias("file_name"),
+        snapshot_name(F.col("dataset"), F.col("page_id") % 2 == 0, snapshot_time()).alias("file_name"),
     )
 
 
@@ -287,7 +291,7 @@ def s11(spark, sf):
     docs = a.geojson_documents(spark, sf).select(
         F.concat(F.lit("Shore "), "doc_id").alias("dataset"), F.lit(False).alias("is_point_array"), "payload"
     )
-    return tables.snapshot_frame(docs, AT).select(
+    return tables.snapshot_frame(docs, snapshot_time()).select(
         "dataset", "snapshot_ts", "file_name", F.octet_length("payload").alias("bytes")
     )
 

@@ -89,12 +89,16 @@ def rock_select(known: str) -> str:
 
 
 KNOWN = "cls IN ('limestone','volcanic','clay','sedimentary')"
-ROCK_COLS = ["line_id", "seq", "rock", r6("rock_resistance"), "rock_color", "rock_description"]
+
+
+def rock_columns():
+    return ["line_id", "seq", "rock", r6("rock_resistance"), "rock_color", "rock_description"]
+
 
 
 @register("i5_rock_idw", query(f"SELECT {rock_select(KNOWN)} FROM rocks", "rocks"))
 def i5(spark, sf):
-    return i.rock_at(a.vertices(spark, sf), a.litho_points(spark, sf), a.litho_classes(spark)).select(*ROCK_COLS)
+    return i.rock_at(a.vertices(spark, sf), a.litho_points(spark, sf), a.litho_classes(spark)).select(*rock_columns())
 
 
 I6_BOUNDS = {"min_lat": 42.6, "max_lat": 43.4, "min_lon": 33.5, "max_lon": 34.5}
@@ -108,7 +112,7 @@ I6_BOUNDS = {"min_lat": 42.6, "max_lat": 43.4, "min_lon": 33.5, "max_lon": 34.5}
     ),
 )
 def i6(spark, sf):
-    return i.rock_at(a.vertices(spark, sf), a.litho_points(spark, sf), a.litho_classes(spark), I6_BOUNDS).select(*ROCK_COLS)
+    return i.rock_at(a.vertices(spark, sf), a.litho_points(spark, sf), a.litho_classes(spark), I6_BOUNDS).select(*rock_columns())
 
 
 @register(
@@ -149,7 +153,7 @@ define("rocks_default", rock_sql("near_default"), "near_default")
 def s5(spark, sf):
     return i.rock_at(
         a.vertices(spark, sf), default_points(spark), default_classes(spark), DEFAULT_BOUNDS, cell=4.0
-    ).select(*ROCK_COLS)
+    ).select(*rock_columns())
 
 
 # -- sediment ----------------------------------------------------------------
