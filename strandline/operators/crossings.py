@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geo
 from strandline.functions.cells import segment_cells
-from strandline.lines import LINE, attach, lookup_join, with_neighbours
+from strandline.lines import LINE, attach, lookup_join, spread_out, with_neighbours
 from strandline.session import cut_lineage
 
 # Fixed values of the crossing test.
@@ -107,7 +107,9 @@ def self_intersections(
         F.greatest(PER_CELL * room / (F.col("n") * F.col("reach")), F.col("reach") / 16), F.col("reach") * 4
     )
     sized = stats.select(*keys, "lo_shape", "hi_shape", F.greatest(F.coalesce(cell, F.lit(1.0)), F.lit(1e-6)).alias("cell"))
-    with_cell = attach(shapes, sized, keys, order="shape", lo="lo_shape", hi="hi_shape")
+    with_cell = spread_out(
+        attach(shapes, sized, keys, order="shape", lo="lo_shape", hi="hi_shape"), [*keys, "shape"]
+    )
     entries = with_cell.withColumn(
         "_c", F.explode(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("cell")))
     ).select(*keys, "shape", *SHAPE, "cell", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
@@ -132,6 +134,7 @@ def self_intersections(
         *keys, "cx", "cy", F.col("_s.cx").alias("sx"), F.col("_s.cy").alias("sy"), "shape", *SHAPE
     )
     place = [*keys, "cx", "cy", "sx", "sy"]
+    placed = spread_out(placed, place)
     left = placed.select(*place, *[F.col(c).alias(f"l_{c}") for c in ["shape", *SHAPE]])
     right = placed.select(*place, *[F.col(c).alias(f"r_{c}") for c in ["shape", *SHAPE]])
     crossing = (

@@ -114,8 +114,7 @@ def ray_fetch(frames: DataFrame, p: WaveParams, keys: Sequence[str] = LINE) -> D
     Rays 0..n-1 form the fan, rays n and n+1 follow the left and right normal.
     Rays meet segments through grid cells: first along a few fine cells, and
     only rays without a hit there go on over coarse cells.  The nearest hit is
-    a minimum, so meeting a segment in several cells is harmless; equal segments
-    are met once.
+    a minimum, so meeting a segment in several cells is harmless.
     """
     keys = list(keys)
     sized = cut_lineage(_with_cell(frames, keys))
@@ -142,7 +141,6 @@ def ray_fetch(frames: DataFrame, p: WaveParams, keys: Sequence[str] = LINE) -> D
     if limit <= 0:
         return base.withColumn("fetch", F.lit(p.max_fetch_m))
     has_segment = F.col("closed") | (F.col("seq") < F.col("hi_seq"))
-    # the first two starts of equal segments suffice: a ray skips at most its own two
     segs = sized.where(has_segment).select(
         *keys, F.col("seq").alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"),
         F.col("nx").alias("bx"), F.col("ny").alias("by"), "cell",
@@ -160,7 +158,8 @@ def ray_fetch(frames: DataFrame, p: WaveParams, keys: Sequence[str] = LINE) -> D
         seg_cells = segs.withColumn(
             "_c", F.explode(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size))
         ).select(*keys, "seg", "ax", "ay", "bx", "by", "_c.cx", "_c.cy")
-        met = ray_cells.join(seg_cells, [*keys, "cx", "cy"]).where(
+        cell_keys = [*keys, "cx", "cy"]
+        met = spread_out(ray_cells, cell_keys).join(spread_out(seg_cells, cell_keys), cell_keys).where(
             (F.col("seg") != F.col("seq")) & (F.col("seg") != F.col("pseq"))
         )
         sx, sy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")

@@ -48,27 +48,49 @@ def box_coverage(lines: DataFrame, keys: Sequence[str] = LINE, offsets: int = le
         *keys, "size_m", "min_x", "min_y", F.col("prev.x").alias("ax"), F.col("prev.y").alias("ay"),
         (F.col("x") - F.col("prev.x")).alias("dx"), (F.col("y") - F.col("prev.y")).alias("dy"),
     )
-    scaled = segs.withColumn("scale_factor", F.explode(F.array(*[F.lit(s) for s in SCALE_FACTORS]))).withColumn(
-        "box", F.col("size_m") / F.col("scale_factor")
+    grids = F.array(
+        *[
+            F.struct(
+                F.lit(n * 4 + k).cast("bigint").alias("id"), F.lit(float(f)).alias("f"), F.lit(ox).alias("ox"), F.lit(oy).alias("oy")
+            )
+            for n, f in enumerate(SCALE_FACTORS)
+            for k, (ox, oy) in enumerate(OFFSETS[:offsets])
+        ]
+    )
+    scaled = segs.select("*", F.explode(grids).alias("g")).select(
+        *keys, "ax", "ay", "dx", "dy", F.col("g.id").alias("g"),
+        (F.col("size_m") / F.col("g.f")).alias("box"),
+        (F.col("g.oy") * (F.col("size_m") / F.col("g.f"))).alias("oy"),
+        (F.col("g.ox") * (F.col("size_m") / F.col("g.f"))).alias("ox"),
+        "min_x", "min_y",
     )
     steps = F.greatest(
         F.ceil(geo.length2d(F.col("dx"), F.col("dy")) / (F.col("box") / 2)) + 1, F.lit(2)
     )
     sampled = scaled.withColumn("steps", steps).withColumn(
-        "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("steps")))
-    ).withColumn("t", F.col("t") / F.col("steps"))
-    px, py = F.col("ax") + F.col("dx") * F.col("t"), F.col("ay") + F.col("dy") * F.col("t")
-
-    def code(index: int) -> Column:
-        ox, oy = OFFSETS[index]
-        row = F.floor((py - F.col("min_y") + oy * F.col("box")) / F.col("box")) + 8
-        col = F.floor((px - F.col("min_x") + ox * F.col("box")) / F.col("box")) + 8
-        return (F.lit(index * 1024) + row) * 1024 + col
-
-    cells = sampled.select(
-        *keys, "scale_factor", "size_m", F.explode(F.array(*[code(i) for i in range(offsets)])).alias("cell")
-    ).distinct()
-    return cells.groupBy(*keys, "scale_factor", "size_m").agg(F.count("*").alias("boxes"))
+        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("steps")))
+    )
+
+    def code(i: Column) -> Column:
+        """Grid, row and column of a sample in one number."""
+        t = i / F.col("steps")
+        px, py = F.col("ax") + F.col("dx") * t, F.col("ay") + F.col("dy") * t
+        row = F.floor((py - F.col("min_y") + F.col("oy")) / F.col("box")) + 8
+        col = F.floor((px - F.col("min_x") + F.col("ox")) / F.col("box")) + 8
+        return (F.col("g") * 1024 + row) * 1024 + col
+
+    # a straight segment enters a box once: skip samples in the box of the one before
+    cells = (
+        sampled.select(*keys, "i", code(F.col("i")).alias("cell"), code(F.col("i") - 1).alias("before"))
+        .where((F.col("i") == 0) | (F.col("cell") != F.col("before")))
+        .select(*keys, "cell")
+        .distinct()
+    )
+    factors = F.array(*[F.lit(f) for f in SCALE_FACTORS])
+    counted = cells.groupBy(*keys, F.floor(F.col("cell") / (4 * 1024 * 1024)).alias("n")).agg(F.count("*").alias("boxes"))
+    return counted.join(box.select(*keys, "size_m"), keys).select(
+        *keys, F.get(factors, F.col("n").cast("int")).alias("scale_factor"), "size_m", "boxes"
+    )
 
 
 def scale_series(lines: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.lines import CHUNK, LINE, attach, chunk_number
+from strandline.lines import CHUNK, LINE, attach, chunk_number, spread_out
 from strandline.operators.geometry import project_local
 from strandline.session import cut_lineage
 
@@ -141,7 +141,7 @@ def _finish_local(todo: DataFrame, keys: list[str]) -> DataFrame:
             significance=interval_significance(x, y, float(head.chain))[1:-1]
         )
 
-    return flat.groupBy(*keys, "s").applyInPandas(finish, schema)
+    return spread_out(flat, [*keys, "s"]).groupBy(*keys, "s").applyInPandas(finish, schema)
 
 
 def interval_significance(x: np.ndarray, y: np.ndarray, chain: float) -> np.ndarray:
@@ -205,7 +205,7 @@ def simplify_to_budget(
     work = attach(lines.select(*keys, "seq", "lat", "lon"), heads, keys).where(
         ~(F.col("closed") & (F.col("seq") == F.col("hi_seq")))
     )
-    scored = significance(work.where("wanted").select(*keys, "seq", "lat", "lon"), keys)
+    scored = cut_lineage(significance(work.where("wanted").select(*keys, "seq", "lat", "lon"), keys))
 
     # the deciding order statistics, cut down per salt before the per-line step
     depth = max(max_points, 3) + 1

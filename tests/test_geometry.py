@@ -135,3 +135,11 @@ def test_dimension_of_a_straight_line(line):
 def test_point_budget(spark):
     df = spark.range(8).select(geometry.point_budget(F.col("id")).alias("t"))
     assert [r.t for r in df.collect()] == [min(3072, 400000 // 4**i + 1) for i in range(8)]
+
+
+def test_long_lines_walk_in_rounds(line):
+    df = line({1: random_walk(45, 11), 2: random_walk(8, 12)})
+    cols = ["line_id", "candidate", "seq", "lat", "lon"]
+    want = sorted(map(tuple, repair.candidate_orders(df).select(*cols).collect()))
+    got = sorted(map(tuple, repair.candidate_orders(df, local_points=10, tile=12).select(*cols).collect()))
+    assert got == want
