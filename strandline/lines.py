@@ -190,7 +190,9 @@ def spread_out(df: DataFrame, by: Sequence[str], factor: int = 1) -> DataFrame:
 
 
 def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row table (an ungrouped aggregate) to every row."""
-    return (
-        df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    )
+    """Add the columns of a one-row table (an ungrouped aggregate) to every row.
+
+    A scalar subquery: evaluated once, no join.
+    """
+    value = row.select(F.struct(*row.columns).alias("r")).scalar()
+    return df.withColumn("_one", value).select(*df.columns, "_one.*")

@@ -314,4 +314,4 @@ def wave_pass(
     """Frames and uncapped-by-rock retreats of one pass."""
     frames = cut_lineage(vertex_frames(shores, keys))
     scored = side_scores(frames, ray_fetch(frames, p, keys), p, depths, resolution, keys)
-    return frames, retreat_potential(shape_factors(seaward_side(scored, p)), p)
+    return frames, cut_lineage(retreat_potential(shape_factors(seaward_side(scored, p)), p))
