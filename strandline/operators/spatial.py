@@ -89,7 +89,8 @@ def depth_factor(depth: Column, scale_m: float | Column) -> Column:
 
 # -- nearest points ----------------------------------------------------------
 
-LEVELS = 7
+FINER = 4
+LEVELS = FINER + 7
 EVERYWHERE = 99
 
 
@@ -107,50 +108,74 @@ def _around(index: Column, reach: int) -> Column:
     return F.sequence(index - reach, index + reach)
 
 
-def nearest_candidates(cells: DataFrame, points: DataFrame, k: int, cell: float) -> DataFrame:
+def _up(name: str) -> Column:
+    return F.floor(F.col(name) / F.pow(F.lit(2.0), F.col("level").cast("double")))
+
+
+def nearest_candidates(cells: DataFrame, points: DataFrame, k: int, finest: float) -> DataFrame:
     """Points that may be among the ``k`` nearest of some place in a cell.
 
-    ``cells`` has distinct integers ``qi, qj``.  A pyramid of counts tells the
-    smallest level at which the 3 x 3 block around a cell holds ``k`` points;
-    those lie within three cells of that level, so its 7 x 7 block contains the
-    nearest ``k`` of every place in the cell.  The block is then thinned: a
-    point farther than the k-th largest possible distance cannot be wanted.
+    ``cells`` has distinct integers ``qi, qj`` of the finest grid; the result
+    adds an array of candidates to each.  A cell belongs to the block at the
+    smallest level whose 3 x 3 surroundings hold ``k`` points: small blocks where
+    points are dense, large ones where they are rare.  Those points lie within
+    three blocks, so the 7 x 7 surroundings contain the nearest ``k`` of every
+    place in the block.  They are thinned: a point farther than the k-th largest
+    possible distance cannot be wanted.  Blocks share their list.
     """
     kept = _keep_first(points, k)
-    level = F.explode(F.array(*[F.lit(n) for n in range(LEVELS)], F.lit(EVERYWHERE)))
-
-    def at_level(value: Column) -> Column:
-        width = F.lit(cell) * F.pow(F.lit(2.0), F.col("level").cast("double"))
-        return F.when(F.col("level") == EVERYWHERE, F.lit(0).cast("bigint")).otherwise(F.floor(value / width))
-
-    placed = kept.withColumn("level", level).withColumns({"li": at_level(F.col("lat")), "lj": at_level(F.col("lon"))})
-    counts = placed.where(F.col("level") < EVERYWHERE).groupBy("level", "li", "lj").agg(F.count("*").alias("n"))
-
-    def up(name: str) -> Column:
-        return F.floor(F.col(name) / F.pow(F.lit(2.0), F.col("level").cast("double")))
-
-    probe = (
-        cells.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(LEVELS)])))
-        .withColumn("li", F.explode(_around(up("qi"), 1)))
-        .withColumn("lj", F.explode(_around(up("qj"), 1)))
+    levels = F.explode(F.array(*[F.lit(n) for n in range(LEVELS)], F.lit(EVERYWHERE)))
+    width = F.lit(finest) * F.pow(
+        F.lit(2.0), F.when(F.col("level") == EVERYWHERE, F.lit(LEVELS - 1)).otherwise(F.col("level")).cast("double")
+    )
+    everywhere = F.col("level") == EVERYWHERE
+    origin = F.lit(0).cast("bigint")
+    placed = kept.withColumn("level", levels).withColumns(
+        {
+            "li": F.when(everywhere, origin).otherwise(F.floor(F.col("lat") / width)),
+            "lj": F.when(everywhere, origin).otherwise(F.floor(F.col("lon") / width)),
+        }
     )
+    # number of points in the 3 x 3 surroundings of a block
     enough = (
-        probe.join(counts, ["level", "li", "lj"])
-        .groupBy("qi", "qj", "level")
+        placed.where(~everywhere)
+        .groupBy("level", "li", "lj")
+        .agg(F.count("*").alias("n"))
+        .withColumn("gi", F.explode(_around(F.col("li"), 1)))
+        .withColumn("gj", F.explode(_around(F.col("lj"), 1)))
+        .groupBy("level", "gi", "gj")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= k)
+        .select("level", "gi", "gj")
+    )
+    climbed = (
+        cells.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(LEVELS)])))
+        .withColumns({"gi": _up("qi"), "gj": _up("qj")})
+        .join(enough, ["level", "gi", "gj"], "left_semi")
         .groupBy("qi", "qj")
         .agg(F.min("level").alias("level"))
     )
-    levelled = cells.join(enough, ["qi", "qj"], "left").withColumn("level", F.coalesce("level", F.lit(EVERYWHERE)))
-    nowhere = F.array(F.lit(0).cast("bigint"))
-    everywhere = F.col("level") == EVERYWHERE
-    wanted = levelled.withColumn(
-        "li", F.explode(F.when(everywhere, nowhere).otherwise(_around(up("qi"), 3)))
-    ).withColumn("lj", F.explode(F.when(everywhere, nowhere).otherwise(_around(up("qj"), 3))))
+    top = float(2 ** (LEVELS - 1))
+    blocks = (
+        cells.join(climbed, ["qi", "qj"], "left")
+        .withColumn("level", F.coalesce("level", F.lit(EVERYWHERE)))
+        .withColumns(
+            {
+                "gi": F.when(everywhere, F.floor(F.col("qi") / top)).otherwise(_up("qi")),
+                "gj": F.when(everywhere, F.floor(F.col("qj") / top)).otherwise(_up("qj")),
+            }
+        )
+    )
+    block = ["level", "gi", "gj"]
+    wanted = (
+        blocks.select(*block)
+        .distinct()
+        .withColumn("li", F.explode(F.when(everywhere, F.array(origin)).otherwise(_around(F.col("gi"), 3))))
+        .withColumn("lj", F.explode(F.when(everywhere, F.array(origin)).otherwise(_around(F.col("gj"), 3))))
+    )
     met = wanted.join(placed, ["level", "li", "lj"])
-    lo_i, hi_i = F.col("qi") * cell, (F.col("qi") + 1) * cell
-    lo_j, hi_j = F.col("qj") * cell, (F.col("qj") + 1) * cell
+    lo_i, hi_i = F.col("gi") * width, (F.col("gi") + 1) * width
+    lo_j, hi_j = F.col("gj") * width, (F.col("gj") + 1) * width
     zero = F.lit(0.0)
     near = geo.length2d(
         F.greatest(lo_i - F.col("lat"), F.col("lat") - hi_i, zero), F.greatest(lo_j - F.col("lon"), F.col("lon") - hi_j, zero)
@@ -159,14 +184,17 @@ def nearest_candidates(cells: DataFrame, points: DataFrame, k: int, cell: float)
         F.greatest(F.abs(F.col("lat") - lo_i), F.abs(F.col("lat") - hi_i)),
         F.greatest(F.abs(F.col("lon") - lo_j), F.abs(F.col("lon") - hi_j)),
     )
-    per_cell = Window.partitionBy("qi", "qj")
+    per_block = Window.partitionBy(*block)
     ranked = met.withColumns({"_near": near, "_far": far}).withColumn(
-        "_r", F.row_number().over(per_cell.orderBy("_far", "ord"))
+        "_r", F.row_number().over(per_block.orderBy("_far", "ord"))
     )
-    limit = F.max(F.when(F.col("_r") <= k, F.col("_far"))).over(per_cell)
-    return ranked.withColumn("_limit", limit).where(F.col("_near") <= F.col("_limit") + 1e-9).drop(
-        "_near", "_far", "_r", "_limit", "level", "li", "lj"
+    limit = F.max(F.when(F.col("_r") <= k, F.col("_far"))).over(per_block)
+    thinned = ranked.withColumn("_limit", limit).where(F.col("_near") <= F.col("_limit") + 1e-9)
+    carry = [c for c in points.columns if c not in ("ord", "lat", "lon")]
+    lists = thinned.groupBy(*block).agg(
+        F.collect_list(F.struct("ord", F.col("lat").alias("plat"), F.col("lon").alias("plon"), *carry)).alias("_c")
     )
+    return blocks.join(lists, block, "left").select("qi", "qj", "_c")
 
 
 def nearest_points(
@@ -174,14 +202,12 @@ def nearest_points(
 ) -> DataFrame:
     """Add ``near``: the ``k`` nearest points in planar degrees, ties by order (I4).
 
-    ``cell`` should be chosen so that a cell holds about ``k`` points; the
-    shared candidate list of a cell is then a few dozen entries.
+    ``cell`` is a usual distance between points; denser and sparser regions are
+    served by smaller and larger blocks.
     """
-    keyed = places.withColumns({"qi": F.floor(F.col("lat") / cell), "qj": F.floor(F.col("lon") / cell)})
-    cands = nearest_candidates(keyed.select("qi", "qj").distinct(), points, k, cell)
-    lists = cands.groupBy("qi", "qj").agg(
-        F.collect_list(F.struct("ord", F.col("lat").alias("plat"), F.col("lon").alias("plon"), *carry)).alias("_c")
-    )
+    finest = cell / 2**FINER
+    keyed = places.withColumns({"qi": F.floor(F.col("lat") / finest), "qj": F.floor(F.col("lon") / finest)})
+    lists = nearest_candidates(keyed.select("qi", "qj").distinct(), points.select("ord", "lat", "lon", *carry), k, finest)
     met = lookup_join(keyed, lists, ["qi", "qj"], "left")
     here_lat, here_lon = F.col("lat"), F.col("lon")
 
