@@ -27,6 +27,8 @@ from strandline.session import cut_lineage
 
 LOCAL_SPAN = 20_000
 HALVINGS = 24
+# squared offsets equal to this many digits of a square metre tie; the earlier vertex splits
+TIE_DIGITS = 3
 ROUNDS_PER_CUT = 4
 
 
@@ -80,7 +82,7 @@ def _split_long(todo: DataFrame, keys: list[str], local_span: int) -> tuple[Data
         )
         measured = active.withColumn("d2", offset)
         splits = measured.groupBy(*keys, "s", "e").agg(
-            F.max_by(F.struct("seq", "x", "y"), F.struct(F.col("d2"), -F.col("seq"))).alias("m"),
+            F.max_by(F.struct("seq", "x", "y"), F.struct(F.round("d2", TIE_DIGITS), -F.col("seq"))).alias("m"),
             F.least(F.max("d2"), F.first("chain")).alias("new_chain"),
         )
         spans = splits.withColumn(
@@ -158,7 +160,7 @@ def interval_significance(x: np.ndarray, y: np.ndarray, chain: float) -> np.ndar
         t = 0.0 if span == 0 else np.clip(((px - x[i]) * dx + (py - y[i]) * dy) / span, 0.0, 1.0)
         ex, ey = px - (x[i] + t * dx), py - (y[i] + t * dy)
         d2 = ex * ex + ey * ey
-        k = int(np.argmax(d2))
+        k = int(np.argmax(np.round(d2, TIE_DIGITS)))
         limit = min(limit, float(d2[k]))
         k += i + 1
         out[k] = limit
