@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,21 +22,69 @@ def local_session(app: str = "strandline", cores: int | str = 8) -> SparkSession
         .config("spark.driver.memory", os.environ.get("STRANDLINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests on one machine) is a
-    scratch folder chosen here.
+    A session on one machine (``local[...]``) may leave it unset and gets a
+    scratch folder; on a cluster an unset folder is an error, as a folder of the
+    driver would be missed by the executors.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = sc._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
+    if not folder:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Cuts the lineage as a checkpoint does, keeps columns prunable, and gives the
+    planner the true size, so that it broadcasts only what is really small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in tasks are found by module name; a worker started
+    elsewhere than in the project folder needs the modules.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_strandline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "strandline_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._strandline_shipped = True

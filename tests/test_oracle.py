@@ -4,6 +4,7 @@ A sample by default; all of them with STRANDLINE_ALL=1.
 """
 
 import os
+import re
 
 import pytest
 from oracle_check import compare, connect
@@ -14,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["g3_line_summary", "g9_simplify_budget", "v6_clip_runs", "v14_self_intersections", "f7_best_window",
           "i2_bilinear_depth", "i5_rock_idw", "w9_moved_shore", "e7_sediment_budget", "t6_series_summary",
           "r8_storm_impact", "s2_geojson", "s7_source_inspection"]
-NAMES = sorted(queries()) if os.environ.get("STRANDLINE_ALL") else SAMPLE
+NAMES = sorted(set(oracle_sql()) if os.environ.get("STRANDLINE_ALL") else SAMPLE)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
 
@@ -25,7 +26,9 @@ def con():
 
 
 def test_every_query_has_an_equivalent():
-    assert set(oracle_sql()) == set(queries())
+    unlike = re.compile(r"op\d+_|pipeline$")  # tested against brute force in tests/llm
+    assert set(oracle_sql()) <= set(queries())
+    assert all(unlike.match(name) for name in set(queries()) - set(oracle_sql()))
 
 
 def test_entry(spark):
