@@ -26,6 +26,7 @@ def local_session(app: str = "strandline", cores: int | str = 8) -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
