@@ -15,18 +15,18 @@ from strandline.llm import decontam, jaccard, langid, mixing, secrets
 from strandline.llm.common import table
 from strandline.session import ship_package, stored
 
-#: Cosine below which a text is like none of the learned languages.
-LEAST_SCORE = 0.1
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those like no learned language; lang stays as labelled, or is filled."""
+    """Rejects documents that have no language (no text or not a letter); lang stays as labelled, or is filled.
+
+    A low cosine alone rejects nothing: a clean text of one word has one, too.
+    """
     ship_package(spark)
     profiles = langid.fit(docs)
     found = langid.predict(docs, profiles)
     if not profiles.languages:  # nothing was learned, so nothing is judged
         return found.select(*docs.columns)
-    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = found.where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

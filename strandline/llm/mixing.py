@@ -127,7 +127,7 @@ def mix(
     turns = (
         plan.selectExpr("names", "sizes", "parts", "before", "posexplode(slots) AS (i, own)")
         .selectExpr("names[i] AS mix_source", "sizes", "parts", "before", "posexplode(own) AS (k, slot)")
-        .selectExpr("mix_source", "k AS _mix_turn", "slot", "before[slot] AS before", "sizes", "parts")
+        .selectExpr("mix_source", "k AS _mix_turn", "slot AS _mix_slot", "zip_with(sizes, arrays_zip(parts, before[slot]), (n, x) -> struct(n AS rows, x.parts AS parts, x.`1` AS before)) AS _mix_facts")
     )
 
     # hash ranges: as many as the square root of the rows, as a power of two
@@ -159,9 +159,9 @@ def mix(
             "mix_block",
             "mix_block * _mix_period div _mix_parts AS mix_release",
             "((mix_block + 1) * _mix_period + _mix_parts - 1) div _mix_parts AS mix_deadline",
-            "mix_block div _mix_parts * _mix_period + slot AS mix_slot",
+            "mix_block div _mix_parts * _mix_period + _mix_slot AS mix_slot",
             f"""mix_index % {block_docs} + aggregate(
-                  arrays_zip(sizes, parts, before), CAST(0 AS BIGINT), (a, x) -> a + least(
-                      x.sizes, {block_docs} * (mix_block div _mix_parts * x.parts + x.before))) AS position""",
+                  _mix_facts, CAST(0 AS BIGINT), (a, x) -> a + least(
+                      x.rows, {block_docs} * (mix_block div _mix_parts * x.parts + x.before))) AS position""",
         )
     )
