@@ -28,24 +28,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound of entries."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        from xxhash import xxh3_64_intdigest
-
-        self._hash, self._most = xxh3_64_intdigest, most
-
-    def __missing__(self, word: bytes) -> int:
-        value = self._hash(word)
-        if len(self) >= self._most:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+#: A random word for every byte at every of 64 places; a word's hash is the mixed sum of its bytes' entries.
+PLACES = 64
+ENTRIES = mix64(np.arange(256 * PLACES, dtype=np.uint64) + GOLDEN)
+BLANK = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of ``data`` between bytes 20 and 09 to 0D, without a Python object per word."""
+    buffer = np.frombuffer(data.translate(BLANK), dtype=np.uint8)
+    at = np.flatnonzero(buffer != 32)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    sizes = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, sizes)
+    entry = ENTRIES[buffer[at].astype(np.int64) * PLACES + place % PLACES]
+    if sizes.max() > PLACES:  # the same places of later stretches count for more
+        entry = entry * (MIX_1 * (place // PLACES).astype(np.uint64) + np.uint64(1))
+    return mix64(np.add.reduceat(entry, first) + GOLDEN * sizes.astype(np.uint64))
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def fold(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import GOLDEN, WordHashes, components, fold, mix64
+from strandline.llm.common import GOLDEN, components, distinct_sorted, fold, mix64, word_hashes
 from strandline.session import ship_package, stored
 
 HEAVY, EQUAL, SMALLER, LARGER = 0, 1, 2, 3
@@ -53,12 +53,10 @@ BLOCK = 2048
 LIGHT_MOST = 60
 
 
-def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``width`` words; all words as one if they are fewer."""
-    run = hashes.of(text.encode("utf-8").lower().split()) if text else np.empty(0, np.uint64)
-    if not len(run):
-        return run
-    return np.unique(fold(run, min(width, len(run))))
+    run = word_hashes(text.encode("utf-8").lower()) if text else np.empty(0, np.uint64)
+    return distinct_sorted(fold(run, min(width, len(run)))) if len(run) else run
 
 
 class Threshold:
@@ -128,11 +126,10 @@ def describe(docs: DataFrame, width: int, rule: Threshold) -> DataFrame:
     """doc, n, set (64-bit name of the set; null if empty) and parity sketch of every (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             sizes, names, sketches = [], [], []
             for text in batch.column("text").to_pylist():
-                own = shingles(text, width, hashes)
+                own = shingles(text, width)
                 sizes.append(len(own))
                 names.append(name(own) if len(own) else None)
                 sketches.append(sketch(own, rule) if len(own) else None)
@@ -209,12 +206,11 @@ def listed(docs: DataFrame, width: int, rule: Threshold, light: int) -> DataFram
     """Entries (key, role, set, n) of the lists with two different sets or more."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             parts: list[tuple] = []
             held = 0
             for text in batch.column("text").to_pylist():
-                own = shingles(text, width, hashes)
+                own = shingles(text, width)
                 if not len(own):
                     continue
                 keys, roles = entries(own, rule, light)
@@ -379,11 +375,10 @@ def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, rul
     left = stored(passing(both_sides(pairs, sketches), rule, "s_a", "s_b", near), "near")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                owns = [shingles(t, width, hashes) for t in part.column("text").to_pylist()]
+                owns = [shingles(t, width) for t in part.column("text").to_pylist()]
                 same = pa.array([len(o) > 0 and name(o) == s for o, s in zip(owns, part.column("set").to_pylist())], pa.bool_())
                 blobs = pa.array([o.tobytes() for o in owns], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("set"), blobs], names=["set", "whole"]).filter(same)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordHashes, fold, mix64
+from strandline.llm.common import fold, mix64, word_hashes
 from strandline.session import ship_package
 
 #: Characters per chunk, and per partition of the count tables.
@@ -41,9 +41,9 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def ngrams(text: str | None, order: int, hashes: WordHashes) -> list[np.ndarray]:
+def ngrams(text: str | None, order: int) -> list[np.ndarray]:
     """Hashes of the text's n-grams for n = 1 .. order; equal n-grams of unlike n differ."""
-    run = hashes.of(text.lower().encode("utf-8").split()) if text else np.empty(0, np.uint64)
+    run = word_hashes(text.lower().encode("utf-8")) if text else np.empty(0, np.uint64)
     return [fold(run ^ mix64(np.array([n], np.uint64)), n) for n in range(1, order + 1)]
 
 
@@ -77,8 +77,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
     rows = rows.withColumn("_lm_chunk", spread).repartition("_lm_chunk")
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
-        hashes = WordHashes()
-        grams = [ngrams(t, order, hashes) for t in group.column("_lm_text").to_pylist()]
+        grams = [ngrams(t, order) for t in group.column("_lm_text").to_pylist()]
         found, n = distinct(grams)
         words = sum(len(g[0]) for g in grams)
         owner = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # grows with the hash
@@ -103,8 +102,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
         return pa.Table.from_pylist(out, ANSWER)
 
     def join(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes = WordHashes()
-        grams = [ngrams(t, order, hashes) for t in group.column("_lm_text").to_pylist()]
+        grams = [ngrams(t, order) for t in group.column("_lm_text").to_pylist()]
         found, _ = distinct(grams)
         answers = answers.sort_by("part")
         totals = np.concatenate([unpacked(n) for n in answers.column("n").to_pylist()]).astype(np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import GOLDEN, WordHashes, mix64
+from strandline.llm.common import GOLDEN, mix64
 from strandline.llm.jaccard import HEAVY, Threshold, linked_classes, meeting, name, shingles, sketch
 from strandline.session import ship_package, stored
 
@@ -51,12 +51,11 @@ def cut(docs: DataFrame, width: int, rule: Threshold, min_words: int) -> DataFra
     schema = "doc long, start int, `end` int, words int, n long, set long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 for start, end, part in paragraphs(text, min_words):
-                    own = shingles(part, width, hashes)
+                    own = shingles(part, width)
                     rows.append((doc, start, end, len(part.split()), len(own), name(own), sketch(own, rule)))
             if rows:
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -70,10 +69,9 @@ def pieces(docs: DataFrame, width: int, min_words: int) -> DataFrame:
     """(doc, text) of every paragraph, where doc is the name of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             found = [p for t in batch.column("text").to_pylist() for _, _, p in paragraphs(t, min_words)]
-            names = [name(shingles(p, width, hashes)) for p in found]
+            names = [name(shingles(p, width)) for p in found]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.string())], names=["doc", "text"])
 
     return docs.mapInArrow(run, "doc long, text string")
@@ -84,12 +82,11 @@ def banded(docs: DataFrame, width: int, min_words: int, n_bands: int, rows: int)
     seeds = mix64(np.arange(1, n_bands * rows + 1, dtype=np.uint64) * GOLDEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             found = (p for t in batch.column("text").to_pylist() for _, _, p in paragraphs(t, min_words))
             group, held = [], 0
             for part in found:
-                group.append(shingles(part, width, hashes))
+                group.append(shingles(part, width))
                 held += len(group[-1])
                 if held > 100_000:
                     yield keys(group)
