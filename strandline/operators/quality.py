@@ -16,7 +16,6 @@ from strandline.operators.geometry import line_summary, segments
 # Thresholds, reference ranges, message formats, place names.
 LONG_SEGMENT_KM = 450.0
 LANDMARK_REACH_DEG = 0.15
-LANDMARK_MAX_POINTS = 200
 NO_LANDMARK = "—"
 LENGTH_TOLERANCE = 0.40
 LENGTH_REFERENCE = [("black-sea.json", 4000.0, 4987.0)]
@@ -329,15 +328,16 @@ def nearest_landmark(
 
 
 def repeated_landmarks(
-    lines: DataFrame, landmarks: DataFrame, keys: Sequence[str] = LINE, max_points: int = LANDMARK_MAX_POINTS
+    lines: DataFrame, landmarks: DataFrame, keys: Sequence[str] = LINE, max_points: int | None = None
 ) -> DataFrame:
-    """Landmarks named by more than one vertex, on lines short enough."""
+    """Landmarks named by more than one vertex (V17); ``max_points`` leaves longer lines out."""
     keys = list(keys)
-    sizes = lines.groupBy(*keys).agg(
-        F.count("*").alias("points"), F.min("seq").alias("lo_seq"), F.max("seq").alias("hi_seq")
-    )
-    short = attach(lines, sizes.where(F.col("points") <= max_points), keys).select(*keys, "seq", "lat", "lon")
-    named = nearest_landmark(short, landmarks, keys).where(F.col("landmark") != NO_LANDMARK)
+    if max_points is not None:
+        sizes = lines.groupBy(*keys).agg(
+            F.count("*").alias("points"), F.min("seq").alias("lo_seq"), F.max("seq").alias("hi_seq")
+        )
+        lines = attach(lines, sizes.where(F.col("points") <= max_points), keys).select(*keys, "seq", "lat", "lon")
+    named = nearest_landmark(lines, landmarks, keys).where(F.col("landmark") != NO_LANDMARK)
     return named.groupBy(*keys, "landmark").agg(F.count("*").alias("vertices")).where(F.col("vertices") > 1)
 
 

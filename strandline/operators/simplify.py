@@ -27,8 +27,8 @@ from strandline.session import cut_lineage
 
 LOCAL_SPAN = 20_000
 HALVINGS = 24
-# squared offsets equal to this many digits of a square metre tie; the earlier vertex splits
-TIE_DIGITS = 3
+# squared offsets in the same step of 1 / TIE_STEPS square metres tie; the earlier vertex splits
+TIE_STEPS = 1000
 ROUNDS_PER_CUT = 4
 
 
@@ -81,9 +81,10 @@ def _split_long(todo: DataFrame, keys: list[str], local_span: int) -> tuple[Data
             F.col("x"), F.col("y"), F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")
         )
         measured = active.withColumn("d2", offset)
+        split = F.struct(F.floor(F.col("d2") * TIE_STEPS), -F.col("seq"))
         splits = measured.groupBy(*keys, "s", "e").agg(
-            F.max_by(F.struct("seq", "x", "y"), F.struct(F.round("d2", TIE_DIGITS), -F.col("seq"))).alias("m"),
-            F.least(F.max("d2"), F.first("chain")).alias("new_chain"),
+            F.max_by(F.struct("seq", "x", "y"), split).alias("m"),
+            F.least(F.max_by("d2", split), F.max("chain")).alias("new_chain"),
         )
         spans = splits.withColumn(
             "_chunk",
@@ -160,7 +161,7 @@ def interval_significance(x: np.ndarray, y: np.ndarray, chain: float) -> np.ndar
         t = 0.0 if span == 0 else np.clip(((px - x[i]) * dx + (py - y[i]) * dy) / span, 0.0, 1.0)
         ex, ey = px - (x[i] + t * dx), py - (y[i] + t * dy)
         d2 = ex * ex + ey * ey
-        k = int(np.argmax(np.round(d2, TIE_DIGITS)))
+        k = int(np.argmax(np.floor(d2 * TIE_STEPS)))
         limit = min(limit, float(d2[k]))
         k += i + 1
         out[k] = limit

@@ -161,8 +161,8 @@ define(
     """SELECT line_id, 1 AS s, CAST(n AS INTEGER) AS e, CAST(NULL AS INTEGER) AS split, CAST('Infinity' AS DOUBLE) AS chain FROM dp_pts WHERE seq=1
 UNION ALL
 SELECT line_id, unnest([s, split]) AS s, unnest([split, e]) AS e, split, unnest([sig, sig]) AS chain FROM (
-  SELECT r.line_id, r.s, r.e, arg_max(p.seq, (round(power(p.x-(a.x+t.t*(b.x-a.x)),2)+power(p.y-(a.y+t.t*(b.y-a.y)),2),3), -p.seq)) AS split,
-    least(any_value(r.chain), max(power(p.x-(a.x+t.t*(b.x-a.x)),2)+power(p.y-(a.y+t.t*(b.y-a.y)),2))) AS sig
+  SELECT r.line_id, r.s, r.e, arg_max(p.seq, (floor((power(p.x-(a.x+t.t*(b.x-a.x)),2)+power(p.y-(a.y+t.t*(b.y-a.y)),2))*1000), -p.seq)) AS split,
+    least(any_value(r.chain), arg_max(power(p.x-(a.x+t.t*(b.x-a.x)),2)+power(p.y-(a.y+t.t*(b.y-a.y)),2), (floor((power(p.x-(a.x+t.t*(b.x-a.x)),2)+power(p.y-(a.y+t.t*(b.y-a.y)),2))*1000), -p.seq))) AS sig
   FROM rec_splits r JOIN dp_pts a ON a.line_id=r.line_id AND a.seq=r.s JOIN dp_pts b ON b.line_id=r.line_id AND b.seq=r.e
   JOIN dp_pts p ON p.line_id=r.line_id AND p.seq>r.s AND p.seq<r.e,
   LATERAL (SELECT CASE WHEN a.x=b.x AND a.y=b.y THEN 0.0e0 ELSE least(greatest(((p.x-a.x)*(b.x-a.x)+(p.y-a.y)*(b.y-a.y))/(power(b.x-a.x,2)+power(b.y-a.y,2)),0.0e0),1.0e0) END AS t) t

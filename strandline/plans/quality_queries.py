@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import quality as q
@@ -157,17 +160,8 @@ FROM bathy, (VALUES (-1.0e0),(0.01e0),(0.1e0),(0.25e0)) r(resolution) GROUP BY 1
     ),
 )
 def v4(spark, sf):
-    verdict = q.grid_verdict(build_grid(a.bathymetry(spark, sf), 0.1), F.lit(0.0)).select(
-        "cells", F.explode(F.array(*[F.lit(x) for x in (-1.0, 0.01, 0.1, 0.25)])).alias("resolution")
-    )
-    return verdict.select(
-        "resolution",
-        "cells",
-        F.when(F.col("resolution") <= 0, "invalid resolution")
-        .when(F.col("resolution") > 0.1, "too coarse")
-        .otherwise("ok")
-        .alias("verdict"),
-    )
+    grid = build_grid(a.bathymetry(spark, sf), 0.1)
+    return reduce(DataFrame.unionByName, [q.grid_verdict(grid, F.lit(x)) for x in (-1.0, 0.01, 0.1, 0.25)])
 
 
 @register("v5_box_filter", query(f"SELECT line_id, seq, lat, lon FROM vertices WHERE {BOX_SQL}", "vertices"))
@@ -400,7 +394,7 @@ def v16(spark, sf):
 
 define(
     "repeated",
-    """SELECT line_id, landmark, count(*) AS vertices FROM named WHERE landmark<>'—' AND line_id IN (SELECT line_id FROM vertices GROUP BY 1 HAVING count(*)<=200)
+    """SELECT line_id, landmark, count(*) AS vertices FROM named WHERE landmark<>'—'
 GROUP BY 1,2 HAVING count(*)>1""",
     "named",
     "vertices",
@@ -448,8 +442,7 @@ LEFT JOIN (SELECT line_id, count(*) AS longs FROM (SELECT line_id, {hav('plat','
    (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM ordered WINDOW w AS (PARTITION BY line_id ORDER BY seq))) WHERE km>{LONG_KM} GROUP BY 1) USING (line_id)
 LEFT JOIN (SELECT line_id, count(*) AS reps FROM (SELECT line_id, landmark, count(*) AS c FROM
    (SELECT o.line_id, o.seq, arg_min(l.name, (sqrt(power(o.lon-l.lon,2)+power(o.lat-l.lat,2)), l.ord)) AS landmark
-    FROM ordered o JOIN landmarks l ON abs(o.lat-l.lat)<0.15e0 AND abs(o.lon-l.lon)<0.15e0
-    WHERE o.line_id IN (SELECT line_id FROM base GROUP BY 1 HAVING count(*)<=200) GROUP BY 1,2) GROUP BY 1,2 HAVING count(*)>1) GROUP BY 1) USING (line_id)""",
+    FROM ordered o JOIN landmarks l ON abs(o.lat-l.lat)<0.15e0 AND abs(o.lon-l.lon)<0.15e0 GROUP BY 1,2) GROUP BY 1,2 HAVING count(*)>1) GROUP BY 1) USING (line_id)""",
         "dedup",
         "best",
         "ordered",

@@ -15,6 +15,7 @@ from strandline.operators.quality import longest_sequence
 
 # Nesting of geometry collections; deeper documents are rejected by name.
 MAX_NESTING = 8
+DEPTH_KEYS = ("lat", "lon", "depth")
 GEOJSON_TYPES = [
     "featurecollection", "feature", "polygon", "multipolygon", "linestring", "multilinestring", "geometrycollection",
 ]
@@ -26,14 +27,32 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _field(entry_map: Column, name: str) -> Column:
+    """Number under any spelling of a key; the last spelling wins, a missing key reads as zero."""
     hit = F.filter(F.map_entries(entry_map), lambda e: F.lower(e["key"]) == name)
-    return F.coalesce(F.get(hit, 0)["value"], F.lit(0.0))
+    return F.coalesce(F.try_variant_get(F.try_element_at(hit, F.lit(-1))["value"], "$", "double"), F.lit(0.0))
+
+
+def _entries(body: Column) -> Column:
+    """An array of objects with members of any kind; null if the text is something else."""
+    return F.from_json(body, "array<map<string,variant>>")
+
+
+def _not_numeric(entries: Column, names: tuple[str, ...]) -> Column:
+    """Some entry has a value under one of the names that is neither a number nor null."""
+    number = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|VOID|DECIMAL.*)$"
+    return F.exists(
+        entries,
+        lambda m: F.exists(
+            F.map_entries(m), lambda e: F.lower(e["key"]).isin(*names) & ~F.schema_of_variant(e["value"]).rlike(number)
+        ),
+    )
 
 
 def parse_points(docs: DataFrame) -> DataFrame:
-    """Point arrays with any spelling of the keys (S1); missing keys read as zero."""
-    parsed = docs.withColumn("_m", F.from_json(F.trim("payload"), "array<map<string,double>>"))
-    rows = parsed.where(F.trim("payload").startswith("[")).select("doc_id", F.posexplode("_m").alias("pos", "m"))
+    """Point arrays with any spelling of the keys and any other members (S1); missing keys read as zero."""
+    parsed = docs.withColumn("_m", _entries(F.trim("payload")))
+    readable = F.trim("payload").startswith("[") & ~F.coalesce(_not_numeric(F.col("_m"), ("lat", "lon")), F.lit(False))
+    rows = parsed.where(readable).select("doc_id", F.posexplode("_m").alias("pos", "m"))
     return rows.select(
         "doc_id", (F.col("pos") + 1).alias("seq"), _field(F.col("m"), "lat").alias("lat"), _field(F.col("m"), "lon").alias("lon")
     )
@@ -129,24 +148,32 @@ def rejected_points(docs: DataFrame) -> DataFrame:
     reason = (
         F.when(F.length(body) == 0, "empty payload")
         .when(~body.startswith("["), "unsupported payload")
-        .when(F.from_json(body, "array<map<string,double>>").isNull(), "unreadable point array")
+        .when(_entries(body).isNull() | _not_numeric(_entries(body), ("lat", "lon")), "unreadable point array")
     )
     return docs.select("doc_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def parse_bathymetry(docs: DataFrame) -> DataFrame:
-    """Depth samples in input order (S3)."""
-    rows = docs.select(
-        "doc_id",
-        F.posexplode(F.from_json("payload", "array<struct<lat: double, lon: double, depth: double>>")).alias("ord", "p"),
-    )
-    zero = F.lit(0.0)
+    """Depth samples in input order, with any spelling of the keys (S3); missing keys read as zero."""
+    parsed = docs.withColumn("_m", _entries(F.trim("payload")))
+    readable = ~F.coalesce(_not_numeric(F.col("_m"), DEPTH_KEYS), F.lit(False))
+    rows = parsed.where(readable).select("doc_id", F.posexplode("_m").alias("ord", "m"))
     return rows.select(
-        "doc_id", F.col("ord").cast("bigint").alias("ord"),
-        *[F.coalesce(F.col(f"p.{c}"), zero).alias(c) for c in ("lat", "lon", "depth")],
+        "doc_id", F.col("ord").cast("bigint").alias("ord"), *[_field(F.col("m"), c).alias(c) for c in DEPTH_KEYS]
     )
 
 
+def rejected_bathymetry(docs: DataFrame) -> DataFrame:
+    """Depth documents that hold no samples, with the reason."""
+    body = F.trim("payload")
+    reason = (
+        F.when(F.coalesce(F.length(body), F.lit(0)) == 0, "empty payload")
+        .when(_entries(body).isNull() | _not_numeric(_entries(body), DEPTH_KEYS), "unreadable depth samples")
+        .when(F.size(_entries(body)) == 0, "no depth samples")
+    )
+    return docs.select("doc_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def property_text(properties: Column, key: str) -> Column:
     """Text of a property found without regard to case (S8); numbers lose a zero fraction."""
     entries = F.map_entries(F.try_variant_get(properties, "$", "map<string,variant>"))

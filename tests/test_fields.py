@@ -179,3 +179,20 @@ def test_nested_collections(spark):
     parsed = documents.parse_geojson(docs(spark, inner, deep))
     assert documents.geojson_vertices(parsed).count() == 2
     assert [r.reason for r in documents.rejected(parsed).collect()] == ["collections nested too deep"]
+
+
+def test_point_arrays_with_other_members(spark):
+    text = '[{"lat":1,"lon":2,"name":"a","tags":["x"],"at":{"z":1}},{"lat":3,"Lat":4.5,"lon":null}]'
+    got = documents.parse_points(docs(spark, text)).orderBy("seq").collect()
+    assert [(r.lat, r.lon) for r in got] == [(1.0, 2.0), (4.5, 0.0)]
+    bad = docs(spark, '[{"lat":"1","lon":2}]', '[{"lat":1,"lon":[2]}]', text)
+    assert documents.rejected_points(bad).count() == 2
+    assert documents.parse_points(bad).select("doc_id").distinct().count() == 1
+
+
+def test_depth_samples_of_any_spelling_and_rejects(spark):
+    texts = ['[{"Lat":1,"LON":2,"Depth":-3,"note":"n"},{"lat":5}]', "", "{}x", "[]", '[{"lat":"a","lon":1,"depth":2}]']
+    got = documents.parse_bathymetry(docs(spark, *texts)).orderBy("ord").collect()
+    assert [(r.lat, r.lon, r.depth) for r in got] == [(1.0, 2.0, -3.0), (5.0, 0.0, 0.0)]
+    reasons = sorted(r.reason for r in documents.rejected_bathymetry(docs(spark, *texts)).collect())
+    assert reasons == ["empty payload", "no depth samples", "unreadable depth samples", "unreadable depth samples"]

@@ -143,3 +143,13 @@ def test_long_lines_walk_in_rounds(line):
     want = sorted(map(tuple, repair.candidate_orders(df).select(*cols).collect()))
     got = sorted(map(tuple, repair.candidate_orders(df, local_points=10, tile=12).select(*cols).collect()))
     assert got == want
+
+
+def test_local_span_moves_nothing_on_ties(spark):
+    """A walk on a grid, where many offsets are equal."""
+    rng = np.random.default_rng(5)
+    steps = rng.integers(-1, 2, (160, 2))
+    rows = [(1, i + 1, 43.0 + 0.001 * float(a), 34.0 + 0.001 * float(b)) for i, (a, b) in enumerate(np.cumsum(steps, axis=0))]
+    lines = spark.createDataFrame(rows, "line_id BIGINT, seq INT, lat DOUBLE, lon DOUBLE")
+    whole = {r.seq: r.significance for r in simplify.significance(lines, local_span=20_000).collect()}
+    assert {r.seq: r.significance for r in simplify.significance(lines, local_span=25).collect()} == pytest.approx(whole, rel=1e-9)
