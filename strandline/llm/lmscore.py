@@ -7,7 +7,7 @@ held out: a document's own occurrences are taken off every count, else each text
 find itself. A document's score is the mean log score of its words.
 
 Count tables are partitioned by hash. Documents are spread over chunks of bounded size;
-a chunk sends its distinct n-grams (sorted 64-bit hashes, as differences) with their
+a chunk sends its distinct n-grams (sorted hashes of up to 64 bits, as differences) with their
 counts to the partitions that own them, the partitions add up and send the totals back in
 the same order, and the chunk joins them to its n-grams position by position and sums
 per document. What is gathered grows with the corpus; no table is broadcast, and an
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,22 +30,39 @@ from strandline.llm.common import fold, mix64, word_hashes
 from strandline.session import ship_package
 
 #: Characters per chunk, and per partition of the count tables.
-CHUNK, PART = 4_000_000, 8_000_000
+CHUNK, PART = 8_000_000, 8_000_000
+#: Bits of a hash beyond those of the corpus size.
+SPARE = 24
 
 
 def packed(values: np.ndarray) -> bytes:
-    """64-bit words by planes of bytes: high planes of small numbers are zero and compress away."""
-    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit words by planes of bytes, compressed: high planes of small numbers are nearly empty."""
+    planes = values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    return b"".join(len(z).to_bytes(4, "big") + z for z in (zstandard.compress(p.tobytes(), 1) for p in planes))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    planes, at = [], 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        planes.append(np.frombuffer(zstandard.decompress(data[at + 4 : end]), np.uint8))
+        at = end
+    return np.ascontiguousarray(np.stack(planes, axis=1)).view(np.uint64).ravel()
 
 
-def ngrams(text: str | None, order: int) -> list[np.ndarray]:
-    """Hashes of the text's n-grams for n = 1 .. order; equal n-grams of unlike n differ."""
+def hash_bits(size: int) -> int:
+    """Bits of an n-gram's hash for a corpus of ``size`` bytes.
+
+    They grow with the corpus, so that an n-gram meets a foreign one of the same hash
+    with a chance of about one in 2 ** SPARE at every size up to 64 bits (1 TB).
+    """
+    return min(64, size.bit_length() + SPARE)
+
+
+def ngrams(text: str | None, order: int, bits: int = 64) -> list[np.ndarray]:
+    """Hashes (``bits`` high bits) of the text's n-grams for n = 1 .. order; equal n-grams of unlike n differ."""
     run = word_hashes(text.lower().encode("utf-8")) if text else np.empty(0, np.uint64)
-    return [fold(run ^ mix64(np.array([n], np.uint64)), n) for n in range(1, order + 1)]
+    return [fold(run ^ mix64(np.array([n], np.uint64)), n) >> np.uint64(64 - bits) for n in range(1, order + 1)]
 
 
 def distinct(grams: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,16 +89,17 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
     kept = [c for c in docs.columns if c not in (text, "n_words", "log_score", "mean_score", "_lm_chunk", "_lm_text")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_lm_text"))
     size = rows.agg(F.sum(F.octet_length("_lm_text"))).first()[0] or 0
+    bits = hash_bits(size)
     chunks, parts = max(1, -(-size // chunk)), max(1, -(-size // part))
     # any even spread will do; repeated rows must not meet in one chunk
     spread = F.pmod(F.xxhash64("_lm_text", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     rows = rows.withColumn("_lm_chunk", spread).repartition("_lm_chunk")
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
-        grams = [ngrams(t, order) for t in group.column("_lm_text").to_pylist()]
+        grams = [ngrams(t, order, bits) for t in group.column("_lm_text").to_pylist()]
         found, n = distinct(grams)
         words = sum(len(g[0]) for g in grams)
-        owner = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # grows with the hash
+        owner = ((found >> np.uint64(max(0, bits - 32))) * np.uint64(parts)) >> np.uint64(min(32, bits))  # grows with the hash
         edges = np.searchsorted(owner, np.arange(parts + 1, dtype=np.uint64))
         out = [
             {"part": p, "chunk": key[0].as_py(), "words": words, "grams": packed(np.diff(found[a:b], prepend=np.uint64(0))), "n": packed(n[a:b])}
@@ -102,7 +121,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
         return pa.Table.from_pylist(out, ANSWER)
 
     def join(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = [ngrams(t, order) for t in group.column("_lm_text").to_pylist()]
+        grams = [ngrams(t, order, bits) for t in group.column("_lm_text").to_pylist()]
         found, _ = distinct(grams)
         answers = answers.sort_by("part")
         totals = np.concatenate([unpacked(n) for n in answers.column("n").to_pylist()]).astype(np.int64)
