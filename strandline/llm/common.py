@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,26 +67,59 @@ def fold(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def contracted(links: DataFrame, most: int = 200_000) -> DataFrame:
+    """Links (u > v) that connect the same ids: within a task, ``most`` at a time become stars around their smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := above.get(top, top)) != top:
+                top = up
+            while x != top:
+                above[x], x = top, above.get(x, x)
+            return top
+
+        def stars() -> pa.RecordBatch:
+            u = list(above)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([root(x) for x in u], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                p, q = root(u), root(v)
+                if p != q:
+                    above[max(p, q)] = min(p, q)
+            if len(above) > most:
+                yield stars()
+                above.clear()
+        if above:
+            yield stars()
+
+    return links.mapInArrow(run, "u long, v long")
+
+
+def are_stars(edge: DataFrame) -> bool:
+    """Whether every id of ``edge`` (distinct u > v) either has one smaller neighbour or is the smallest of its own."""
+    roles = edge.select(F.col("u").alias("id"), F.lit(1).alias("ups"), F.lit(0).alias("downs"))
+    roles = roles.union(edge.select("v", F.lit(0), F.lit(1)))
+    roles = roles.groupBy("id").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+    return roles.where("ups > 1 OR (ups = 1 AND downs = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a long, b long): id, component_id (its smallest id).
 
-    Alternating large and small stars. Every round pre-aggregates the smallest
-    neighbour of each vertex and joins it back to the links; the tables of a round
-    are written to the shared folder, so that the planner knows their size and a
-    vertex with very many links is split as a skewed join. Only counts reach the
-    driver. Null ids and self links are ignored.
+    Tasks first contract what they hold; then alternating large and small stars. Every
+    round pre-aggregates the smallest neighbour of each vertex and joins it back to the
+    links; the tables of a round are written to the shared folder, so that the planner
+    knows their size and a vertex with very many links is split as a skewed join. Rounds
+    end when all links are stars. Null ids and self links are ignored.
     """
-    edge = (
-        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    edge, before = stored(edge, "links"), None
-    while True:
-        now = edge.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now[0] == 0 or now == before:
-            break
-        before = now
+    edge = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    edge = contracted(edge.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    edge = stored(contracted(edge.distinct()).distinct(), "links")
+    while not are_stars(edge):
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
