@@ -4,7 +4,7 @@ Every vector keeps a short list of its nearest known neighbours. Lists start fro
 vectors adjacent in a few sorts by random hyperplane codes. A round joins each
 vector's neighbours, forward and backward, with one another (neighbours of neighbours),
 compares them within tasks, and sends on only what is closer than the worst of a
-list. A list full of neighbours above the threshold is saturated and doubles. Rounds
+list. A list full of neighbours above the threshold is saturated and grows. Rounds
 end when few lists change and an audit against brute force, on a bounded set of
 query vectors, finds its recall.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import components
 from strandline.session import ship_package, stored
 
-#: Neighbours per list at the start and at most, sorts per start, and reach in a sort.
-LIST, LIST_MOST, SORTS, REACH = 8, 64, 6, 6
+#: Neighbours per list at the start and at most, growth of a saturated list, sorts per start, and reach in a sort.
+LIST, LIST_MOST, GROWTH, SORTS, REACH = 8, 64, 4, 6, 6
 #: Vectors joined at one place, and compared with as many in the exact count.
 JOINED, BLOCK = 64, 1024
 #: Query vectors of the audit.
@@ -111,13 +111,13 @@ def edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
 
 
 def shortened(found: DataFrame, lists: DataFrame | None, threshold: float) -> DataFrame:
-    """The nearest of ``found`` (u, v, sim) per u; a saturated list (all full above the threshold) has doubled."""
+    """The nearest of ``found`` (u, v, sim) per u; a saturated list (all full above the threshold) has grown."""
     best = found.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     if lists is None:
         return best.withColumn("rank", rank).where(F.col("rank") <= LIST).withColumn("room", F.lit(LIST))
     room = lists.groupBy("u").agg(F.max("room").alias("room"), F.sum((F.col("sim") >= threshold).cast("int")).alias("full"))
-    room = room.select("u", F.when(F.col("full") >= F.col("room"), F.least(F.col("room") * 2, F.lit(LIST_MOST))).otherwise(F.col("room")).alias("room"))
+    room = room.select("u", F.when(F.col("full") >= F.col("room"), F.least(F.col("room") * GROWTH, F.lit(LIST_MOST))).otherwise(F.col("room")).alias("room"))
     best = best.withColumn("rank", rank).where(F.col("rank") <= LIST_MOST)
     return best.join(room, "u", "left").withColumn("room", F.coalesce("room", F.lit(LIST))).where(F.col("rank") <= F.col("room"))
 
@@ -156,6 +156,18 @@ def descend(lists: DataFrame, points: DataFrame, round_: int) -> DataFrame:
     return rows.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(run, EDGE)
 
 
+def unsettled(lists: DataFrame, new: DataFrame, threshold: float) -> tuple[int, int]:
+    """Neighbours at the threshold or above that a round has brought, and all of them.
+
+    Lists with all the room there is, full of such neighbours, only swap one link for
+    another of the same class; they count as settled.
+    """
+    old = lists.select("u", "v", F.lit(True).alias("old"))
+    rows = new.where(F.col("sim") >= threshold).join(old, ["u", "v"], "left")
+    full = rows.groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.col("old").isNull()).alias("fresh"))
+    return full.agg(F.coalesce(F.sum(F.when(F.col("n") < LIST_MOST, F.col("fresh"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+
 def audit(points: DataFrame, lists: DataFrame, threshold: float, queries: int = AUDIT) -> tuple[float, DataFrame]:
     """Recall of the queries' neighbours within their lists' room, and the links that brute force finds for them.
 
@@ -246,11 +258,11 @@ def near_duplicates(
         if round_ % 2:  # a new sort brings together what no list connects
             more = more.union(adjacent(points, SORTS + round_))
         new = stored(shortened(lists.select("u", "v", "sim").union(more), lists, threshold), "lists")
-        changed = new.join(lists, ["u", "v"], "left_anti").where(F.col("sim") >= threshold).count()
+        changed, close = unsettled(lists, new, threshold)
         lists, round_ = new, round_ + 1
         reached, truth = audit(points, lists, threshold)
         extra = [truth]
-        if reached >= recall and changed <= 0.01 * max(1, lists.where(F.col("sim") >= threshold).count()):
+        if reached >= recall and changed <= 0.01 * close:
             break
     close = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
     for truth in extra:
