@@ -70,6 +70,22 @@ def distinct(grams: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(flat), return_counts=True) if flat else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
+def others(grams: list[list[np.ndarray]], totals: np.ndarray) -> np.ndarray:
+    """Per n-gram, document after document, the total count less its document's own; ``totals`` follow the sorted distinct n-grams."""
+    flat = np.concatenate([g for doc in grams for g in doc])
+    if not len(flat):
+        return np.empty(0, np.int64)
+    of = np.repeat(np.arange(len(grams), dtype=np.int32), [sum(map(len, doc)) for doc in grams])
+    order = np.argsort(flat, kind="stable")  # keeps a document's equal n-grams together
+    new = np.concatenate([[True], np.diff(flat[order]) != 0])
+    rank = np.cumsum(new) - 1
+    starts = np.flatnonzero(new | np.concatenate([[True], np.diff(of[order]) != 0]))
+    own = np.diff(np.append(starts, len(flat)))
+    out = np.empty(len(flat), np.int64)
+    out[order] = totals[rank] - np.repeat(own, own)
+    return out
+
+
 def word_scores(counts: list[np.ndarray], total: int, alpha: float) -> np.ndarray:
     """Log scores of a document's words from the held-out counts of its n-grams per order."""
     n = len(counts[0])
@@ -111,33 +127,28 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
         asked = [np.cumsum(unpacked(g), dtype=np.uint64) for g in group.column("grams").to_pylist()]
         table, where = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(where, weights=np.concatenate([unpacked(n).astype(np.float64) for n in group.column("n").to_pylist()]), minlength=len(table))
-        del where
-        totals = totals.astype(np.uint64)
+        parts_of = np.split(totals.astype(np.uint64)[where], np.cumsum([len(a) for a in asked])[:-1])
         words = sum(group.column("words").to_pylist())
         out = [
-            {"part": key[0].as_py(), "chunk": c, "words": words, "n": packed(totals[np.searchsorted(table, a)])}
-            for c, a in zip(group.column("chunk").to_pylist(), asked)
+            {"part": key[0].as_py(), "chunk": c, "words": words, "n": packed(own)} for c, own in zip(group.column("chunk").to_pylist(), parts_of)
         ]
         return pa.Table.from_pylist(out, ANSWER)
 
     def join(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         grams = [ngrams(t, order, bits) for t in group.column("_lm_text").to_pylist()]
-        found, _ = distinct(grams)
         answers = answers.sort_by("part")
         totals = np.concatenate([unpacked(n) for n in answers.column("n").to_pylist()]).astype(np.int64)
         total = answers.column("words")[0].as_py()
-        n_words, sums = [], []
+        counts = others(grams, totals)
+        n_words, sums, at = [], [], 0
         for doc in grams:
             n = len(doc[0])
             n_words.append(n)
-            if not n:
-                sums.append(None)
-                continue
             held_out = []
             for g in doc:
-                own, where, mine = np.unique(g, return_inverse=True, return_counts=True)
-                held_out.append((totals[np.searchsorted(found, own)] - mine)[where] if len(own) else np.empty(0, np.int64))
-            sums.append(float(word_scores(held_out, total - n, alpha).sum()))
+                held_out.append(counts[at : at + len(g)])
+                at += len(g)
+            sums.append(float(word_scores(held_out, total - n, alpha).sum()) if n else None)
         columns = [group.column(c) for c in kept]
         means = [None if s is None else s / n for s, n in zip(sums, n_words)]
         return pa.Table.from_arrays(
