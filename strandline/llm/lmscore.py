@@ -77,12 +77,13 @@ def others(grams: list[list[np.ndarray]], totals: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     of = np.repeat(np.arange(len(grams), dtype=np.int32), [sum(map(len, doc)) for doc in grams])
     order = np.argsort(flat, kind="stable")  # keeps a document's equal n-grams together
-    new = np.concatenate([[True], np.diff(flat[order]) != 0])
-    rank = np.cumsum(new) - 1
-    starts = np.flatnonzero(new | np.concatenate([[True], np.diff(of[order]) != 0]))
+    flat, of = flat[order], of[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    starts = np.flatnonzero(new | np.concatenate([[True], of[1:] != of[:-1]]))
     own = np.diff(np.append(starts, len(flat)))
-    out = np.empty(len(flat), np.int64)
-    out[order] = totals[rank] - np.repeat(own, own)
+    del flat, of
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(totals[np.cumsum(new[starts]) - 1] - own, own)
     return out
 
 
