@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html, jaccard, langid, lmscore, mixing, neighbours, repeats, secrets, warc
+from strandline.llm import common, decontam, html, jaccard, langid, lmscore, mixing, neighbours, repeats, secrets, warc
 from strandline.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,7 +55,10 @@ def forest(ids, links):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("contract", [True, False])
+def test_components(spark, monkeypatch, contract):
+    if not contract:  # else a small fixture is done before the first round
+        monkeypatch.setattr(common, "contracted", lambda links: links)
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, x) for x in range(101, 140)] + [(i, i + 1) for i in range(200, 230)]
     got = components(spark.createDataFrame([*links, (7, 7), (None, 3)], "a long, b long")).collect()
