@@ -6,11 +6,12 @@ vector's neighbours, forward and backward, with one another (neighbours of neigh
 compares them within tasks, and sends on only what is closer than the worst of a
 list. A list full of neighbours above the threshold is saturated and grows. Rounds
 end when few lists change and an audit against brute force, on a bounded set of
-query vectors, finds its recall.
+query vectors, misses no link; if rounds run out with less than the recall asked for,
+the call fails. The audit only measures: its links are no edges.
 
-Edges at the threshold or above are kept, and their components are the classes. Within
-a class all links are then counted exactly in double precision, block against
-block, without listing pairs, as a class of many near copies has too many.
+Edges at the threshold or above are kept, and their components are the classes. Within a class all links are then counted exactly in
+double precision, block against block, without listing pairs, as a class of many near
+copies has too many.
 
 Equal vectors are one vector with a number of copies. Vectors that are null, empty,
 zero, or hold nulls or non-finite numbers link with nothing; vectors of unlike lengths
@@ -168,8 +169,8 @@ def unsettled(lists: DataFrame, new: DataFrame, threshold: float) -> tuple[int,
     return full.agg(F.coalesce(F.sum(F.when(F.col("n") < LIST_MOST, F.col("fresh"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
 
-def audit(points: DataFrame, lists: DataFrame, threshold: float, queries: int = AUDIT) -> tuple[float, DataFrame]:
-    """Recall of the queries' neighbours within their lists' room, and the links that brute force finds for them.
+def truth(points: DataFrame, threshold: float, queries: int = AUDIT) -> DataFrame:
+    """u, v: all links of some query vectors, by brute force.
 
     The queries are the ``queries`` vectors with the smallest hashed ids; they and their
     neighbours are all that is compared, whatever the number of vectors.
@@ -193,15 +194,25 @@ def audit(points: DataFrame, lists: DataFrame, threshold: float, queries: int =
                     other = q[a] != v[own][b]
                     yield edges(q[a][other], v[own][b][other], sim[a, b][other])
 
-    truth = stored(points.select("v", "x").mapInArrow(run, EDGE), "audit")
-    have = truth.join(lists.select("u", "v", F.lit(1).alias("have")), ["u", "v"], "left")
-    # a list owes no more than its room
-    per = have.groupBy("u").agg(F.count("*").alias("n"), F.count("have").alias("found"))
-    room = lists.groupBy("u").agg(F.max("room").alias("room"))
-    owed, found = (
-        per.join(room, "u", "left").agg(F.sum(F.least("n", F.coalesce("room", F.lit(LIST)))), F.sum(F.least("found", F.coalesce("room", F.lit(LIST))))).first()
-    )
-    return (1.0 if not owed else found / owed), truth
+    return stored(points.select("v", "x").mapInArrow(run, EDGE).select("u", "v"), "audit")
+
+
+def audit(links: DataFrame, labels: DataFrame) -> float:
+    """Recall: the share of ``links`` (u, v) within one class, of all or in the mean of the vectors u, whichever is less.
+
+    No list's room limits what is owed: a link between two classes is a miss.
+    """
+    rows = links.join(labels.select(F.col("v").alias("u"), F.col("label").alias("a")), "u", "left")
+    rows = rows.join(labels.select("v", F.col("label").alias("b")), "v", "left")
+    per = rows.groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("found"))
+    whole, mean = per.agg(F.sum("found") / F.sum("n"), F.avg(F.col("found") / F.col("n"))).first()
+    return 1.0 if whole is None else min(whole, mean)
+
+
+def classes(lists: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """v and label: components of the lists' edges."""
+    close = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return stored(components(close), "labels").select(F.col("id").alias("v"), F.col("component_id").alias("label"))
 
 
 def counted(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -243,7 +254,7 @@ def counted(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFra
 def near_duplicates(
     vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.99, rounds: int = 8
 ) -> DataFrame:
-    """One row per row of ``vectors``: id, n_links, component_id, kept, and recall, the last audit's."""
+    """One row per row of ``vectors``: id, n_links, component_id, kept, and recall, the last audit's; less than ``recall`` is an error."""
     ship_package(vectors.sparkSession)
     rows = stored(units(vectors, id, vector), "units")
     copies = rows.where("v IS NOT NULL AND x IS NOT NULL").groupBy("x").agg(F.min("v").alias("v"), F.count("*").alias("copies"))
@@ -252,22 +263,19 @@ def near_duplicates(
     for seed in range(SORTS):
         start = start.union(adjacent(points, seed))
     lists = stored(shortened(start, None, threshold), "lists")
-    reached, round_, extra = 0.0, 0, []
-    while round_ < rounds:
+    links, reached, round_ = truth(points, threshold), 0.0, 0
+    while reached < 1 and round_ < rounds:
         more = descend(lists, points, round_)
         if round_ % 2:  # a new sort brings together what no list connects
             more = more.union(adjacent(points, SORTS + round_))
         new = stored(shortened(lists.select("u", "v", "sim").union(more), lists, threshold), "lists")
         changed, close = unsettled(lists, new, threshold)
         lists, round_ = new, round_ + 1
-        reached, truth = audit(points, lists, threshold)
-        extra = [truth]
-        if reached >= recall and changed <= 0.01 * close:
-            break
-    close = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    for truth in extra:
-        close = close.union(truth.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    labels = stored(components(close), "labels").withColumnRenamed("id", "v").withColumnRenamed("component_id", "label")
+        if changed <= 0.01 * close or round_ == rounds:
+            labels = classes(lists, points, threshold)
+            reached = audit(links, labels)
+    if reached < recall:
+        raise RuntimeError(f"near duplicates: recall {reached:.4f} of {recall} after {rounds} rounds")
     # classes of one length only, as unlike lengths never link
     counts = stored(counted(points.join(labels, "v"), threshold), "counts")
     named = points.join(labels, "v", "left").join(counts, "v", "left")

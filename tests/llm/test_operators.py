@@ -171,6 +171,15 @@ def test_near_duplicates(spark):
     assert neighbours.near_duplicates(data.where("false")).count() == 0
 
 
+def test_near_duplicates_are_not_the_audits(spark, monkeypatch):
+    """Lists without an entry are an error, however much brute force finds for the audit."""
+    x = np.random.default_rng(6).standard_normal((100, 8))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x + 0.01]))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "adjacent", lambda points, seed: spark.createDataFrame([], neighbours.EDGE))
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(data, rounds=2)
+
+
 # 4 WARC
 
 
