@@ -9,7 +9,10 @@ end when few lists change and an audit against brute force, on a bounded set of
 query vectors, misses no link; if rounds run out with less than the recall asked for,
 the call fails. The audit only measures: its links are no edges.
 
-Edges at the threshold or above are kept, and their components are the classes. Within a class all links are then counted exactly in
+Edges at the threshold or above are kept, and their components are the classes. Lists
+that are still saturated may owe links to other classes; their vectors are compared
+exactly with those of other classes, group by group, where the triangle inequality on
+angles leaves a link possible. Within a class all links are then counted exactly in
 double precision, block against block, without listing pairs, as a class of many near
 copies has too many.
 
@@ -20,6 +23,7 @@ do not link. Rows without an id have a null class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,10 +213,92 @@ def audit(links: DataFrame, labels: DataFrame) -> float:
     return 1.0 if whole is None else min(whole, mean)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of equal keys, which follow each other."""
+    last, group = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in keys + rest)):
+            if row[: len(keys)] != last:
+                if group:
+                    yield last, group
+                last, group = row[: len(keys)], []
+            group.append(row[len(keys) :])
+    if group:
+        yield last, group
+
+
+def across(lists: DataFrame, points: DataFrame, labels: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame | None:
+    """Links (a, b) between classes of saturated vectors: one at least for any two groups that have some; None for a single class.
+
+    A group are the saturated vectors with a common leader, of themselves and their
+    lists the vector with the smallest hashed id. It lies within the threshold's angle of its
+    leader, so leaders farther apart than both radii and that angle need no comparison.
+    """
+    limit = math.acos(max(-1.0, min(1.0, threshold)))
+    hashed = [F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v")) for c in ("u", "v")]
+    full = lists.groupBy("u").agg(
+        F.max("room").alias("room"), F.count_if(F.col("sim") >= threshold).alias("n"), F.least(F.min(hashed[0]), F.min(hashed[1]))["v"].alias("leader")
+    )
+    full = full.where("n >= room").select(F.col("u").alias("v"), "leader").join(labels, "v")
+    if full.select("label").distinct().limit(2).count() < 2:
+        return None
+    full = full.join(points.select("v", "x"), "v").join(points.select(F.col("v").alias("leader"), F.col("x").alias("y")), "leader")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            cosine = np.array([np.frombuffer(x) @ np.frombuffer(y) for x, y in pairs], dtype=float)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arccos(np.clip(cosine, -1, 1)))], names=[*batch.schema.names, "angle"])
+
+    full = full.select("label", "leader", "v", "x", "y")
+    full = stored(full.mapInArrow(measure, "label long, leader long, v long, x binary, y binary, angle double"), "saturated")
+    groups = stored(full.groupBy("leader").agg(F.min("label").alias("label"), F.min("y").alias("y"), F.max("angle").alias("radius")), "groups")
+    blocks = (groups.count() + block - 1) // block
+    dealt = groups.withColumn("own", F.expr(f"CAST(pmod(xxhash64(leader), {blocks}) AS INT)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "leader", "label", "y", "radius")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (i, j), rows in runs(batches, ("i", "j"), ("own", "leader", "label", "radius", "y")):
+            for size in {len(r[4]) for r in rows}:  # unlike lengths never link
+                own, leader, label, radius = (np.array([r[k] for r in rows if len(r[4]) == size]) for k in range(4))
+                y = np.array([np.frombuffer(r[4]) for r in rows if len(r[4]) == size])
+                for at in range(0, len(y), 256):
+                    part = slice(at, at + 256)
+                    angle = np.arccos(np.clip(y[part] @ y.T, -1, 1))
+                    # arccos is steep near one: the slack is larger than its rounding
+                    close = (angle <= radius[part, None] + radius + limit + 1e-6) & (label[part, None] != label)
+                    close &= leader[part, None] < leader
+                    if i != j:
+                        close &= own[part, None] != own
+                    a, b = np.nonzero(close)
+                    yield pa.RecordBatch.from_pydict({"g": leader[part][a], "h": leader[b]})
+
+    pairs = stored(dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(near, "g long, h long"), "near-groups")
+    sides = pairs.withColumn("leader", F.explode(F.array("g", "h"))).join(full.select("leader", "v", "x"), "leader")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (g, _), rows in runs(batches, ("g", "h"), ("leader", "v", "x")):
+            left, right = ([r for r in rows if (r[0] == g) == side] for side in (True, False))
+            y = np.array([np.frombuffer(r[2]) for r in right])
+            for at in range(0, len(left), 256):
+                a, b = np.nonzero(np.array([np.frombuffer(r[2]) for r in left[at : at + 256]]) @ y.T >= threshold)
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": [left[at + a[0]][1]], "b": [right[b[0]][1]]})
+                    break
+
+    return sides.repartition("g", "h").sortWithinPartitions("g", "h").mapInArrow(first, "a long, b long")
+
+
 def classes(lists: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
-    """v and label: components of the lists' edges."""
+    """v and label: components of the lists' edges and of the links between saturated vectors."""
     close = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    return stored(components(close), "labels").select(F.col("id").alias("v"), F.col("component_id").alias("label"))
+    labels = stored(components(close), "labels").select(F.col("id").alias("v"), F.col("component_id").alias("label"))
+    more = across(lists, points, labels, threshold)
+    if more is None:
+        return labels
+    whole = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more))
+    return stored(whole, "labels").select(F.col("id").alias("v"), F.col("component_id").alias("label"))
 
 
 def counted(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:

@@ -171,6 +171,27 @@ def test_near_duplicates(spark):
     assert neighbours.near_duplicates(data.where("false")).count() == 0
 
 
+def test_near_duplicates_beyond_the_audit(spark):
+    """Dense groups with links across and lone pairs, none of them among the audit's query vectors."""
+    rng = np.random.default_rng(5)
+    order = [r["id"] for r in spark.range(3000).orderBy(F.xxhash64("id"), "id").collect()]
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    one, off = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    centres = [one, 0.948 * one + math.sqrt(1 - 0.948**2) * off]
+    dense = np.concatenate([unit(math.sqrt(0.97) * c + math.sqrt(0.03) * unit(rng.standard_normal((100, 32)))) for c in centres])
+    single = unit(rng.standard_normal((2500, 32)))
+    pairs = unit(single[:300] + 0.35 * unit(rng.standard_normal((300, 32))))
+    x = np.concatenate([single[300:], single[:300], pairs, dense])
+    ids = order[: len(x)]
+    ids[-800:] = order[-800:]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(data).collect()}
+    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)))]
+    degree, want = Counter(i for ab in links for i in ab), forest(ids, links)
+    assert got == {i: (degree[i], want[i]) for i in ids}
+    assert len({want[i] for i in ids[-200:]}) == 1
+
+
 def test_near_duplicates_are_not_the_audits(spark, monkeypatch):
     """Lists without an entry are an error, however much brute force finds for the audit."""
     x = np.random.default_rng(6).standard_normal((100, 8))
