@@ -8,9 +8,12 @@ by their product, and paths below a threshold (a share of the page's standard
 deviation) are dropped.
 
 Tags tell what ratios cannot: a path through a menu, header, footer, sidebar, form,
-advert, notice or comment section weighs nothing however long its text, and where the
-page marks its article (``article``, ``main``, or a role or class of that name), all
-other paths of the article count as content, be they as short as a heading.
+advert, notice or comment section weighs nothing however long its text. Where the
+page marks an article (``article``, ``main``, or a role or class of that name), it is a
+prior: of the characters that the ratios call content, the share in the largest article
+says how far it is trusted. The more it holds, the lower is the threshold for its own
+paths, be they as short as a heading, and the higher for paths outside articles; an
+article that holds little, as a comment or a teaser does, moves nothing.
 Pages are independent rows; nothing is shuffled.
 """
 
@@ -56,20 +59,24 @@ BOILER_NAMES = re.compile(
     re.I,
 )
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?body|post-?content|entry-?content|story-?body|main-?content|main)(?=$|\s)", re.I)
+# the same at the start of a name only: an article may have comments or no sidebar in its name
+BOILER_ARTICLES = re.compile(r"(?:^|\s)(?:teasers?|" + BOILER_NAMES.pattern.split("(?:", 2)[2], re.I)
+#: Power of the share outside the largest article that lowers and raises the threshold.
+TRUST = 2
 #: Share of the standard deviation of the fused ratio that content must reach.
 THRESHOLD = 0.5
 
 
-def text_nodes(html: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, str]]:
-    """(path, boilerplate, in an article, number of the block, decoded text) in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, boilerplate, article
-    block, skip = 0, None
+def text_nodes(html: str) -> Iterator[tuple[tuple[str, ...], bool, int, int, str]]:
+    """(path, boilerplate, number of the outermost article or 0, number of the block, decoded text) in page order."""
+    stack: list[tuple[str, str, bool, int]] = []  # tag, label, boilerplate, article
+    block, skip, articles = 0, None, 0
     for m in TOKEN.finditer(html):
         tag = m["tag"]
         if tag is None:
             text = m["text"] if m["text"] is not None else m["data"]
             if text and skip is None:
-                above = stack[-1] if stack else ("", "", False, False)
+                above = stack[-1] if stack else ("", "", False, 0)
                 yield tuple(x[1] for x in stack), above[2], above[3], block, unescape(text)
             continue
         tag = tag.lower()
@@ -90,7 +97,7 @@ def text_nodes(html: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, st
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                above = stack[-1] if stack else ("", "", False, False)
+                above = stack[-1] if stack else ("", "", False, 0)
                 yield tuple(x[1] for x in stack), above[2], above[3], block, " "
             continue
         if tag in ENDS_P:  # a paragraph cannot hold a block
@@ -107,17 +114,20 @@ def text_nodes(html: str) -> Iterator[tuple[tuple[str, ...], bool, bool, int, st
                     names += " " + value
                 else:
                     hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or "display:none" in value.replace(" ", "")
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", "", False, 0)
         # the page itself may be named after anything
         named = tag not in ("html", "body")
         is_article = tag in ARTICLE or named and bool(ARTICLE_NAMES.search(names))
-        boiler = tag in BOILER or hidden or named and not is_article and bool(BOILER_NAMES.search(names))
+        boiler = tag in BOILER or hidden or named and bool((BOILER_ARTICLES if is_article else BOILER_NAMES).search(names))
         label = tag + (f".{names.strip()}" if names.strip() else "")
-        stack.append((tag, label, above[2] or boiler, (above[3] or is_article) and not boiler))
+        articles += is_article
+        stack.append((tag, label, above[2] or boiler, 0 if boiler else above[3] or is_article and articles))
 
 
-def content_paths(paths: list[tuple[str, ...]], sizes: np.ndarray, marks: np.ndarray, threshold: float = THRESHOLD) -> set[tuple[str, ...]]:
-    """Paths whose fused, smoothed ratio of text and punctuation to nodes reaches the threshold."""
+def content_paths(
+    paths: list[tuple[str, ...]], articles: list[int], sizes: np.ndarray, marks: np.ndarray, threshold: float = THRESHOLD
+) -> set[tuple[tuple[str, ...], int]]:
+    """(path, article) whose fused, smoothed ratio of text and punctuation to nodes reaches the threshold that its article gives it."""
     if not paths:
         return set()
     number = {p: i for i, p in enumerate(dict.fromkeys(paths))}
@@ -132,24 +142,30 @@ def content_paths(paths: list[tuple[str, ...]], sizes: np.ndarray, marks: np.nda
 
     fused = np.sqrt(length * smooth(length)) * np.sqrt(1 + marked * smooth(marked))
     limit = threshold * float(np.std(fused[of]))
-    return {p for p, i in number.items() if fused[i] >= limit}
+    held = np.bincount(articles, weights=np.where(fused[of] >= limit, sizes, 0.0))
+    # 0: outside articles
+    largest = int(held[1:].argmax()) + 1 if len(held) > 1 else 0
+    rest = (1 - held[largest] / held.sum()) ** TRUST if largest and held.sum() else 1.0
+
+    def reaches(ratio: float, article: int) -> bool:
+        if not article:
+            return ratio * rest >= limit
+        return ratio >= limit * (rest if article == largest else 1.0)
+
+    return {(p, a) for p, a in set(zip(paths, articles)) if reaches(fused[number[p]], a)}
 
 
 def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     """The page's article: blocks of text joined by blank lines; empty if there is none."""
     if not html:
         return ""
-    nodes = list(text_nodes(html))
-    marked = any(article and not boiler and text.strip() for _, boiler, article, _, text in nodes)
-    if marked:
-        kept = [(block, text) for _, boiler, article, block, text in nodes if article and not boiler]
-    else:
-        free = [(path, block, text) for path, boiler, _, block, text in nodes if not boiler]
-        full = [(path, text) for path, _, text in free if text.strip()]
-        sizes = np.array([len(t.strip()) for _, t in full], dtype=float)
-        marks = np.array([len(PUNCTUATION.findall(t)) for _, t in full], dtype=float)
-        content = content_paths([p for p, _ in full], sizes, marks, threshold)
-        kept = [(block, text) for path, block, text in free if path in content]
+    free = [(path, article, block, text) for path, boiler, article, block, text in text_nodes(html) if not boiler]
+    full = [(path, article, text) for path, article, _, text in free if text.strip()]
+    sizes = np.array([len(t.strip()) for *_, t in full], dtype=float)
+    marks = np.array([len(PUNCTUATION.findall(t)) for *_, t in full], dtype=float)
+    content = content_paths([p for p, *_ in full], [a for _, a, _ in full], sizes, marks, threshold)
+    # space between two nodes has no ratio of its own
+    kept = [(block, text) for path, article, block, text in free if (path, article) in content or not text.strip()]
     blocks: dict[int, list[str]] = {}
     for block, text in kept:
         blocks.setdefault(block, []).append(text)

@@ -245,6 +245,25 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+SENTENCE = "A long sentence, with commas, and words. More of it follows here, and then some more."
+DIVS = "<div>" + "".join(f"<p>{SENTENCE} Number {i}, too.</p>" for i in range(6)) + "</div>"
+BODY = "\n\n".join(f"{SENTENCE} Number {i}, too." for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body>{DIVS}<article class='comment'><p>Me too, a long remark, which I make.</p></article>", BODY),
+        (f"<body>{DIVS}" + "<article class=card><h3>Card</h3><p>Read on, friend.</p></article>" * 5, BODY),
+        (f"<body>{DIVS}<main><p>Read on</p></main>", BODY),
+        (f"<body><div><span>tail</span></div>{DIVS}", BODY),
+        (f"<body><article class='post has-comments no-sidebar'><h1>Head</h1>{DIVS}</article><div>tail</div>", f"Head\n\n{BODY}"),
+    ],
+)
+def test_main_text_with_misleading_or_no_articles(page, want):
+    assert html.main_text(page) == want
+
+
 def test_extract_frame(spark):
     data = spark.createDataFrame([(1, "u", "<main><p>x</p></main>", "old"), (1, None, None, None)], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html.extract(data).orderBy("text").collect()] == [(1, None, ""), (1, "u", "x")]
