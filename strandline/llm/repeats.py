@@ -1,7 +1,10 @@
 """Substring dedup of paragraphs by MinHash banding (operator 9).
 
 A text is cut into paragraphs at line ends; those of ``min_words`` words or more take
-part. Equal paragraphs are one from the start. Of the others, MinHash signatures are
+part. Shorter lines that follow each other (verse, lists, code, dialogue) are joined to
+paragraphs of at least ``min_words`` words, which begin at lines whose hash is the least
+among the ``min_words`` words on either side. That depends on near lines only, so copies
+are cut alike but for the pieces at the ends of a run. Equal paragraphs are one from the start. Of the others, MinHash signatures are
 cut into bands tuned for recall (the most rows per band that still find a pair at the
 threshold with ``recall``); paragraphs that collide in a band are compared exactly, by
 the Jaccard similarity of their word shingles. Links make clusters by connected
@@ -15,6 +18,7 @@ repeat an id are occurrences like any other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +42,43 @@ def bands(threshold: float, hashes: int = 64, recall: float = 0.999) -> tuple[in
 
 def paragraphs(text: str | None, min_words: int) -> list[tuple[int, int, str]]:
     """(start, end, paragraph) in code points, of ``min_words`` words or more."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        if line.count(" ") + 1 >= min_words and len(line.split()) >= min_words:
+    out, at, run = [], 0, []
+    text = text or ""
+    for line in text.split("\n"):
+        n = len(line.split())
+        if n >= min_words:
+            out += [(a, b, text[a:b]) for a, b in joined(run, min_words)]
             out.append((at, at + len(line), line))
+            run = []
+        elif n:
+            run.append((at, line, n))
         at += len(line) + 1
-    return out
+    return out + [(a, b, text[a:b]) for a, b in joined(run, min_words)]
+
+
+def joined(run: list[tuple[int, str, int]], min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the paragraphs that consecutive short lines (start, line, words) make; none below ``min_words``."""
+    total = sum(n for *_, n in run)
+    if total < min_words:
+        return []
+    hashes = [zlib.crc32(" ".join(line.split()).encode("utf-8", "replace")) for _, line, _ in run]
+    before = [0]
+    for *_, n in run:
+        before.append(before[-1] + n)
+    firsts = [0]
+    for i in range(1, len(run)):
+        if not min_words <= before[i] <= total - min_words:
+            continue
+        low, high = i, i + 1
+        while low and before[i] - before[low - 1] < min_words:
+            low -= 1
+        while high < len(run) and before[high] - before[i] < min_words:
+            high += 1
+        # of equal lines the first
+        if all(h > hashes[i] for h in hashes[low:i]) and all(h >= hashes[i] for h in hashes[i + 1 : high]):
+            firsts.append(i)
+    lasts = [i - 1 for i in firsts[1:]] + [len(run) - 1]
+    return [(run[a][0], run[b][0] + len(run[b][1])) for a, b in zip(firsts, lasts)]
 
 
 def cut(docs: DataFrame, width: int, rule: Threshold, min_words: int) -> DataFrame:

@@ -411,6 +411,25 @@ def test_repeated_paragraphs(spark):
     assert 1 - (1 - 0.8**rows) ** n >= 0.999
 
 
+def test_short_lines_are_joined(spark):
+    rng = random.Random(10)
+    lines = lambda n: ["\t".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6)) for _ in range(n)]
+    long_ = lambda: " ".join(x for y in lines(5) for x in y.split())
+    verse, poem, tabs = lines(10), lines(60), "\t".join(lines(4))
+    texts = [
+        "\n".join([long_(), *verse, long_()]), "\n".join([long_(), *verse[:4], "", *verse[4:]]), "\n".join(lines(9)),
+        "\n".join(lines(3) + poem + lines(4)), "\n".join(lines(5) + poem + lines(2)), f"{long_()}\n{tabs}", tabs,
+    ]
+    gone = defaultdict(set)
+    for r in repeats.repeated(frame(spark, texts)).collect():
+        assert r["words"] >= 20
+        gone[r["doc_id"]] |= set(texts[r["doc_id"]][r["start"] : r["end"]].split())
+    assert gone.keys() == {1, 4, 6}
+    assert gone[1] == {w for v in verse for w in v.split()} and gone[6] == set(tabs.split())
+    # all but the pieces at the ends, where other short lines adjoin
+    assert len(gone[4] & {w for v in poem for w in v.split()}) > 180
+
+
 # 10 secrets
 
 BASE = [
