@@ -1,8 +1,9 @@
 """Secret scans with dictionary-primed zstandard novelty (operator 10).
 
 Three fixed patterns give the base findings. Beyond them, every token that could be a
-key (16 or more of ``[A-Za-z0-9+/_=-]`` with letters and digits) and follows a
-sensitive word closely is a candidate. Its novelty is what it costs to say: the bytes
+key (16 or more of ``[A-Za-z0-9+/_=-]``) with a sensitive word close before or behind it,
+on whatever line, is a candidate, and so is the whole body of a private key's PEM block,
+to its END line. A candidate's novelty is what it costs to say: the bytes
 of its surroundings with it, compressed, less those without it, per character, with
 a compressor primed by a dictionary of identifiers and code. Words, names and repeats
 of the surroundings cost next to nothing; keys cost nearly a byte a character and
@@ -35,13 +36,16 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 # maximal runs, as the looks behind keep a search from starting inside one
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-#: Words that make what follows sensitive.
+#: Words that make what stands near them sensitive.
 SENSITIVE = re.compile(
     r"(?:passw|passphrase|pwd|secret|token|api.?key|private.?key|access.?key|credential|auth|bearer|client.?id|signature)", re.I | re.A
 )
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Characters between a sensitive word and its candidate, and on either side as surroundings.
+#: A block without an END line ends with its lines of key characters.
+PEM = re.compile(
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?P<body>(?:(?!-----BEGIN )[\s\S])*?)-----END |(?P<open>(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})+(?:(?:\s|\\[nr])*[A-Za-z0-9+/]+={1,2})?))"
+)
+#: Characters between a sensitive word and its candidate before or behind it, and on either side as surroundings.
 REACH, AROUND = 40, 256
 #: Bytes per character from which a candidate is incompressible.
 NOVELTY = 0.7
@@ -91,15 +95,23 @@ class Scanner:
         return found
 
     def novel(self, text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Incompressible candidates in a sensitive context that no base finding touches."""
+        """Incompressible candidates in a sensitive context that no base finding touches, and bodies of private keys."""
         found = []
+        for m in PEM.finditer(text) if "-----BEGIN " in text else ():
+            start, end = m.span(m.lastgroup)
+            body = m[m.lastgroup]
+            start, end = start + len(body) - len(body.lstrip()), end - len(body) + len(body.rstrip())
+            if CANDIDATE.search(body) and self.cost(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= self.novelty:
+                found.append(("novel", start, end))
+        known = known + found
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
-            if not (DIGIT.search(m[0]) and LETTER.search(m[0])) or any(s < end and start < e for _, s, e in known):
-                continue
-            line = text[max(0, start - REACH - 20) : start].rpartition("\n")[2]
-            if not any(len(line) - w.end() <= REACH for w in SENSITIVE.finditer(line)):
+            if any(s < end and start < e for _, s, e in known):
                 continue
+            before, after = text[max(0, start - REACH - 20) : start], text[end : end + REACH + 20]
+            if not any(len(before) - w.end() <= REACH for w in SENSITIVE.finditer(before)):
+                if not any(w.start() <= REACH for w in SENSITIVE.finditer(after)):
+                    continue
             if self.cost(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= self.novelty:
                 found.append(("novel", start, end))
         return found
