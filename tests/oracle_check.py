@@ -31,6 +31,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(pdf: pd.DataFrame) -> list[tuple]:
     rows = []
+    # whole numbers with nulls are floats on one side and nullable integers on the other
+    pdf = pdf.astype({c: "float64" for c in pdf.columns if str(pdf[c].dtype) == "Int64" and pdf[c].isna().any()})
     for row in pdf[sorted(pdf.columns)].itertuples(index=False):
         out = []
         for v in row:
