@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html, jaccard, langid, lmscore, mixing, neighbours, repeats, secrets, warc
+from strandline.llm import (
+    decontam, html, jaccard, langid, lmscore, merkle, mixing, neighbours, packing, repeats, resampling, secrets, warc
+)
 from strandline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +224,102 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans")
     )
+
+
+@register("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+# CRC-32 by half bytes: the table of its sixteen steps, and a fold over the hexadecimal digits, low half first
+CRC = """list_reduce(
+    list_transform(range(0, 2 * octet_length(encode({0}))), lambda i: CAST(strpos('0123456789abcdef',
+      substr(lower(hex(encode({0}))), i + 2 - 2 * (i % 2), 1)) - 1 AS BIGINT)),
+    lambda c, x: xor([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384,
+      4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][1 + (xor(c, x) & 15)], c >> 4),
+    CAST(4294967295 AS BIGINT))"""
+
+OP12 = r"""
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (
+  SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+b AS (SELECT f, xor(CRC_OF_F, 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM f)),
+n AS (SELECT b, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f JOIN b USING (f) GROUP BY b),
+a AS (SELECT count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f),
+g AS (
+  SELECT b, CAST(floor(1000 * ln(CAST(n.t + 1 AS DOUBLE) * (a.s + 10000) / (CAST(n.s + 1 AS DOUBLE) * (a.t + 10000)))) AS BIGINT) AS g FROM n CROSS JOIN a),
+d AS (SELECT id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS w FROM f JOIN b USING (f) JOIN g USING (b) WHERE kind = 0 GROUP BY id),
+s AS (
+  SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(d.w, 0)::BIGINT AS weight, len(w.w) >= 20 AS long,
+         coalesce(d.w, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('7:' || id), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN d USING (id) WHERE kind = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY long ORDER BY score DESC, doc_id) AS r, 25 * count(*) FILTER (long) OVER () // 100 AS k FROM s)
+SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN long AND r <= k THEN r END::BIGINT AS rank FROM r
+""".replace("CRC_OF_F", CRC.format("f"))
+
+
+@register("op12_importance_resampling", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's distribution."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+OP13 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+           || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS front,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS back, n_chars,
+         n_chars + CASE WHEN xor(CRC_OF_ID, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS other
+  FROM documents),
+leaf AS (
+  SELECT doc_id, tree, sha256(front || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS leaf,
+         sha256(front || coalesce(length(other::VARCHAR) || ':' || other, '-') || back) AS bad FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+low AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+sub AS (SELECT tree, h, level AS height, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, h, n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2, n),
+walk AS (
+  SELECT doc_id, tree, 0 AS level, pos, n, bad AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.tree, w.level + 1, w.pos // 2, (w.n + 1) // 2,
+         sha256(CASE WHEN s.h IS NULL THEN w.h WHEN w.pos % 2 = 1 THEN s.h || w.h ELSE w.h || s.h END), w.proof || coalesce(s.h, '')
+  FROM walk w LEFT JOIN low s ON s.tree = w.tree AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+climb AS (
+  SELECT w.doc_id, w.tree, 0 AS level, sub.pos, sub.n, w.h, w.proof FROM walk w JOIN sub USING (tree) WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.tree, w.level + 1, w.pos // 2, (w.n + 1) // 2,
+         sha256(CASE WHEN s.h IS NULL THEN w.h WHEN w.pos % 2 = 1 THEN s.h || w.h ELSE w.h || s.h END), w.proof || coalesce(s.h, '')
+  FROM climb w LEFT JOIN high s ON s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1)
+SELECT p.doc_id, p.leaf, sub.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM placed p JOIN climb c ON c.doc_id = p.doc_id AND c.n = 1 JOIN sub ON sub.tree = p.tree CROSS JOIN (SELECT h FROM high WHERE n = 1) r
+""".replace("CRC_OF_ID", CRC.format("doc_id::VARCHAR"))
+
+
+@register("op13_merkle_manifest", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by language; a seventh of them is checked with a changed length."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    docs = docs.withColumn("seen", merkle.leaf_hash([changed if c == "n_chars" else F.col(c) for c in fields]))
+    found = merkle.manifest(docs, fields, carry=("doc_id", "seen"))
+    found = found.withColumn("folded_root", merkle.folded(F.col("seen"), F.col("proof"), F.col("sides")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )

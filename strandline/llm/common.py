@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.session import stored
@@ -130,3 +131,62 @@ def components(links: DataFrame) -> DataFrame:
     return edge.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(
         edge.select("v", F.col("v").alias("component_id")).distinct()
     )
+
+
+#: Bytes of text that a task turns into arrays at once; longer texts come in segments.
+SEGMENT = 2_000_000
+NOT_BLANK = re.compile(rb"[^ ]")
+
+
+def segments(text: bytes, overlap: bool, most: int | None = None) -> Iterator[tuple[bytes, bool]]:
+    """(stretch, whether its first word was seen) of ``text``: about ``most`` bytes each, cut at white space, never in a word.
+
+    With ``overlap`` a stretch begins with the last word of the one before. A longer word makes
+    a longer stretch. At least one stretch, also of an empty text.
+    """
+    most = most or SEGMENT
+    if len(text) <= most:
+        yield text, False
+        return
+    blank = text.translate(BLANK)
+    at, seen, again = 0, -1, False  # the next stretch begins at ``at``, its new words after ``seen``
+    while len(text) - at > most:
+        cut = blank.rfind(b" ", seen + 1, at + most)
+        if cut <= at:
+            cut = blank.find(b" ", max(seen + 1, at + most))
+        if cut < 0:
+            break
+        end = at + len(blank[at:cut].rstrip(b" "))
+        if overlap and again and end <= seen:  # blanks only: on to the end of the next word
+            word = NOT_BLANK.search(blank, cut)
+            cut = blank.find(b" ", word.start()) if word else -1
+            if cut < 0:
+                break
+            end = cut
+        yield text[at:cut], again
+        again = overlap and end > at
+        at, seen = (max(blank.rfind(b" ", at, end) + 1, at), end) if again else (cut, cut)
+    yield text[at:], again
+
+
+def numbered(rows: DataFrame, order: list[Column], column: str, name: str = "numbered") -> DataFrame:
+    """``rows`` with their number (from 0) in the order of ``order`` over the whole table, in ``column``.
+
+    Rows are sorted in ranges, so no task holds more than a range; the ranges are written
+    to the shared folder with the number of every row in its own, and rows of earlier
+    ranges are added from one count per range. Rows that tie in ``order`` are told apart
+    by where they were read, so equal rows spread over ranges, too.
+    """
+    ties = rows.withColumn("_nb_tie", F.monotonically_increasing_id())
+    keys = [*order, F.col("_nb_tie")]
+    sorted_ = ties.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_nb_tie")
+    # the range's number in the upper bits, the row's number in its range in the lower 33
+    ranges = stored(sorted_.withColumn("_nb_at", F.monotonically_increasing_id()), name)
+    part = F.call_function("shiftright", F.col("_nb_at"), F.lit(33))
+    counts = ranges.groupBy(part.alias("_nb_part")).agg(F.count("*").alias("_nb_n"))
+    before = Window.orderBy("_nb_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = counts.select("_nb_part", F.coalesce(F.sum("_nb_n").over(before), F.lit(0)).alias("_nb_start"))
+    starts = stored(starts, f"{name}-ranges")
+    found = ranges.withColumn("_nb_part", part).join(starts, "_nb_part")
+    at = F.col("_nb_start") + F.col("_nb_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], at.alias(column))
