@@ -2,6 +2,11 @@
 
 Per-scenario figures are combining aggregates; order-aware figures use the
 chunked helpers, so a scenario with very many steps is never sorted whole.
+
+Only ``step`` and ``length_km`` are needed. Other columns may be absent, or null
+all through a scenario whose file lacks them: figures of what is not there are null,
+counts of storms are 0, and a scenario without years, without volumes or without storm
+marks has no row in the tables of temporal change, erosion totals or storms.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.lines import attach, previous_row, running
+from strandline.schemas import STEP_METRICS
 
 KEY = ["scenario"]
 # Message formats and trend limits.
@@ -36,9 +42,15 @@ def _sum_if(cond: Column, value: str) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.col(value))), F.lit(0.0))
 
 
+def completed(m: DataFrame) -> DataFrame:
+    """``m`` with its absent optional columns as nulls."""
+    absent = [f for f in STEP_METRICS if f.name not in m.columns]
+    return m.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}) if absent else m
+
+
 def basic_statistics(m: DataFrame) -> DataFrame:
     """R1."""
-    return m.groupBy(*KEY).agg(
+    return completed(m).groupBy(*KEY).agg(
         F.count("*").alias("total_steps"),
         _first("length_km").alias("initial_length_km"),
         _last("length_km").alias("final_length_km"),
@@ -49,40 +61,41 @@ def basic_statistics(m: DataFrame) -> DataFrame:
 
 
 def temporal_change(m: DataFrame) -> DataFrame:
-    """R2, R12."""
+    """None for scenarios without years."""
     years = _last("year") - _first("year")
     change = _last("length_km") - _first("length_km")
-    return m.groupBy(*KEY).agg(
+    return completed(m).groupBy(*KEY).agg(
         years.alias("simulated_years"),
         change.alias("length_change_km"),
         (change / _first("length_km") * 100).alias("length_change_percent"),
         _ratio(change, years).alias("mean_annual_change_km"),
-    )
+    ).where(F.col("simulated_years").isNotNull())
 
 
 def erosion_totals(m: DataFrame) -> DataFrame:
-    """R3, R11."""
-    return m.groupBy(*KEY).agg(
+    """None for scenarios without eroded volumes or net change."""
+    return completed(m).groupBy(*KEY).agg(
         F.sum("eroded_m3").alias("total_eroded_m3"),
-        F.sum("deposited_m3").alias("total_deposited_m3"),
+        F.coalesce(F.sum("deposited_m3"), F.lit(0.0)).alias("total_deposited_m3"),
         F.sum("net_change_m3").alias("net_change_m3"),
         F.avg("eroded_m3").alias("mean_erosion_m3"),
         F.max("eroded_m3").alias("max_erosion_step_m3"),
         F.min("eroded_m3").alias("min_erosion_step_m3"),
-    )
+    ).where("total_eroded_m3 IS NOT NULL AND net_change_m3 IS NOT NULL")
 
 
 def storm_split(m: DataFrame) -> DataFrame:
-    """R4, R5, R20."""
+    """None for scenarios without storm marks; erosion is null without net change."""
     storm = F.col("storm_event")
-    agg = m.groupBy(*KEY).agg(
+    known = F.count("net_change_m3") > 0
+    agg = completed(m).groupBy(*KEY).agg(
         F.count("*").alias("total_steps"),
         F.count_if(storm).alias("storm_events"),
         F.count_if(~storm).alias("normal_steps"),
-        _sum_if(storm, "net_change_m3").alias("storm_erosion_m3"),
-        _sum_if(~storm, "net_change_m3").alias("normal_erosion_m3"),
+        F.when(known, _sum_if(storm, "net_change_m3")).alias("storm_erosion_m3"),
+        F.when(known, _sum_if(~storm, "net_change_m3")).alias("normal_erosion_m3"),
     )
-    return agg.withColumns(
+    return agg.where("storm_events + normal_steps > 0").withColumns(
         {
             "storm_frequency": F.col("storm_events") / F.col("total_steps"),
             "storm_efficiency": _ratio(F.col("storm_erosion_m3"), F.col("storm_events")),
@@ -97,7 +110,7 @@ def storm_comparison(m: DataFrame) -> DataFrame:
     """R6."""
     storm = F.col("storm_event")
     zero = F.lit(0.0)
-    agg = m.groupBy(*KEY).agg(
+    agg = completed(m).groupBy(*KEY).agg(
         F.count_if(storm).alias("n_storm"),
         F.count_if(~storm).alias("n_normal"),
         F.coalesce(F.avg(F.when(storm, F.col("length_km"))), zero).alias("storm_mean_length"),
@@ -119,11 +132,12 @@ def storm_comparison(m: DataFrame) -> DataFrame:
 
 def storm_rows(m: DataFrame) -> DataFrame:
     """Storm rows with the storm row before them (for R7 and R8)."""
-    return previous_row(m.where("storm_event"), ["year", "length_km"], KEY, "step")
+    return previous_row(completed(m).where("storm_event"), ["year", "length_km"], KEY, "step")
 
 
 def storm_timing(m: DataFrame) -> DataFrame:
     """Spacing of storms in years (population deviation) and seasonal means."""
+    m = completed(m)
     gap = F.col("year") - F.col("prev.year")
     spacing = storm_rows(m).groupBy(*KEY).agg(
         F.coalesce(F.avg(gap), F.lit(0.0)).alias("storm_interval_mean"),
@@ -143,6 +157,7 @@ def storm_timing(m: DataFrame) -> DataFrame:
 def storm_impact(m: DataFrame) -> DataFrame:
     """Single-storm impact and length change between consecutive storm rows."""
     change = F.col("length_km") - F.col("prev.length_km")
+    m = completed(m)
     storms = storm_rows(m).groupBy(*KEY).agg(
         F.max("net_change_m3").alias("max_single_storm"),
         F.min("net_change_m3").alias("min_single_storm"),
@@ -171,7 +186,7 @@ def overview(m: DataFrame) -> DataFrame:
 
 def final_metrics(m: DataFrame) -> DataFrame:
     """R10."""
-    return m.groupBy(*KEY).agg(
+    return completed(m).groupBy(*KEY).agg(
         _last("length_km").alias("length_km"),
         _last("area_km2").alias("area_km2"),
         F.sum("eroded_m3").alias("total_erosion_m3"),
@@ -206,7 +221,8 @@ def step_rates(m: DataFrame) -> DataFrame:
 
 def linear_trend(m: DataFrame) -> DataFrame:
     """Fitted line over years (or steps), for more than two rows."""
-    x = "year" if "year" in m.columns else "step"
+    m = m.withColumn("_x", F.coalesce("year", "step") if "year" in m.columns else F.col("step"))
+    x = "_x"
     fit = m.groupBy(*KEY).agg(
         F.count("*").alias("n"),
         F.min("step").alias("lo_seq"),
@@ -215,7 +231,7 @@ def linear_trend(m: DataFrame) -> DataFrame:
         F.regr_intercept("length_km", x).alias("intercept"),
     ).where((F.col("n") > 2) & F.col("slope").isNotNull())
     return attach(m, fit, KEY, "step").withColumn("fitted_km", F.col("intercept") + F.col("slope") * F.col(x)).drop(
-        "n", "lo_seq", "hi_seq"
+        "n", "lo_seq", "hi_seq", "_x"
     )
 
 
@@ -231,7 +247,8 @@ def trend_class(m: DataFrame) -> DataFrame:
 
 
 def findings(m: DataFrame) -> DataFrame:
-    """List of findings per scenario."""
+    """List of findings per scenario; none about erosion where its volumes are not known."""
+    m = completed(m)
     storm = F.col("storm_event")
     facts = m.groupBy(*KEY).agg(
         F.count("*").alias("n"),
@@ -249,7 +266,9 @@ def findings(m: DataFrame) -> DataFrame:
             F.when(change < 0, F.format_string(MSG_SHRUNK, F.abs(change), F.abs(pct))).otherwise(
                 F.format_string(MSG_GREW, change, pct)
             ),
-            F.when(F.col("eroded") > 0, F.format_string(MSG_ERODED, F.col("eroded"))).otherwise(F.lit(MSG_ACCUMULATED)),
+            F.when(F.col("eroded") > 0, F.format_string(MSG_ERODED, F.col("eroded"))).when(
+                F.col("eroded").isNotNull(), F.lit(MSG_ACCUMULATED)
+            ),
             F.when(F.col("storms") > 0, F.format_string(MSG_STORMS, F.col("storms"), F.round(F.col("storms") / F.col("n"), 3))),
             F.when(
                 (F.col("storms") > 0) & (F.abs(F.col("storm_net")) > F.abs(F.col("normal_net"))), F.lit(MSG_DOMINANT)
@@ -264,7 +283,8 @@ def findings(m: DataFrame) -> DataFrame:
 
 def storm_histogram(m: DataFrame) -> DataFrame:
     """Storms per whole year, with empty buckets."""
-    x = F.floor(F.col("year")) if "year" in m.columns else F.col("step").cast("bigint")
+    m = completed(m)
+    x = F.coalesce(F.floor("year"), F.col("step").cast("bigint"))
     hits = m.where("storm_event").groupBy(*KEY, x.alias("bucket")).agg(F.count("*").alias("storms"))
     span = m.groupBy(*KEY).agg((F.count("*") - 1).alias("rows"), F.max(F.when(F.col("storm_event"), x)).alias("top"))
     buckets = span.select(
@@ -276,6 +296,6 @@ def storm_histogram(m: DataFrame) -> DataFrame:
 
 def step_details(m: DataFrame) -> DataFrame:
     """The rows of the report tables."""
-    return m.select(
+    return completed(m).select(
         *KEY, "step", "year", "length_km", "area_km2", "eroded_m3", "deposited_m3", "net_change_m3", "storm_event"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geo
 from strandline.lines import lookup_join, with_one_row
+from strandline.session import stored
 
 # Fixed values of the rock interpolation.
 NEIGHBOURS = 6
@@ -89,9 +90,11 @@ def depth_factor(depth: Column, scale_m: float | Column) -> Column:
 
 # -- nearest points ----------------------------------------------------------
 
-FINER = 4
-LEVELS = FINER + 7
-EVERYWHERE = 99
+#: Halvings of the box that the finest cells are made by, and halvings from one tier of cells to the next.
+DEPTH, STEP = 48, 3
+#: A cell with more points than this is divided before its points are looked at.
+CROWDED = 12
+CELL = ["depth", "ci", "cj"]
 
 
 def _keep_first(points: DataFrame, k: int) -> DataFrame:
@@ -104,118 +107,97 @@ def _keep_first(points: DataFrame, k: int) -> DataFrame:
     return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def _around(index: Column, reach: int) -> Column:
-    return F.sequence(index - reach, index + reach)
+def _finest(value: str, low: Column, side: Column) -> Column:
+    """Number of the finest cell along one axis; the far border belongs to the last cell."""
+    return F.least(F.floor((F.col(value) - low) / side * float(2**DEPTH)), F.lit(2**DEPTH - 1))
 
 
-def _up(name: str) -> Column:
-    return F.floor(F.col(name) / F.pow(F.lit(2.0), F.col("level").cast("double")))
+def _at_depths(rows: DataFrame) -> DataFrame:
+    """Every row once per tier of cells, with its cell."""
+    def cell(name):
+        return F.call_function("shiftright", F.col(name), F.lit(DEPTH) - F.col("depth"))
 
+    tiers = F.explode(F.sequence(F.lit(0), F.lit(DEPTH), F.lit(STEP)))
+    return rows.withColumn("depth", tiers).withColumns({"ci": cell("fi"), "cj": cell("fj")})
 
-def nearest_candidates(cells: DataFrame, points: DataFrame, k: int, finest: float) -> DataFrame:
-    """Points that may be among the ``k`` nearest of some place in a cell.
 
-    ``cells`` has distinct integers ``qi, qj`` of the finest grid; the result
-    adds an array of candidates to each.  A cell belongs to the block at the
-    smallest level whose 3 x 3 surroundings hold ``k`` points: small blocks where
-    points are dense, large ones where they are rare.  Those points lie within
-    three blocks, so the 7 x 7 surroundings contain the nearest ``k`` of every
-    place in the block.  They are thinned: a point farther than the k-th largest
-    possible distance cannot be wanted.  Blocks share their list.
+def _reach(frontier: DataFrame, k: int) -> DataFrame:
+    """Cells that can hold one of the ``k`` nearest points of their place.
+
+    Going through a place's cells by their farthest point, the one that brings the count to ``k``
+    bounds the distance; cells that begin beyond are left out.
     """
-    kept = _keep_first(points, k)
-    levels = F.explode(F.array(*[F.lit(n) for n in range(LEVELS)], F.lit(EVERYWHERE)))
-    width = F.lit(finest) * F.pow(
-        F.lit(2.0), F.when(F.col("level") == EVERYWHERE, F.lit(LEVELS - 1)).otherwise(F.col("level")).cast("double")
-    )
-    everywhere = F.col("level") == EVERYWHERE
-    origin = F.lit(0).cast("bigint")
-    placed = kept.withColumn("level", levels).withColumns(
-        {
-            "li": F.when(everywhere, origin).otherwise(F.floor(F.col("lat") / width)),
-            "lj": F.when(everywhere, origin).otherwise(F.floor(F.col("lon") / width)),
-        }
-    )
-    # number of points in the 3 x 3 surroundings of a block
-    enough = (
-        placed.where(~everywhere)
-        .groupBy("level", "li", "lj")
-        .agg(F.count("*").alias("n"))
-        .withColumn("gi", F.explode(_around(F.col("li"), 1)))
-        .withColumn("gj", F.explode(_around(F.col("lj"), 1)))
-        .groupBy("level", "gi", "gj")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= k)
-        .select("level", "gi", "gj")
-    )
-    climbed = (
-        cells.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(LEVELS)])))
-        .withColumns({"gi": _up("qi"), "gj": _up("qj")})
-        .join(enough, ["level", "gi", "gj"], "left_semi")
-        .groupBy("qi", "qj")
-        .agg(F.min("level").alias("level"))
-    )
-    top = float(2 ** (LEVELS - 1))
-    blocks = (
-        cells.join(climbed, ["qi", "qj"], "left")
-        .withColumn("level", F.coalesce("level", F.lit(EVERYWHERE)))
-        .withColumns(
-            {
-                "gi": F.when(everywhere, F.floor(F.col("qi") / top)).otherwise(_up("qi")),
-                "gj": F.when(everywhere, F.floor(F.col("qj") / top)).otherwise(_up("qj")),
-            }
-        )
-    )
-    block = ["level", "gi", "gj"]
-    wanted = (
-        blocks.select(*block)
-        .distinct()
-        .withColumn("li", F.explode(F.when(everywhere, F.array(origin)).otherwise(_around(F.col("gi"), 3))))
-        .withColumn("lj", F.explode(F.when(everywhere, F.array(origin)).otherwise(_around(F.col("gj"), 3))))
-    )
-    met = wanted.join(placed, ["level", "li", "lj"])
-    lo_i, hi_i = F.col("gi") * width, (F.col("gi") + 1) * width
-    lo_j, hi_j = F.col("gj") * width, (F.col("gj") + 1) * width
     zero = F.lit(0.0)
+    lat, lon = F.col("lat"), F.col("lon")
     near = geo.length2d(
-        F.greatest(lo_i - F.col("lat"), F.col("lat") - hi_i, zero), F.greatest(lo_j - F.col("lon"), F.col("lon") - hi_j, zero)
+        F.greatest(F.col("lat0") - lat, lat - F.col("lat1"), zero), F.greatest(F.col("lon0") - lon, lon - F.col("lon1"), zero)
     )
     far = geo.length2d(
-        F.greatest(F.abs(F.col("lat") - lo_i), F.abs(F.col("lat") - hi_i)),
-        F.greatest(F.abs(F.col("lon") - lo_j), F.abs(F.col("lon") - hi_j)),
+        F.greatest(F.abs(lat - F.col("lat0")), F.abs(lat - F.col("lat1"))),
+        F.greatest(F.abs(lon - F.col("lon0")), F.abs(lon - F.col("lon1"))),
     )
-    per_block = Window.partitionBy(*block)
-    ranked = met.withColumns({"_near": near, "_far": far}).withColumn(
-        "_r", F.row_number().over(per_block.orderBy("_far", "ord"))
-    )
-    limit = F.max(F.when(F.col("_r") <= k, F.col("_far"))).over(per_block)
-    thinned = ranked.withColumn("_limit", limit).where(F.col("_near") <= F.col("_limit") + 1e-9)
-    carry = [c for c in points.columns if c not in ("ord", "lat", "lon")]
-    lists = thinned.groupBy(*block).agg(
-        F.collect_list(F.struct("ord", F.col("lat").alias("plat"), F.col("lon").alias("plon"), *carry)).alias("_c")
-    )
-    return blocks.join(lists, block, "left").select("qi", "qj", "_c")
-
-
-def nearest_points(
-    places: DataFrame, points: DataFrame, k: int = NEIGHBOURS, cell: float = 0.5, carry: Sequence[str] = ()
-) -> DataFrame:
+    place = Window.partitionBy("lat", "lon")
+    before = place.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = frontier.withColumns({"_near": near, "_far": far}).withColumn("_sum", F.sum("n").over(before))
+    limit = F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(place)
+    ranked = ranked.withColumn("_limit", F.coalesce(limit, F.lit(float("inf"))))
+    return ranked.where(F.col("_near") <= F.col("_limit") + 1e-9).drop("_near", "_far", "_sum", "_limit")
+
+
+def candidate_cells(places: DataFrame, points: DataFrame, k: int, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """(place and cell, point and cell): cells that hold the ``k`` nearest points of each distinct place.
+
+    The points' box is divided into cells again and again; of every cell the count and the
+    true bounds of its points are known. A place starts at the smallest cell
+    around it with ``k`` points: all of the nearest lie within that cell's diagonal, so within
+    five cells in each direction. Then, in rounds, crowded cells are replaced by their parts and
+    what is out of reach is dropped, until every cell holds ``crowded`` points or fewer (or is
+    of the finest tier, which holds ``k`` per position). Cells of a place stay few wherever it lies: far
+    from everything, between dense and empty regions, or inside a crowd.
+    """
+    both = places.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    box = both.union(points.select("lat", "lon")).agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if box[0] is None:
+        box = (0.0, 0.0, 0.0, 0.0)
+    low_lat, low_lon = F.lit(box[0]), F.lit(box[2])
+    width = max(box[1] - box[0], box[3] - box[2], 1e-9)
+    numbers = {"fi": _finest("lat", low_lat, F.lit(width)), "fj": _finest("lon", low_lon, F.lit(width))}
+    kept = stored(_keep_first(points, k).withColumns(numbers), "points")
+    tiers = _at_depths(kept.select("lat", "lon", "fi", "fj"))
+    bounds = {"lat0": F.min("lat"), "lat1": F.max("lat"), "lon0": F.min("lon"), "lon1": F.max("lon")}
+    cells = stored(tiers.groupBy(*CELL).agg(F.count("*").alias("n"), *[v.alias(c) for c, v in bounds.items()]), "cells")
+
+    enough = cells.where((F.col("n") >= k) | (F.col("depth") == 0)).select(*CELL)
+    own = _at_depths(both.withColumns(numbers)).join(enough, CELL, "left_semi")
+    start = own.groupBy("lat", "lon").agg(F.max(F.struct(*CELL)).alias("c")).select("lat", "lon", "c.*")
+    for axis in ("ci", "cj"):
+        start = start.withColumn(axis, F.explode(F.sequence(F.col(axis) - 2, F.col(axis) + 2)))
+    frontier = stored(_reach(start.join(cells, CELL), k), "frontier")
+    parents = {"depth": F.col("depth") - STEP} | {c: F.call_function("shiftright", F.col(c), F.lit(STEP)) for c in ("ci", "cj")}
+    parts = cells.select(*[v.alias(f"p_{c}") for c, v in parents.items()], *cells.columns)
+    open_ = (F.col("n") > crowded) & (F.col("depth") < DEPTH)
+    while not frontier.where(open_).isEmpty():  # as many rounds as tiers, at most
+        crowd = frontier.where(open_).select("lat", "lon", *[F.col(c).alias(f"p_{c}") for c in CELL])
+        divided = crowd.join(parts, [f"p_{c}" for c in CELL]).select("lat", "lon", *cells.columns)
+        frontier = stored(_reach(frontier.where(~open_).select("lat", "lon", *cells.columns).union(divided), k), "frontier")
+    wanted = stored(frontier.select(*CELL).distinct(), "wanted")
+    return frontier.select("lat", "lon", *CELL), _at_depths(kept).join(wanted, CELL).drop("fi", "fj")
+
+
+def nearest_points(places: DataFrame, points: DataFrame, k: int = NEIGHBOURS, carry: Sequence[str] = ()) -> DataFrame:
     """Add ``near``: the ``k`` nearest points in planar degrees, ties by order (I4).
 
-    ``cell`` is a usual distance between points; denser and sparser regions are
-    served by smaller and larger blocks.
+    Distinct places meet the points of their candidate cells; the rank filter is applied before
+    the shuffle too, so a place is never listed with more than ``k`` points.
     """
-    finest = cell / 2**FINER
-    keyed = places.withColumns({"qi": F.floor(F.col("lat") / finest), "qj": F.floor(F.col("lon") / finest)})
-    lists = nearest_candidates(keyed.select("qi", "qj").distinct(), points.select("ord", "lat", "lon", *carry), k, finest)
-    met = lookup_join(keyed, lists, ["qi", "qj"], "left")
-    here_lat, here_lon = F.col("lat"), F.col("lon")
-
-    def measured(c: Column) -> Column:
-        d = geo.length2d(c["plat"] - here_lat, c["plon"] - here_lon)
-        return F.struct(d.alias("dist"), c["ord"].alias("ord"), *[c[n].alias(n) for n in carry])
-
-    return met.withColumn("near", F.slice(F.array_sort(F.transform("_c", measured)), 1, k)).drop("_c", "qi", "qj")
+    cells, found = candidate_cells(places, points.select("ord", "lat", "lon", *carry), k)
+    point = found.select(*CELL, "ord", F.col("lat").alias("plat"), F.col("lon").alias("plon"), *carry)
+    met = cells.join(point, CELL)
+    met = met.withColumn("dist", geo.length2d(F.col("plat") - F.col("lat"), F.col("plon") - F.col("lon")))
+    first = Window.partitionBy("lat", "lon").orderBy("dist", "ord")
+    top = met.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    lists = top.groupBy("lat", "lon").agg(F.array_sort(F.collect_list(F.struct("dist", "ord", *carry))).alias("near"))
+    return lookup_join(places, stored(lists, "nearest"), ["lat", "lon"], "left")
 
 
 def default_rock(classes: DataFrame) -> DataFrame:
@@ -232,7 +214,6 @@ def rock_at(
     points: DataFrame,
     classes: DataFrame,
     bounds: dict[str, float] | None = None,
-    cell: float = 0.5,
 ) -> DataFrame:
     """Rock class and resistance by inverse-distance weighting.
 
@@ -245,7 +226,7 @@ def rock_at(
         "known", F.coalesce("known", F.lit(False))
     )
     carry = ["lithology_class", "resistance", "color", "description", "known"]
-    met = with_one_row(nearest_points(places, tagged, NEIGHBOURS, cell, carry), default_rock(classes))
+    met = with_one_row(nearest_points(places, tagged, NEIGHBOURS, carry), default_rock(classes))
     weights = F.transform("near", lambda p: F.lit(1.0) / (p["dist"] * p["dist"]))
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
     pulled = F.aggregate(

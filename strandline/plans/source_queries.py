@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandline.operators.simplify import significance, simplify_to_tolerance
@@ -18,7 +20,8 @@ from strandline.sources import documents as d
 from strandline.sources import lithology as lit
 from strandline.sources.naming import dataset_name, slug, snapshot_name
 from strandline.sources.raster import resample
-from strandline.sources.step_metrics import parse_step_lines
+from strandline.session import shared_dir
+from strandline.sources.step_metrics import read_step_metrics, scenario_folder, step_metrics_rejects
 
 LONG_KM = quality_queries.LONG_KM
 
@@ -154,26 +157,59 @@ def _r1(expr: str, digits: int = 1) -> str:
     return f"printf('%.{digits}f', round_even({expr}*1e{digits},0)/1e{digits})"
 
 
+# columns of the files of some scenarios, by the first character of their name
+LAYOUTS = {
+    "14": tables.LONG_COLUMNS,
+    "25": ["storm_event", "note", "net_change_m3", "length_km", "eroded_m3", "step", "year"],
+    "3": ["sea_level_m", "step", "area_km2", "length_km", "storm_event"],
+}
+
+
 @register(
     "s6_step_metrics_csv",
     query(
-        f"""SELECT scenario, CAST({_r1('year')} AS DOUBLE) AS year, step, CAST({_r1('length_km')} AS DOUBLE) AS length_km, CAST({_r1('area_km2')} AS DOUBLE) AS area_km2,
- storm_event, CAST({_r1('sea_level_m',4)} AS DOUBLE) AS sea_level_m FROM step_metrics""",
+        f"""SELECT scenario, CASE WHEN scenario[1] <> '3' THEN CAST({_r1('year')} AS DOUBLE) END AS year, step, CAST({_r1('length_km')} AS DOUBLE) AS length_km,
+ CASE WHEN scenario[1] NOT IN ('2','5') THEN CAST({_r1('area_km2')} AS DOUBLE) END AS area_km2, storm_event,
+ CASE WHEN scenario[1] NOT IN ('2','5') THEN CAST({_r1('sea_level_m',4)} AS DOUBLE) END AS sea_level_m FROM step_metrics""",
         "step_metrics",
     ),
 )
 def s6q(spark, sf):
-    long = tables.long_frame(a.step_metrics(spark, sf))
-    body = long.select(
-        F.concat(F.lit("out/csv/"), "scenario", F.lit(".csv")).alias("path"),
-        F.concat_ws(",", *[c for c in long.columns if c != "scenario"]).alias("line"),
-    )
-    heads = body.select("path").distinct().withColumn("line", F.lit("year,step,length_km"))
-    return parse_step_lines(body.unionByName(heads)).select(
+    """Files with columns in different order, absent columns and one that nobody knows, written and read back."""
+    long = tables.long_frame(a.step_metrics(spark, sf)).withColumn("note", F.lit("x, y"))
+    folder = f"{shared_dir(spark).rstrip('/')}/step-metrics-{uuid.uuid4().hex}"
+    for heads, columns in LAYOUTS.items():
+        part = long.where(F.substring("scenario", 1, 1).isin(*heads)).select("scenario", *columns)
+        part.write.mode("append").partitionBy("scenario").option("header", True).csv(folder)
+    return read_step_metrics(spark, folder, scenario=scenario_folder).select(
         "scenario", "year", "step", "length_km", "area_km2", "storm_event", "sea_level_m"
     )
 
 
+@register(
+    "s6_step_metrics_rejects",
+    query(
+        """SELECT scenario, reason, count(*) AS n, CAST(min(step) AS INTEGER) AS first_step FROM (
+ SELECT scenario, step, CASE WHEN step%11=0 THEN 'wrong number of fields' WHEN step%7=0 THEN 'length_km is no double' WHEN step%5=0 THEN 'no length_km' END AS reason
+ FROM step_metrics) WHERE reason IS NOT NULL GROUP BY 1,2""",
+        "step_metrics",
+    ),
+)
+def s6r(spark, sf):
+    """Records with a field too many, a length that is no number, and no length, found and told apart."""
+    step = F.col("step").cast("int")
+    length = F.when(step % 11 == 0, "1.0,2.0").when(step % 7 == 0, "long").when(step % 5 == 0, "").otherwise(F.col("length_km"))
+    long = tables.long_frame(a.step_metrics(spark, sf))
+    body = long.select("scenario", step.alias("at"), F.concat_ws(",", "year", length, "step").alias("line"))
+    heads = long.select("scenario", F.lit(-10_000_000).alias("at"), F.lit("year,length_km,step").alias("line")).distinct()
+    lines = body.union(heads).repartition("scenario").sortWithinPartitions("scenario", "at")
+    folder = f"{shared_dir(spark).rstrip('/')}/step-rejects-{uuid.uuid4().hex}"
+    lines.select("scenario", "line").write.partitionBy("scenario").text(folder)
+    found = step_metrics_rejects(spark, folder, scenario=scenario_folder)
+    at = F.element_at(F.split("record", ","), -1).cast("int")
+    return found.groupBy("scenario", "reason").agg(F.count("*").alias("n"), F.min(at).alias("first_step"))
+
+
 COORD = "'['||{0}||']'"
 define(
     "doc_text",

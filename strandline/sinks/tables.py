@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LONG_COLUMNS = ["year", "step", "length_km", "area_km2", "eroded_m3", "deposited_m3", "net_change_m3", "storm_event", "sea_level_m"]
 WIDE_METRICS = ["year", "length_km", "area_km2", "storm_event", "sea_level_m"]
 
 

@@ -57,12 +57,32 @@ def test_nearest_points_against_brute_force(spark):
     places = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(41, 47, 60), rng.uniform(27, 41, 60)))]
     p = spark.createDataFrame([(i, *x) for i, x in enumerate(pts)], "ord BIGINT, lat DOUBLE, lon DOUBLE")
     q = spark.createDataFrame(places, "id INT, lat DOUBLE, lon DOUBLE")
-    got = {r.id: [n.ord for n in r.near] for r in spatial.nearest_points(q, p, 6, 0.25).collect()}
+    got = {r.id: [n.ord for n in r.near] for r in spatial.nearest_points(q, p, 6).collect()}
     for i, a, o in places:
         order = sorted(range(len(pts)), key=lambda k: (np.sqrt((pts[k][0] - a) ** 2 + (pts[k][1] - o) ** 2), k))
         assert got[i] == order[:6]
 
 
+def test_nearest_points_of_crowds_and_far_places(spark):
+    """20 000 points in a speck, some far away; places inside, beside and far from everything."""
+    rng = np.random.default_rng(7)
+    crowd = [(44.0 + a * 1e-7, 34.0 + o * 1e-7) for a, o in rng.uniform(0, 1, (20_000, 2))]
+    pts = crowd + [(a, o) for a, o in rng.uniform(40, 48, (30, 2))] + [(44.00000001, 34.00000001)] * 50
+    places = [(44.00000005, 34.00000005), (44.3, 34.2), (-60.0, -150.0), (44.0000002, 34.0), (44.0, 34.0)] * 2 + [(None, 34.0)]
+    p = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(pts)], "ord BIGINT, lat DOUBLE, lon DOUBLE")
+    q = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate(places)], "id INT, lat DOUBLE, lon DOUBLE").repartition(3)
+    got = {r.id: r.near for r in spatial.nearest_points(q, p, 6).collect()}
+    xy = np.array(pts)
+    for i, (a, o) in enumerate(places[:10]):
+        d = np.sqrt((xy[:, 0] - a) ** 2 + (xy[:, 1] - o) ** 2)
+        assert [n.ord for n in got[i]] == np.lexsort((np.arange(len(d)), d))[:6].tolist()
+    assert got[10] is None
+    cells, found = spatial.candidate_cells(q, p, 6)
+    per_place = cells.join(found.groupBy(*spatial.CELL).count(), spatial.CELL).groupBy("lat", "lon").agg(F.sum("count").alias("n"))
+    assert per_place.agg(F.max("n")).first()[0] <= 400
+    assert spatial.nearest_points(q, p.limit(0), 6).where("near IS NOT NULL").isEmpty()
+
+
 M = 111194.9
 HEADLAND = [
     (-300, -300), (-300, 300), (300, 300), (300, 220), (360, 220), (360, 180), (360, 140), (300, 140), (300, 80),
