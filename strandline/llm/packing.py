@@ -25,6 +25,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from strandline.llm.common import SEGMENT, segments
+from strandline.llm.common import segments
 from strandline.session import ship_package, stored
 
 OWN = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
-#: Strings whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Strings whose ids a task remembers, and bytes of text that it cuts at once.
+REMEMBERED = 250_000
+SEGMENT = 1_000_000
 #: White space, ASCII letter, ASCII mark (but the apostrophe), anything else.
 KIND = np.array(
     [
@@ -69,26 +71,29 @@ class Tokens:
         self.starts = np.array([0], dtype=np.int64)
         self.sizes = np.array([1], dtype=np.int64)
 
-    def encode(self, strings: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in found]
+    def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings, joined, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def learn(self, strings: list[bytes]) -> None:
         """Tokenise strings; those of ASCII letters are one word each and go in together."""
-        words = [s for s in strings if s.isalpha() and s.isascii()]
-        others = [s for s in strings if not (s.isalpha() and s.isascii())]
-        ids = [i for at in range(0, len(words), 200) for i in self.encode([b" ".join(words[at : at + 200]).decode()])]
+        words = [s for s in strings if s.isalpha()]
+        others = [s for s in strings if not s.isalpha()]
+        flat, sizes = [], []
+        for at in range(0, len(words), 200):
+            ids, _ = self.encode([b" ".join(words[at : at + 200]).decode()])
+            flat.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))  # a word ends where its last token does
         for at in range(0, len(others), 1000):
-            ids += self.encode([s.decode() for s in others[at : at + 1000]])
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        joined = sum(len(i) for i in ids[: -len(others)]) if others else len(flat)
-        borders = np.flatnonzero(self.ends[flat[:joined]]) + 1
-        sizes = np.concatenate([np.diff(borders, prepend=0), [len(i) for i in ids[len(ids) - len(others) :]]]).astype(np.int64)
-        for n, s in enumerate(words + others, len(self.sizes)):
-            self.known[s] = n
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
+            ids, counts = self.encode([s.decode() for s in others[at : at + 1000]])
+            flat.append(ids)
+            sizes.append(counts)
+        self.known.update(zip(words + others, range(len(self.sizes), len(self.sizes) + len(strings))))
+        counts = np.concatenate(sizes)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.sizes = np.concatenate([self.sizes, counts])
+        self.flat = np.concatenate([self.flat, *flat])
 
     def of(self, parts: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts of texts, joined, and how many each has; parts that end a text get the end id."""
@@ -104,10 +109,12 @@ class Tokens:
         distinct = strings.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.forget()
-        new = [s for s in distinct if s not in self.known]
-        if new:
-            self.learn(new)
-        codes = np.array([self.known[s] for s in distinct], dtype=np.int64)[strings.indices.to_numpy()] if distinct else np.empty(0, np.int64)
+        found = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self.learn([distinct[i] for i in new])
+            found[new] = [self.known[distinct[i]] for i in new]
+        codes = found[strings.indices.to_numpy()] if distinct else found
         until = np.searchsorted(place, np.cumsum([len(p) + 1 for p, _ in parts]))  # strings up to the end of each part
         last = np.array([end for _, end in parts])
         codes = np.insert(codes, until[last], 0)
@@ -144,7 +151,7 @@ class Tokens:
                 yield from flush()
                 yield row, np.append(self.encode([data.decode()])[0], np.uint32(self.end))
                 continue
-            stretches = [part for part, _ in segments(data, overlap=False)]
+            stretches = [part for part, _ in segments(data, overlap=False, most=SEGMENT)]
             for k, part in enumerate(stretches, 1):
                 parts.append((part, k == len(stretches)))
                 rows.append(row)
@@ -174,8 +181,7 @@ def tokenized(
             rows, pieces, starts, lengths, sums, ids, held = [], [], [], [], [], [], 0
 
             def out() -> pa.RecordBatch:
-                own = batch.take(pa.array(rows, pa.int64()))
-                columns = [own.column(i) for i in range(len(kept))]
+                columns = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(kept))]
                 columns += [pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
                 if keep_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int64())))
