@@ -177,7 +177,8 @@ def numbered(rows: DataFrame, order: list[Column], column: str, name: str = "num
     ranges are added from one count per range. Rows that tie in ``order`` are told apart
     by where they were read, so equal rows spread over ranges, too.
     """
-    ties = rows.withColumn("_nb_tie", F.monotonically_increasing_id())
+    # written first, as Spark reads the rows once for the borders of the ranges and once to deal them
+    ties = stored(rows.withColumn("_nb_tie", F.monotonically_increasing_id()), name)
     keys = [*order, F.col("_nb_tie")]
     sorted_ = ties.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_nb_tie")
     # the range's number in the upper bits, the row's number in its range in the lower 33
