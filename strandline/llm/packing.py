@@ -23,6 +23,7 @@ other. An empty table gives no rows. Input columns named like a result column ar
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -38,8 +39,8 @@ from strandline.session import ship_package, stored
 
 OWN = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 #: Strings whose ids a task remembers, and bytes of text that it cuts at once.
-REMEMBERED = 250_000
-SEGMENT = 1_000_000
+REMEMBERED = 120_000
+SEGMENT = 500_000
 #: White space, ASCII letter, ASCII mark (but the apostrophe), anything else.
 KIND = np.array(
     [
@@ -55,6 +56,7 @@ class Tokens:
     """Ids of texts by a tokenizer file; number 0 of the known strings is the end id."""
 
     def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task, and one heap
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,6 +72,20 @@ class Tokens:
         self.flat = np.array([self.end], dtype=np.uint32)
         self.starts = np.array([0], dtype=np.int64)
         self.sizes = np.array([1], dtype=np.int64)
+        self.uses = np.zeros(1, dtype=np.int32)  # stretches of text that had the string
+
+    def thin(self, most: int) -> None:
+        """Forget all strings but the ``most`` used that were used more than once."""
+        often = np.flatnonzero(self.uses > 1)
+        kept = np.sort(often[np.argsort(-self.uses[often], kind="stable")[:most]])
+        number = np.zeros(len(self.uses), dtype=np.int64)
+        number[kept] = np.arange(1, len(kept) + 1)
+        self.known = {s: int(number[n]) for s, n in self.known.items() if number[n]}
+        kept = np.concatenate([[0], kept])
+        sizes = self.sizes[kept]
+        starts = np.cumsum(sizes) - sizes
+        self.flat = self.flat[np.repeat(self.starts[kept] - starts, sizes) + np.arange(sizes.sum())]
+        self.starts, self.sizes, self.uses = starts, sizes, self.uses[kept] // 2
 
     def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of strings, joined, and how many each has."""
@@ -93,6 +109,7 @@ class Tokens:
         counts = np.concatenate(sizes)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.sizes = np.concatenate([self.sizes, counts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(counts), dtype=np.int32)])
         self.flat = np.concatenate([self.flat, *flat])
 
     def of(self, parts: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +125,13 @@ class Tokens:
         strings = strings.dictionary_encode()
         distinct = strings.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.thin(REMEMBERED // 2)
         found = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(found < 0)
         if len(new):
             self.learn([distinct[i] for i in new])
             found[new] = [self.known[distinct[i]] for i in new]
+        self.uses[found] += 1
         codes = found[strings.indices.to_numpy()] if distinct else found
         until = np.searchsorted(place, np.cumsum([len(p) + 1 for p, _ in parts]))  # strings up to the end of each part
         last = np.array([end for _, end in parts])
@@ -203,6 +221,7 @@ def tokenized(
                     rows, pieces, starts, lengths, sums, ids, held = [], [], [], [], [], [], 0
             if rows:
                 yield out()
+            pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)
 
