@@ -39,8 +39,8 @@ from strandline.session import ship_package, stored
 
 OWN = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 #: Strings whose ids a task remembers, and bytes of text that it cuts at once.
-REMEMBERED = 120_000
-SEGMENT = 500_000
+REMEMBERED = 300_000
+SEGMENT = 1_000_000
 #: White space, ASCII letter, ASCII mark (but the apostrophe), anything else.
 KIND = np.array(
     [
@@ -294,8 +294,8 @@ class Bins:
                     best = (int(gain[k]), (given, int(bin_[good[k]]), [int(item[good[k]])]))
         if best[1]:
             return self.swap(donor, *best[1])
-        # one for two: the smallest pair of a bin that makes room
-        for b in rest[np.argsort(gaps, kind="stable")]:
+        # one for two: a pair of one of the fullest bins that makes room
+        for b in rest[np.argsort(gaps, kind="stable")][:256]:
             held = sorted({self.lengths[i]: i for i in self.members[b]}.items())
             gap = self.capacity - self.fill[b]
             sizes = np.array([n for n, _ in held])
