@@ -1,9 +1,11 @@
-"""Self-intersections of lines (V14) as a grid join.
+"""Self-intersections of lines (V14) as a join on cells that divide where they are crowded.
 
 Equal segments share their end points and therefore never count as crossing, so
-the join runs on distinct segment shapes and only crossing shapes are expanded
-to the segments that have them.  The cell size follows the density of a line;
-crowded cells are divided further before the join.
+the join runs on distinct segment shapes, and only crossing shapes are expanded
+to the segments that have them, or counted by their copies.  A line's box is one cell;
+a cell with too many segments is replaced by its parts, again and again, and each
+segment goes to the parts that it passes: a few of at most ``PARTS`` squared, however
+long it is.  Only regions that stay crowded are divided on.
 """
 
 from __future__ import annotations
@@ -14,16 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.functions.cells import segment_cells
-from strandline.lines import LINE, attach, lookup_join, spread_out, with_neighbours
-from strandline.session import cut_lineage
+from strandline.functions.cells import sub_cells
+from strandline.lines import LINE, attach, with_neighbours
+from strandline.session import stored
 
 # Fixed values of the crossing test.
 ORIENTATION_EPS = 1e-9
 TOUCH_EPS = 1e-9
 
-PER_CELL = 8
-CROWDED = 256
+#: Segments of a cell from which it is divided, its parts along each axis, and the side of a cell (degrees) that stays whole.
+CROWDED = 32
+PARTS = 8
+SMALLEST = 1e-7
 SHAPE = ["ax", "ay", "bx", "by"]
 
 
@@ -76,11 +80,8 @@ def _apart(left: str = "l_", right: str = "r_") -> Column:
     return out
 
 
-def self_intersections(
-    lines: DataFrame, keys: Sequence[str] = LINE, eps: float = ORIENTATION_EPS, crowded: int = CROWDED
-) -> DataFrame:
-    """Pairs of crossing segments, numbered by their start vertex."""
-    keys = list(keys)
+def _shapes(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Segments, and their distinct shapes with a number and the number of copies."""
     nb = with_neighbours(lines.select(*keys, "seq", "lat", "lon"), ["lat", "lon"], keys)
     segs = nb.where(F.col("next").isNotNull()).select(
         *keys,
@@ -90,65 +91,82 @@ def self_intersections(
         F.col("next.lon").alias("bx"),
         F.col("next.lat").alias("by"),
     )
-    segs = cut_lineage(segs)  # read four times below
-    shapes = segs.groupBy(*keys, *SHAPE).agg(F.min("i").alias("shape"))
-    reach = F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by")))
-    stats = shapes.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("shape").alias("lo_shape"),
-        F.max("shape").alias("hi_shape"),
-        F.avg(reach).alias("reach"),
-        (F.max("ax") - F.min("ax")).alias("w"),
-        (F.max("ay") - F.min("ay")).alias("h"),
-    )
-    # about PER_CELL shapes per cell, between a sixteenth and four times the mean reach
-    room = F.greatest(F.col("w"), F.col("reach")) * F.greatest(F.col("h"), F.col("reach"))
-    cell = F.least(
-        F.greatest(PER_CELL * room / (F.col("n") * F.col("reach")), F.col("reach") / 16), F.col("reach") * 4
-    )
-    sized = stats.select(*keys, "lo_shape", "hi_shape", F.greatest(F.coalesce(cell, F.lit(1.0)), F.lit(1e-6)).alias("cell"))
-    with_cell = spread_out(
-        attach(shapes, sized, keys, order="shape", lo="lo_shape", hi="hi_shape"), [*keys, "shape"]
-    )
-    entries = with_cell.withColumn(
-        "_c", F.explode(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("cell")))
-    ).select(*keys, "shape", *SHAPE, "cell", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
-
-    entries = cut_lineage(entries)
-
-    # crowded cells get a finer grid of their own
-    load = (
-        entries.groupBy(*keys, "cx", "cy")
-        .count()
-        .where(F.col("count") > crowded)
-        .select(*keys, "cx", "cy", F.least(F.ceil(F.sqrt(F.col("count") / 32)), F.lit(64)).alias("parts"))
-    )
-    graded = lookup_join(entries, load, [*keys, "cx", "cy"], "left")
-    fine = F.col("cell") / F.col("parts")
-    inside = F.filter(
-        segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), fine),
-        lambda s: (F.floor(s["cx"] / F.col("parts")) == F.col("cx")) & (F.floor(s["cy"] / F.col("parts")) == F.col("cy")),
-    )
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy")))
-    placed = graded.withColumn("_s", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(inside))).select(
-        *keys, "cx", "cy", F.col("_s.cx").alias("sx"), F.col("_s.cy").alias("sy"), "shape", *SHAPE
+    segs = stored(segs, "segments")
+    return segs, segs.groupBy(*keys, *SHAPE).agg(F.min("i").alias("shape"), F.count("*").alias("copies"))
+
+
+def shape_cells(shapes: DataFrame, keys: Sequence[str], crowded: int = CROWDED) -> DataFrame:
+    """Every shape with the cells that it passes, none with more than ``crowded`` shapes (but for the smallest)."""
+    keys = list(keys)
+    low_x, low_y = F.min(F.least("ax", "bx")), F.min(F.least("ay", "by"))
+    side = F.greatest(F.max(F.greatest("ax", "bx")) - low_x, F.max(F.greatest("ay", "by")) - low_y, F.lit(SMALLEST))
+    boxes = shapes.groupBy(*keys).agg(
+        F.min("shape").alias("lo_shape"), F.max("shape").alias("hi_shape"), low_x.alias("x0"), low_y.alias("y0"), side.alias("side")
     )
-    place = [*keys, "cx", "cy", "sx", "sy"]
-    placed = spread_out(placed, place)
-    left = placed.select(*place, *[F.col(c).alias(f"l_{c}") for c in ["shape", *SHAPE]])
-    right = placed.select(*place, *[F.col(c).alias(f"r_{c}") for c in ["shape", *SHAPE]])
-    crossing = (
-        left.join(right, place)
-        .where((F.col("l_shape") < F.col("r_shape")) & ~_apart() & crosses(eps=eps))
-        .select(*keys, *[f"l_{c}" for c in ["shape", *SHAPE]], *[f"r_{c}" for c in ["shape", *SHAPE]])
-        .dropDuplicates([*keys, "l_shape", "r_shape"])
+    cell = [*keys, "level", "cx", "cy"]
+    whole = F.lit(0).cast("bigint")
+    placed = attach(shapes, boxes, keys, order="shape", lo="lo_shape", hi="hi_shape").drop("lo_shape", "hi_shape")
+    placed = stored(placed.withColumns({"level": F.lit(0), "cx": whole, "cy": whole}), "cells")
+    own = placed.columns
+    size = F.col("side") / F.pow(F.lit(float(PARTS)), F.col("level").cast("double"))
+    # how far from a segment a point may lie and still touch it: its orientation is length times distance
+    reach = F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by")), F.lit(1e-12))
+    tolerance = F.least(ORIENTATION_EPS / reach, reach) + 1e-8
+    pad = tolerance + size / PARTS * 1e-3
+    parts = sub_cells(
+        *[F.col(c) for c in SHAPE], F.col("x0") + F.col("cx") * size, F.col("y0") + F.col("cy") * size, size / PARTS, pad, PARTS
     )
+    calm = []
+    while True:
+        # parts smaller than the tolerance would not part the segments
+        load = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.max(size).alias("size"), F.avg(tolerance).alias("tolerance"))
+        load = load.where((F.col("n") > crowded) & (F.col("size") > F.greatest(F.lit(SMALLEST), 4 * PARTS * F.col("tolerance"))))
+        load = stored(load.select(*cell), "crowded")
+        if load.isEmpty():
+            break
+        calm.append(placed.join(load, cell, "left_anti"))
+        divided = placed.join(load, cell).withColumn("_p", F.explode(parts))
+        finer = {"level": F.col("level") + 1, "cx": F.col("cx") * PARTS + F.col("_p.i"), "cy": F.col("cy") * PARTS + F.col("_p.j")}
+        placed = stored(divided.withColumns(finer).select(*own), "cells")
+    for part in calm:
+        placed = placed.union(part.select(*own))
+    return placed.drop("x0", "y0", "side")
+
+
+def _crossing_shapes(shapes: DataFrame, keys: list[str], eps: float, crowded: int) -> DataFrame:
+    """Crossing pairs of shapes, once each, with their copies."""
+    cells = stored(shape_cells(shapes, keys, crowded), "cells")
+    place, values = [*keys, "level", "cx", "cy"], ["shape", "copies", *SHAPE]
+    left = cells.select(*place, *[F.col(c).alias(f"l_{c}") for c in values])
+    right = cells.select(*place, *[F.col(c).alias(f"r_{c}") for c in values])
+    met = left.join(right, place).where((F.col("l_shape") < F.col("r_shape")) & ~_apart() & crosses(eps=eps))
+    return met.drop("level", "cx", "cy").dropDuplicates([*keys, "l_shape", "r_shape"])
+
+
+def self_intersections(
+    lines: DataFrame, keys: Sequence[str] = LINE, eps: float = ORIENTATION_EPS, crowded: int = CROWDED
+) -> DataFrame:
+    """Pairs of crossing segments, numbered by their start vertex."""
+    keys = list(keys)
+    segs, shapes = _shapes(lines, keys)
+    crossing = _crossing_shapes(shapes, keys, eps, crowded)
     # back from shapes to the segments having them
-    members = segs.select(*keys, *SHAPE, "i")
-    first = members.select(*keys, *[F.col(c).alias(f"l_{c}") for c in SHAPE], F.col("i").alias("p"))
-    second = members.select(*keys, *[F.col(c).alias(f"r_{c}") for c in SHAPE], F.col("i").alias("q"))
+    first = segs.select(*keys, *[F.col(c).alias(f"l_{c}") for c in SHAPE], F.col("i").alias("p"))
+    second = segs.select(*keys, *[F.col(c).alias(f"r_{c}") for c in SHAPE], F.col("i").alias("q"))
     pairs = crossing.join(first, [*keys, *[f"l_{c}" for c in SHAPE]]).join(second, [*keys, *[f"r_{c}" for c in SHAPE]])
     return (
         pairs.select(*keys, F.least("p", "q").alias("first_segment"), F.greatest("p", "q").alias("second_segment"))
         .where(F.col("second_segment") >= F.col("first_segment") + 2)
     )
+
+
+def crossing_counts(
+    lines: DataFrame, keys: Sequence[str] = LINE, eps: float = ORIENTATION_EPS, crowded: int = CROWDED
+) -> DataFrame:
+    """``intersections`` per line that has any: crossing shapes, times the copies of both.
+
+    Neighbouring segments share a vertex and never cross, so no pair of V14 is left out, and none is listed.
+    """
+    keys = list(keys)
+    crossing = _crossing_shapes(_shapes(lines, keys)[1], keys, eps, crowded)
+    return crossing.groupBy(*keys).agg(F.sum(F.col("l_copies") * F.col("r_copies")).alias("intersections"))

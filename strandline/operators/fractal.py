@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,45 @@ THEORY_DIMENSION = math.log(4) / math.log(3)
 FAST_SCALES = [2, 4, 8, 16, 32]
 
 
+#: Boxes beside the line's own on each side, boxes in a word of a bitmap, boxes and segments that a task works on at once.
+MARGIN, WORD, HELD, SEGMENTS = 8, 64, 16_000_000, 4096
+
+
+def _bitmap_words(batch: dict[str, np.ndarray], lines: np.ndarray, factor: float, ox: float, oy: float):
+    """(line, row, word, bits) of one grid: boxes met by samples at half-box steps along every segment.
+
+    ``lines`` numbers the lines of the segments from 0, in ascending order.
+    """
+    width = -(-(int(factor) + 2 * MARGIN) // WORD) * WORD
+    rows = int(factor) + 2 * MARGIN
+    per = max(1, HELD // (width * rows))
+    for low in range(0, int(lines[-1]) + 1, per):
+        a, b = np.searchsorted(lines, [low, low + per])
+        if a == b:
+            continue
+        dx, dy, box = batch["dx"][a:b], batch["dy"][a:b], batch["size_m"][a:b] / factor
+        steps = np.maximum(np.ceil(np.sqrt(dx * dx + dy * dy) / (box / 2)) + 1, 2)
+        n = steps.astype(np.int64) + 1
+        at = np.repeat(np.arange(b - a), n)
+        t = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) / steps[at]
+        row = np.floor((batch["ay"][a:b][at] + dy[at] * t - batch["min_y"][a:b][at] + (oy * box)[at]) / box[at]).astype(np.int64)
+        col = np.floor((batch["ax"][a:b][at] + dx[at] * t - batch["min_x"][a:b][at] + (ox * box)[at]) / box[at]).astype(np.int64)
+        line = lines[a:b][at] - low
+        met = np.zeros((int(line[-1]) + 1) * rows * width, dtype=bool)
+        met[(line * rows + row + MARGIN) * width + col + MARGIN] = True
+        words = np.packbits(met, bitorder="little").view("<i8")
+        seen = np.flatnonzero(words)
+        place, word = np.divmod(seen, width // WORD)
+        yield place // rows + low, place % rows, word, words[seen]
+
+
 def box_coverage(lines: DataFrame, keys: Sequence[str] = LINE, offsets: int = len(OFFSETS)) -> DataFrame:
     """Distinct boxes met per line, scale and grid offset, summed over offsets (F1, F2).
 
-    Every segment is sampled at half-box steps; a segment yields at most a few
-    hundred samples, so the explosion is bounded per row, and samples of one box
-    collapse on the map side before the shuffle on (line, scale, box).
+    Every segment is sampled at half-box steps.  The boxes of a grid are a bitmap: tasks set the bits of
+    their own segments (a line's segments come together, by stretches of its vertices) and give words of 64
+    boxes that are not empty; the words of all tasks are combined by ``bit_or`` and the bits counted.
+    A task holds the bitmaps of as many lines as a bounded number of boxes allows.
     """
     keys = list(keys)
     x, y = geo.regional_xy(F.col("lat"), F.col("lon"))
@@ -44,50 +79,40 @@ def box_coverage(lines: DataFrame, keys: Sequence[str] = LINE, offsets: int = le
         F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("size_m"),
     ).where(F.col("size_m") >= 1)
     nb = with_neighbours(flat, ["x", "y"], keys).where(F.col("prev").isNotNull())
-    segs = spread_out(attach(nb, box, keys), [*keys, "seq"]).select(
-        *keys, "size_m", "min_x", "min_y", F.col("prev.x").alias("ax"), F.col("prev.y").alias("ay"),
+    segs = attach(nb, box, keys).select(
+        *keys, F.floor(F.col("seq") / 1024).alias("_stretch"), "size_m", "min_x", "min_y",
+        F.col("prev.x").alias("ax"), F.col("prev.y").alias("ay"),
         (F.col("x") - F.col("prev.x")).alias("dx"), (F.col("y") - F.col("prev.y")).alias("dy"),
     )
-    grids = F.array(
-        *[
-            F.struct(
-                F.lit(n * 4 + k).cast("bigint").alias("id"), F.lit(float(f)).alias("f"), F.lit(ox).alias("ox"), F.lit(oy).alias("oy")
-            )
-            for n, f in enumerate(SCALE_FACTORS)
-            for k, (ox, oy) in enumerate(OFFSETS[:offsets])
-        ]
-    )
-    scaled = segs.select("*", F.explode(grids).alias("g")).select(
-        *keys, "ax", "ay", "dx", "dy", F.col("g.id").alias("g"),
-        (F.col("size_m") / F.col("g.f")).alias("box"),
-        (F.col("g.oy") * (F.col("size_m") / F.col("g.f"))).alias("oy"),
-        (F.col("g.ox") * (F.col("size_m") / F.col("g.f"))).alias("ox"),
-        "min_x", "min_y",
-    )
-    steps = F.greatest(
-        F.ceil(geo.length2d(F.col("dx"), F.col("dy")) / (F.col("box") / 2)) + 1, F.lit(2)
-    )
-    sampled = scaled.withColumn("steps", steps).withColumn(
-        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("steps")))
-    )
-
-    def code(i: Column) -> Column:
-        """Grid, row and column of a sample in one number."""
-        t = i / F.col("steps")
-        px, py = F.col("ax") + F.col("dx") * t, F.col("ay") + F.col("dy") * t
-        row = F.floor((py - F.col("min_y") + F.col("oy")) / F.col("box")) + 8
-        col = F.floor((px - F.col("min_x") + F.col("ox")) / F.col("box")) + 8
-        return (F.col("g") * 1024 + row) * 1024 + col
-
-    # a straight segment enters a box once: skip samples in the box of the one before
-    cells = (
-        sampled.select(*keys, "i", code(F.col("i")).alias("cell"), code(F.col("i") - 1).alias("before"))
-        .where((F.col("i") == 0) | (F.col("cell") != F.col("before")))
-        .select(*keys, "cell")
-        .distinct()
-    )
+    segs = spread_out(segs, [*keys, "_stretch"]).drop("_stretch")
+    numbers = ["size_m", "min_x", "min_y", "ax", "ay", "dx", "dy"]
+    grids = [(f, ox, oy, 4 * n + k) for n, f in enumerate(SCALE_FACTORS) for k, (ox, oy) in enumerate(OFFSETS[:offsets])]
+    types = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            first: dict[tuple, int] = {}
+            where = [first.setdefault(name, i) for i, name in enumerate(names)]  # a line goes by its first row
+            if not where:
+                continue
+            of, line = np.unique(where, return_inverse=True)
+            order = np.argsort(line, kind="stable")
+            values = {c: batch.column(c).to_numpy() for c in numbers}
+            for part in np.split(order, range(SEGMENTS, len(order), SEGMENTS)):
+                held = {c: v[part] for c, v in values.items()}
+                for f, ox, oy, grid in grids:
+                    for found, row, word, bits in _bitmap_words(held, line[part], float(f), ox, oy):
+                        own = [batch.column(k).take(pa.array(of[found])) for k in keys]
+                        place = pa.array((grid * 1024 + row) * 16 + word)
+                        yield pa.RecordBatch.from_arrays([*own, place, pa.array(bits)], names=[*keys, "word", "bits"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", word bigint, bits bigint"
+    words = segs.select(*keys, *numbers).mapInArrow(mark, schema)
+    words = words.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+    scale = F.call_function("shiftright", F.col("word"), F.lit(16)).alias("n")  # four grids of 1024 rows of 16 words
+    counted = words.groupBy(*keys, scale).agg(F.sum(F.bit_count("bits").cast("bigint")).alias("boxes"))
     factors = F.array(*[F.lit(f) for f in SCALE_FACTORS])
-    counted = cells.groupBy(*keys, F.floor(F.col("cell") / (4 * 1024 * 1024)).alias("n")).agg(F.count("*").alias("boxes"))
     return counted.join(box.select(*keys, "size_m"), keys).select(
         *keys, F.get(factors, F.col("n").cast("int")).alias("scale_factor"), "size_m", "boxes"
     )

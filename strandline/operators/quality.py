@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geo
 from strandline.lines import LINE, attach, renumber, running, lookup_join, with_neighbours
-from strandline.operators.crossings import self_intersections
+from strandline.operators.crossings import crossing_counts
 from strandline.operators.geometry import line_summary, segments
 
 # Thresholds, reference ranges, message formats, place names.
@@ -243,7 +243,7 @@ def order_score(
         F.max("km").alias("max_segment_km"),
         F.sum("km").alias("total_km"),
     )
-    crossing = self_intersections(lines, keys).groupBy(*keys).agg(F.count("*").alias("intersections"))
+    crossing = crossing_counts(lines, keys)
     return (
         lines.select(*keys).distinct()
         .join(lengths, keys, "left")
@@ -371,16 +371,21 @@ def verdicts(
     """Validation verdict per line.
 
     ``ordered`` is the repaired line (``seq``, ``lat``, ``lon``, ``candidate``),
-    where candidate 0 means that the order was left alone.
+    where candidate 0 means that the order was left alone.  Its score (``intersections``,
+    ``long_segments``) is taken from there if the repair left it on the rows.
     """
     keys = list(keys)
     dup = duplicate_counts(raw, keys)
-    moved = ordered.groupBy(*keys).agg((F.max("candidate") > 0).alias("reordered"))
-    crossing = self_intersections(ordered, keys).groupBy(*keys).agg(F.count("*").alias("intersections"))
-    longs = long_segments(ordered, keys, long_km).groupBy(*keys).agg(F.count("*").alias("long_segments"))
+    scored = [c for c in ("intersections", "long_segments") if c in ordered.columns]
+    moved = ordered.groupBy(*keys).agg((F.max("candidate") > 0).alias("reordered"), *[F.max(c).alias(c) for c in scored])
+    parts = [moved]
+    if "intersections" not in scored:
+        parts.append(crossing_counts(ordered, keys))
+    if "long_segments" not in scored:
+        parts.append(long_segments(ordered, keys, long_km).groupBy(*keys).agg(F.count("*").alias("long_segments")))
     reps = repeated_landmarks(ordered, landmarks, keys).groupBy(*keys).agg(F.count("*").alias("repeated_landmarks"))
     joined = dup
-    for part in (moved, crossing, longs, reps):
+    for part in (*parts, reps):
         joined = joined.join(part, keys, "left")
     zero = [
         F.coalesce(c, F.lit(0)).alias(c) for c in ("intersections", "long_segments", "repeated_landmarks")

@@ -174,7 +174,7 @@ def candidate_orders(
 def repair_order(
     lines: DataFrame, keys: Sequence[str] = LINE, long_km: float = LONG_SEGMENT_KM
 ) -> DataFrame:
-    """Each line in its best-scoring order, with the number of the candidate."""
+    """Each line in its best-scoring order, with the number of the candidate and its score."""
     keys = list(keys)
     orders = cut_lineage(candidate_orders(cut_lineage(lines), keys))
     scores = order_score(orders, [*keys, "candidate"], long_km)
@@ -184,11 +184,13 @@ def repair_order(
         *keys,
         F.aggregate(
             F.slice("all", 2, 100), F.element_at("all", 1), lambda old, new: F.when(better_score(new, old), new).otherwise(old)
-        )["candidate"].alias("candidate"),
-    )
+        ).alias("b"),
+    ).select(*keys, *[F.col(f"b.{c}").alias(c) for c in ("candidate", "intersections", "long_segments")])
     sizes = (
         orders.where(F.col("candidate") == 0)
         .groupBy(*keys)
         .agg(F.min("seq").alias("lo_seq"), F.max("seq").alias("hi_seq"))
     )
-    return attach(orders, best.join(sizes, keys), [*keys, "candidate"]).select(*keys, "seq", "lat", "lon", "candidate")
+    return attach(orders, best.join(sizes, keys), [*keys, "candidate"]).select(
+        *keys, "seq", "lat", "lon", "candidate", "intersections", "long_segments"
+    )

@@ -152,7 +152,7 @@ define("rocks_default", rock_sql("near_default"), "near_default")
 )
 def s5(spark, sf):
     return i.rock_at(
-        a.vertices(spark, sf), default_points(spark), default_classes(spark), DEFAULT_BOUNDS, cell=4.0
+        a.vertices(spark, sf), default_points(spark), default_classes(spark), DEFAULT_BOUNDS
     ).select(*rock_columns())
 
 

@@ -153,3 +153,26 @@ def test_local_span_moves_nothing_on_ties(spark):
     lines = spark.createDataFrame(rows, "line_id BIGINT, seq INT, lat DOUBLE, lon DOUBLE")
     whole = {r.seq: r.significance for r in simplify.significance(lines, local_span=20_000).collect()}
     assert {r.seq: r.significance for r in simplify.significance(lines, local_span=25).collect()} == pytest.approx(whole, rel=1e-9)
+
+
+def test_crossings_of_a_long_segment_among_short_ones(line):
+    """Cells stay bounded, and pairs are counted as they are listed."""
+    rng = np.random.default_rng(4)
+    pts = list(zip(44 + np.cumsum(rng.normal(0, 0.001, 1500)), 34 + np.cumsum(rng.normal(0, 0.001, 1500))))
+    pts += [(39.0, 29.0), (49.0, 39.0)] + pts[100:160]
+    df = line({1: pts, 2: pts[:3], 3: pts[:1]})
+    cells = crossings.shape_cells(crossings._shapes(df, ["line_id"])[1], ["line_id"])
+    assert cells.groupBy("line_id", "level", "cx", "cy").count().agg(F.max("count")).first()[0] <= crossings.CROWDED
+    listed = crossings.self_intersections(df)
+    counted = {r.line_id: r.intersections for r in crossings.crossing_counts(df).collect()}
+    assert counted == {r.line_id: r["count"] for r in listed.groupBy("line_id").count().collect()}
+    whole = crossings.self_intersections(df, crowded=10**9)
+    assert set(listed.collect()) == set(whole.collect())
+
+
+def test_crossings_of_very_short_segments_that_nearly_touch(line):
+    """Short segments touch within a wide tolerance; cells must not part them."""
+    rng = np.random.default_rng(8)
+    pts = list(zip(44 + np.cumsum(rng.normal(0, 2e-5, 100)), 34 + np.cumsum(rng.normal(0, 2e-5, 100))))
+    got = crossings.self_intersections(line({1: pts}), crowded=8)
+    assert set(got.collect()) == set(crossings.self_intersections(line({1: pts}), crowded=10**9).collect())

@@ -1,5 +1,6 @@
 import pytest
 from golden_steps import step_frame
+from pyspark.sql import functions as F
 
 from strandline.operators import reports as r
 
@@ -110,3 +111,56 @@ def test_report_documents(spark, steps, tmp_path):
     assert spark.read.json(str(tmp_path / "docs")).count() == 4
     wide = wide_frame(steps).where("scenario = 'scenario_low' and metric_name = 'storm_event'").first()
     assert [wide[f"step_{i}"] for i in range(4)] == ["false", "false", "true", "false"]
+
+
+def test_metrics_by_column_name(spark, tmp_path):
+    from strandline.sources.step_metrics import read_step_metrics, step_metrics_rejects
+
+    files = {
+        "a b+c": "﻿length_km, step ,year,extra\n10.5,0,0.0,\"x, y\"\n9.5,1,0.5,\n",
+        "storms": "storm_event,step,net_change_m3,length_km\nTrue,0,5.5,3\nfalse,1,,2\nmaybe,2,1,2\nTrue,3\nTrue,4,1,2,9\n,5,1,\nTrue,x,1,2\n",
+        "none": "step,length_km\n",
+        "blank": "",
+    }
+    folder = tmp_path / "steps"
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_text(text, encoding="utf-8")
+    rows = read_step_metrics(spark, str(folder))
+    assert rows.columns == ["year", "step", "length_km", "area_km2", "eroded_m3", "deposited_m3", "net_change_m3", "storm_event", "sea_level_m", "scenario"]
+    got = {(r.scenario, r.step): (r.length_km, r.year, r.storm_event, r.net_change_m3) for r in rows.collect()}
+    assert got == {
+        ("a b+c", 0): (10.5, 0.0, None, None), ("a b+c", 1): (9.5, 0.5, None, None),
+        ("storms", 0): (3.0, None, True, 5.5), ("storms", 1): (2.0, None, False, None),
+    }
+    bad = {r.record: r.reason for r in step_metrics_rejects(spark, str(folder)).collect()}
+    assert bad == {
+        "maybe,2,1,2": "storm_event is no boolean", "True,3": "wrong number of fields", "True,4,1,2,9": "wrong number of fields",
+        ",5,1,": "no length_km", "True,x,1,2": "step is no int",
+    }
+    short = read_step_metrics(spark, str(folder), columns=["year"])
+    assert short.columns == ["year", "step", "length_km", "scenario"]
+    assert read_step_metrics(spark, str(folder / "blank.csv")).collect() == []
+    with pytest.raises(ValueError, match="area_km2"):
+        read_step_metrics(spark, str(folder), ["step", "length_km", "area_km2"])
+
+
+def test_reports_on_steps_and_lengths_alone(steps):
+    """What a file does not have is null, 0 storms, or no row; the rest is as with all columns."""
+    bare = steps.select("scenario", "step", "length_km")
+    full = by(r.basic_statistics(steps))
+    for name, row in by(r.basic_statistics(bare)).items():
+        assert (row.total_steps, row.initial_length_km, row.final_length_km) == full[name][1:4] and row.initial_area_km2 is None
+    assert by(r.overview(bare)) == by(r.overview(steps))
+    final = by(r.final_metrics(bare))["scenario_low"]
+    assert final.total_erosion_m3 is None and final.storm_count == 0
+    for table in (r.temporal_change, r.erosion_totals, r.storm_split):
+        assert table(bare).collect() == []
+    assert by(r.storm_comparison(bare))["scenario_low"].n_storm == 0
+    assert by(r.storm_timing(bare))["scenario_low"].storm_interval_mean is None
+    assert by(r.storm_impact(bare))["scenario_low"].max_single_storm is None
+    assert r.step_details(bare).count() == steps.count()
+    assert {x.storms for x in r.storm_histogram(bare).collect()} == {0}
+    assert len(by(r.findings(bare))["scenario_low"].findings) == 2  # length and trend
+    mixed = steps.withColumn("eroded_m3", F.when(F.col("scenario") != "scenario_low", F.col("eroded_m3")))
+    assert set(by(r.erosion_totals(mixed))) == set(by(r.erosion_totals(steps))) - {"scenario_low"}
