@@ -31,8 +31,8 @@ from strandline.session import ship_package
 UNKNOWN = "und"
 #: Dimensions of a letter vector.
 DIM = 2048
-#: Distinct runs that a task remembers.
-REMEMBERED = 500_000
+#: Distinct runs that a task remembers, and runs of texts that it holds at once (a single text may have more).
+REMEMBERED, HELD = 250_000, 500_000
 
 
 @dataclass
@@ -110,9 +110,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM)
                 got = letters().runs(t)
                 seen.setdefault(name, []).append(got)
                 held += len(got[0])
-            if held > 4_000_000:
-                yield from flush()
-                held = 0
+                if held > HELD:
+                    yield from flush()
+                    held = 0
         yield from flush()
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +163,10 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prototypes = shared.value.languages, shared.value.vectors.T
         known, values = np.empty(0, np.int64), np.empty((0, len(names)))
-        for batch in batches:
-            found = [letters().runs(t) for t in batch.column("_hd_text").to_pylist()]
-            new = np.setdiff1d(np.concatenate([c for c, _ in found]), known) if found else known[:0]
+
+        def judge(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[str, float]]:
+            nonlocal known, values
+            new = np.setdiff1d(np.concatenate([c for c, _ in found]), known)
             if len(new) and names:
                 if len(known) > REMEMBERED:
                     known, values = known[:0], values[:0]
@@ -174,15 +175,25 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
                 known, values = np.concatenate([known, new]), np.concatenate([values, *dots])
                 order = np.argsort(known)
                 known, values = known[order], values[order]
-            best, cosine = [], np.zeros(len(found))
-            for i, (codes, n) in enumerate(found):
+            for codes, n in found:
                 if not len(codes) or not names:
-                    best.append(UNKNOWN)
+                    yield UNKNOWN, 0.0
                     continue
                 cos = (n @ values[np.searchsorted(known, codes)]) / np.sqrt(prototypes.shape[0] * float(n @ n))
                 at = int(np.argmax(cos))
-                best.append(names[at])
-                cosine[i] = min(1.0, max(0.0, cos[at]))
+                yield names[at], min(1.0, max(0.0, float(cos[at])))
+
+        for batch in batches:
+            judged, found, held = [], [], 0
+            for t in batch.column("_hd_text"):
+                found.append(letters().runs(t.as_py()))
+                held += len(found[-1][0])
+                if held > HELD:
+                    judged += judge(found)
+                    found, held = [], 0
+            if found:
+                judged += judge(found)
+            best, cosine = [x for x, _ in judged], np.array([x for _, x in judged], dtype=np.float64)
             columns = [batch.column(c) for c in kept] + [pa.array(best, pa.string()), pa.array(cosine)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
