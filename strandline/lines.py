@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = 4096
@@ -93,6 +93,39 @@ def with_neighbours(
     )
 
 
+def with_halo(
+    df: DataFrame,
+    reach: int,
+    keys: Sequence[str] = LINE,
+    order: str = "seq",
+    wrap: bool = False,
+    width: int = CHUNK,
+) -> tuple[DataFrame, WindowSpec]:
+    """Rows with copies of the ``reach`` rows on either side of every chunk, and the window over a chunk.
+
+    Several steps to neighbours can follow each other on that window in one shuffle; rows
+    with ``_own`` false are copies and are dropped at the end (as is ``_home``). ``order`` must be gap-free per
+    key. With ``wrap`` the ends of a line go on at each other.
+    """
+    keys = list(keys)
+    rows = df.withColumn("_own", F.lit(True))
+    if wrap:
+        at = F.col(order).cast("bigint")
+        ends = df.groupBy(*keys).agg(F.min(order).alias("lo_seq"), F.max(order).alias("hi_seq"))
+        met = attach(df, ends, keys, order, width=width)
+        lo, n = F.col("lo_seq").cast("bigint"), (F.col("hi_seq") - F.col("lo_seq") + 1).cast("bigint")
+        beyond = [lo - k for k in range(1, reach + 1)] + [lo + n + k for k in range(reach)]
+        own = [F.when(lo + F.pmod(v - lo, n) == at, v) for v in beyond]
+        near = F.array_compact(F.array(F.when(n > 0, at), *own))
+        rows = met.withColumn("_at", F.explode(near)).withColumn("_own", F.col("_at") == at)
+        rows = rows.withColumn(order, F.col("_at").cast(df.schema[order].dataType)).drop("_at", "lo_seq", "hi_seq")
+    first = F.floor((F.col(order) - reach) / F.lit(width))
+    last = F.floor((F.col(order) + reach) / F.lit(width))
+    spread = rows.withColumn("_home", F.explode(F.sequence(first, last)))
+    spread = spread.withColumn("_own", F.col("_own") & (F.col("_home") == chunk_number(order, width)))
+    return spread, Window.partitionBy(*keys, "_home").orderBy(order)
+
+
 def running(
     df: DataFrame,
     sums: dict[str, Column],

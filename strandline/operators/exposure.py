@@ -14,7 +14,7 @@ from strandline.functions.cells import segment_cells
 from strandline.lines import LINE, attach, spread_out, with_neighbours
 from strandline.operators.geometry import line_reference, project_local
 from strandline.operators.spatial import depth_factor, interpolate_depth
-from strandline.session import cut_lineage
+from strandline.session import cut_lineage, stored
 
 # Fixed values of the scores.
 DEPTH_FLOOR, DEPTH_SHARE = 0.35, 0.65
@@ -25,7 +25,6 @@ SMOOTHING_MAX = 0.5
 
 PER_CELL = 8
 NEAR_CELLS = 4
-FAR_FACTOR = 8
 
 
 @dataclass(frozen=True)
@@ -112,75 +111,88 @@ def ray_fetch(frames: DataFrame, p: WaveParams, keys: Sequence[str] = LINE) -> D
     """Fetch along every ray of every framed vertex.
 
     Rays 0..n-1 form the fan, rays n and n+1 follow the left and right normal.
-    Rays meet segments through grid cells: first along a few fine cells, and
-    only rays without a hit there go on over coarse cells.  The nearest hit is
-    a minimum, so meeting a segment in several cells is harmless.
+    A vertex first meets the segments of the cells around it, once for all of its rays:
+    the nearest hit of every ray is one minimum of one aggregate.  Only rays
+    without a hit there go on, in rounds of four times the reach over cells of four times
+    the size, so that a ray passes a bounded number of cells in each.  Meeting a segment in
+    several cells is harmless to a minimum.
     """
     keys = list(keys)
     sized = cut_lineage(_with_cell(frames, keys))
     n = p.fetch_samples
     probe = p.probe()
     limit = p.max_fetch_m - probe
-    fan = [
-        F.struct(F.lit(i).alias("ray"), F.lit(math.sin(math.radians(b))).alias("dx"), F.lit(math.cos(math.radians(b))).alias("dy"))
-        for i, b in enumerate(p.bearings())
-    ]
-    normals = [
-        F.struct(F.lit(n).alias("ray"), (-F.col("ty")).alias("dx"), F.col("tx").alias("dy")),
-        F.struct(F.lit(n + 1).alias("ray"), F.col("ty").alias("dx"), (-F.col("tx")).alias("dy")),
-    ]
-    rays = (
-        sized.where("framed")
-        .withColumn("_r", F.explode(F.array(*fan, *normals)))
-        .select(
-            *keys, "seq", "pseq", "cell", "_r.ray", "_r.dx", "_r.dy",
-            (F.col("x") + F.col("_r.dx") * probe).alias("ox"), (F.col("y") + F.col("_r.dy") * probe).alias("oy"),
-        )
-    )
-    base = rays.select(*keys, "seq", "ray", "dx", "dy")
+    fan = [(F.lit(math.sin(math.radians(b))), F.lit(math.cos(math.radians(b)))) for b in p.bearings()]
+    ways = [*fan, (-F.col("ty"), F.col("tx")), (F.col("ty"), -F.col("tx"))]
+    at = sized.where("framed")
     if limit <= 0:
-        return base.withColumn("fetch", F.lit(p.max_fetch_m))
+        every = F.array(*[F.struct(F.lit(i).alias("ray"), dx.alias("dx"), dy.alias("dy")) for i, (dx, dy) in enumerate(ways)])
+        rows = at.select(*keys, "seq", F.explode(every).alias("r"))
+        return rows.select(*keys, "seq", "r.ray", "r.dx", "r.dy", F.lit(p.max_fetch_m).alias("fetch"))
     has_segment = F.col("closed") | (F.col("seq") < F.col("hi_seq"))
     segs = sized.where(has_segment).select(
         *keys, F.col("seq").alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"),
         F.col("nx").alias("bx"), F.col("ny").alias("by"), "cell",
     )
-    spread_rays = spread_out(rays, [*keys, "seq"])
 
-    def hits(some: DataFrame, factor: int, reach: Column) -> DataFrame:
-        size = F.col("cell") * factor
-        ray_cells = some.withColumn(
-            "_c",
-            F.explode(
-                segment_cells(F.col("ox"), F.col("oy"), F.col("ox") + F.col("dx") * reach, F.col("oy") + F.col("dy") * reach, size)
-            ),
-        ).select(*keys, "seq", "pseq", "ray", "ox", "oy", "dx", "dy", reach.alias("reach"), "_c.cx", "_c.cy")
-        seg_cells = segs.withColumn(
-            "_c", F.explode(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size))
-        ).select(*keys, "seg", "ax", "ay", "bx", "by", "_c.cx", "_c.cy")
-        cell_keys = [*keys, "cx", "cy"]
-        met = spread_out(ray_cells, cell_keys).join(spread_out(seg_cells, cell_keys), cell_keys).where(
-            (F.col("seg") != F.col("seq")) & (F.col("seg") != F.col("pseq"))
-        )
+    def crossing(dx: Column, dy: Column, ox: Column, oy: Column, reach: Column) -> Column:
+        """Distance from the ray's origin to a segment that it hits within reach."""
         sx, sy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-        den = geo.cross(F.col("dx"), F.col("dy"), sx, sy)
-        ex, ey = F.col("ax") - F.col("ox"), F.col("ay") - F.col("oy")
-        t = F.try_divide(geo.cross(ex, ey, sx, sy), den)
-        u = F.try_divide(geo.cross(ex, ey, F.col("dx"), F.col("dy")), den)
-        ok = (F.abs(den) >= 1e-9) & (t > 1e-6) & u.between(-1e-6, 1 + 1e-6) & (t <= F.col("reach"))
-        return met.where(ok).groupBy(*keys, "seq", "ray").agg(F.min(t).alias("t"))
-
-    near_reach = F.least(F.lit(limit), F.col("cell") * NEAR_CELLS)
-    near = cut_lineage(hits(spread_rays, 1, near_reach))
-    open_rays = spread_rays.where(F.col("cell") * NEAR_CELLS < limit).join(
-        near.select(*keys, "seq", "ray"), [*keys, "seq", "ray"], "left_anti"
+        den = geo.cross(dx, dy, sx, sy)
+        ex, ey = F.col("ax") - ox, F.col("ay") - oy
+        t, u = F.try_divide(geo.cross(ex, ey, sx, sy), den), F.try_divide(geo.cross(ex, ey, dx, dy), den)
+        return F.when((F.abs(den) >= 1e-9) & (t > 1e-6) & u.between(-1e-6, 1 + 1e-6) & (t <= reach), t)
+
+    others = (F.col("seg") != F.col("seq")) & (F.col("seg") != F.col("pseq"))
+    cell_keys = [*keys, "cx", "cy"]
+
+    def segment_table(size: Column) -> DataFrame:
+        cells = F.explode(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size))
+        return segs.withColumn("_c", cells).select(*keys, "seg", "ax", "ay", "bx", "by", "_c.cx", "_c.cy")
+
+    # the cells around a vertex reach as far as its rays do in the first round
+    near = F.least(F.lit(limit), F.col("cell") * NEAR_CELLS)
+    size = near + probe + 1.0
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    homes = at.select(*keys, "seq", "pseq", "x", "y", "tx", "ty", "cell", size.alias("_s")).withColumn("_i", around).withColumn("_j", around)
+    homes = homes.withColumns({"cx": F.floor(F.col("x") / F.col("_s")) + F.col("_i"), "cy": F.floor(F.col("y") / F.col("_s")) + F.col("_j")})
+    met = spread_out(homes.drop("_i", "_j", "_s"), cell_keys).join(spread_out(segment_table(size), cell_keys), cell_keys).where(others)
+    nearest = [
+        F.min(crossing(dx, dy, F.col("x") + dx * probe, F.col("y") + dy * probe, near)).alias(f"t{i}") for i, (dx, dy) in enumerate(ways)
+    ]
+    found = met.groupBy(*keys, "seq").agg(*nearest)
+    every = F.array(
+        *[F.struct(F.lit(i).alias("ray"), dx.alias("dx"), dy.alias("dy"), F.col(f"t{i}").alias("t")) for i, (dx, dy) in enumerate(ways)]
     )
-    far = hits(open_rays, FAR_FACTOR, F.lit(limit))
-    found = near.unionByName(far)
-    none = base.select(*keys, "seq", "ray", F.lit(limit).alias("t"), "dx", "dy")
-    best = none.unionByName(found, allowMissingColumns=True).groupBy(*keys, "seq", "ray").agg(
-        F.min("t").alias("t"), F.max("dx").alias("dx"), F.max("dy").alias("dy")
+    best = at.join(found, [*keys, "seq"], "left").withColumn("_r", F.explode(every)).select(
+        *keys, "seq", "pseq", "cell", "x", "y", "_r.ray", "_r.dx", "_r.dy", "_r.t", near.alias("reach")
     )
+    best = stored(best, "rays")
+    settled, going = [], (F.col("t").isNull()) & (F.col("reach") < limit)
+    factor = 1
+    while not best.where(going).isEmpty():  # reach grows fourfold, up to the limit
+        settled.append(best.where(~going))
+        factor *= 4
+        rays = best.where(going).withColumns(
+            {
+                "ox": F.col("x") + F.col("dx") * probe, "oy": F.col("y") + F.col("dy") * probe,
+                "upto": F.least(F.lit(limit), F.col("reach") * 4),
+            }
+        )
+        size = F.col("cell") * factor
+        ends = [F.col(o) + F.col(d) * F.col(r) for r in ("reach", "upto") for o, d in (("ox", "dx"), ("oy", "dy"))]
+        passed = spread_out(rays, [*keys, "seq"]).withColumn("_c", F.explode(segment_cells(*ends, size)))
+        passed = passed.select(*keys, "seq", "pseq", "ray", "ox", "oy", "dx", "dy", "upto", "_c.cx", "_c.cy")
+        met = spread_out(passed, cell_keys).join(spread_out(segment_table(size), cell_keys), cell_keys).where(others)
+        hit = F.min(crossing(F.col("dx"), F.col("dy"), F.col("ox"), F.col("oy"), F.col("upto"))).alias("_t")
+        hits = met.groupBy(*keys, "seq", "ray").agg(hit)
+        best = rays.join(hits, [*keys, "seq", "ray"], "left").select(
+            *[F.coalesce("t", "_t").alias("t") if c == "t" else F.col("upto").alias("reach") if c == "reach" else F.col(c) for c in best.columns]
+        )
+        best = stored(best, "rays")
+    for part in settled:
+        best = best.union(part)
+    best = best.withColumn("t", F.coalesce("t", F.lit(limit)))
     return best.select(*keys, "seq", "ray", "dx", "dy", (F.lit(probe) + F.col("t")).alias("fetch"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.lines import LINE, with_neighbours
+from strandline.lines import LINE, with_halo
+from strandline.session import stored
 
 # Fixed values of the budget.
 HARD_ROCK = 5.0
@@ -46,26 +47,29 @@ def longshore_exchange(volumes: DataFrame, p: SedimentParams, keys: Sequence[str
     """Volumes sent to and received from the adjacent vertices.
 
     Neighbours wrap on every line.  With fewer than three vertices the chord
-    between the neighbours has no length and nothing moves.
+    between the neighbours has no length and nothing moves.  What a vertex sends depends on its
+    neighbours and what it receives on theirs, so chunks carry two rows of each side.
     """
-    nb = with_neighbours(volumes, ["lat", "lon"], keys, wrap=True)
-    cx, cy = F.col("next.lon") - F.col("prev.lon"), F.col("next.lat") - F.col("prev.lat")
-    chord = geo.length2d(cx, cy)
-    ux, uy = cx / chord, cy / chord
+    rows, along = with_halo(volumes, 2, keys, wrap=True)
+    lat, lon = F.col("lat"), F.col("lon")
+    cx, cy = F.lead(lon).over(along) - F.lag(lon).over(along), F.lead(lat).over(along) - F.lag(lat).over(along)
+    rows = rows.withColumns({"_cx": cx, "_cy": cy})
+    chord = geo.length2d(F.col("_cx"), F.col("_cy"))
+    ux, uy = F.col("_cx") / chord, F.col("_cy") / chord
     wx, wy = geo.bearing_unit(F.lit(p.direction_deg))
     energy = F.coalesce(F.col("energy"), F.lit(MISSING_ENERGY))
     drift = F.lit(p.longshore_drift_coefficient) * F.abs(geo.dot(ux, uy, wx, wy)) * energy
     half = F.col("transported") * 0.5 * drift
     forward = geo.cross(ux, uy, wx, wy) > 0
     moves = chord >= 1e-9
-    sent = nb.withColumns(
+    sent = rows.withColumns(
         {
             "to_next": F.when(moves, half * F.when(forward, 1.5).otherwise(0.5)).otherwise(0.0),
             "to_prev": F.when(moves, half * F.when(forward, 0.5).otherwise(1.5)).otherwise(0.0),
         }
-    ).drop("prev", "next")
-    got = with_neighbours(sent, ["to_next", "to_prev"], keys, wrap=True)
-    return got.withColumn("incoming", F.col("prev.to_next") + F.col("next.to_prev")).drop("prev", "next")
+    )
+    got = sent.withColumn("incoming", F.lag("to_next").over(along) + F.lead("to_prev").over(along))
+    return got.where("_own").drop("_own", "_home", "_cx", "_cy")
 
 
 def deposition(exchanged: DataFrame, p: SedimentParams) -> DataFrame:
@@ -126,7 +130,7 @@ def budget_totals(settled: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:
 def sediment_budget(
     shore: DataFrame, p: SedimentParams, keys: Sequence[str] = LINE
 ) -> tuple[DataFrame, DataFrame]:
-    """Budget per vertex and per line."""
-    settled = deposition(longshore_exchange(erosion_volumes(shore, p), p, keys), p)
+    """Budget per vertex and per line (E7); the shore is read once."""
+    settled = deposition(longshore_exchange(erosion_volumes(stored(shore, "shore"), p), p, keys), p)
     settled = settled.withColumn("modified_rate", modified_rate())
     return settled, budget_totals(settled, keys)

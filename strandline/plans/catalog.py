@@ -8,6 +8,7 @@ from strandline.plans import (  # noqa: F401
     report_queries,
     source_queries,
     spatial_queries,
+    load_queries,
 )
 from strandline.plans.registry import ORACLES, QUERIES
 

@@ -429,10 +429,9 @@ define(
 )
 
 
-@register(
-    "v19_verdict",
-    query(
-        f"""SELECT line_id, kept, removed, candidate>0 AS reordered, intersections,
+define(
+    "verdict",
+    f"""SELECT line_id, kept, removed, candidate>0 AS reordered, intersections,
  coalesce(longs,0) AS long_segments, coalesce(reps,0) AS repeated_landmarks,
  CASE WHEN kept<2 THEN 'fewer than 2 points' WHEN intersections>0 THEN 'self-intersection' END AS fatal,
  concat_ws(' | ', CASE WHEN removed>0 THEN printf('{q.MSG_REMOVED}', removed) END, CASE WHEN candidate>0 THEN '{q.MSG_REORDERED}' END) AS fixes,
@@ -443,12 +442,14 @@ LEFT JOIN (SELECT line_id, count(*) AS longs FROM (SELECT line_id, {hav('plat','
 LEFT JOIN (SELECT line_id, count(*) AS reps FROM (SELECT line_id, landmark, count(*) AS c FROM
    (SELECT o.line_id, o.seq, arg_min(l.name, (sqrt(power(o.lon-l.lon,2)+power(o.lat-l.lat,2)), l.ord)) AS landmark
     FROM ordered o JOIN landmarks l ON abs(o.lat-l.lat)<0.15e0 AND abs(o.lon-l.lon)<0.15e0 GROUP BY 1,2) GROUP BY 1,2 HAVING count(*)>1) GROUP BY 1) USING (line_id)""",
-        "dedup",
-        "best",
-        "ordered",
-        "landmarks",
-    ),
+    "dedup",
+    "best",
+    "ordered",
+    "landmarks",
 )
+
+
+@register("v19_verdict", query("SELECT * FROM verdict", "verdict"))
 def v19(spark, sf):
     from strandline.lines import renumber
 
@@ -586,3 +587,4 @@ def v23(spark, sf):
         q.long_segments(v, long_km=LONG_KM), q.repeated_landmarks(v, a.landmarks(spark, sf)), fixes, long_km=LONG_KM
     )
     return digest.select("line_id", F.array_join("alerts", " | ").alias("alerts"))
+

@@ -153,6 +153,26 @@ def s4m(spark, sf):
     return m.select("name", "version", "resolution", F.col("bounds.min_lat").alias("min_lat"), "n_points", "n_classes", "n_baselines")
 
 
+@register(
+    "s4_rejected_profiles",
+    """SELECT CAST(event_id AS VARCHAR) AS doc_id, CASE event_id%6 WHEN 0 THEN 'empty payload' WHEN 1 THEN 'unreadable json' WHEN 2 THEN 'no profile'
+ WHEN 3 THEN 'no name' WHEN 4 THEN 'no points' END AS reason FROM events WHERE event_id%6<5""",
+)
+def s4r(spark, sf):
+    k = F.col("event_id") % 6
+    docs = a.table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("doc_id"),
+        F.when(k == 0, " ")
+        .when(k == 1, '{"metadata":')
+        .when(k == 2, "[1,2]")
+        .when(k == 3, '{"metadata":{"name":" "},"points":[{"lat":1,"lon":2}]}')
+        .when(k == 4, '{"metadata":{"name":"p"},"points":[],"classes":{}}')
+        .otherwise('{"metadata":{"name":"p"},"points":[{"lat":1,"lon":2,"lithology_class":"clay"}],"classes":{"clay":{"resistance":1.2}}}')
+        .alias("payload"),
+    )
+    return lit.rejected_profiles(docs)
+
+
 def _r1(expr: str, digits: int = 1) -> str:
     return f"printf('%.{digits}f', round_even({expr}*1e{digits},0)/1e{digits})"
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from strandline.operators.geometry import line_summary
 from strandline.operators.quality import longest_sequence
 
-# Nesting of geometry collections; deeper documents are rejected by name.
-MAX_NESTING = 8
+# Types of coordinates that hold numbers only.
+ORDINATES = r"^(ARRAY<)+(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|VOID|DECIMAL\(.*\))>+$"
 DEPTH_KEYS = ("lat", "lon", "depth")
 GEOJSON_TYPES = [
     "featurecollection", "feature", "polygon", "multipolygon", "linestring", "multilinestring", "geometrycollection",
@@ -77,6 +77,23 @@ def _is_collection(geometry: Column) -> Column:
     return F.coalesce(F.lower(_text(geometry, "$.type")) == "geometrycollection", F.lit(False))
 
 
+def _nesting(payload: Column) -> Column:
+    """How deep objects are nested in a text with geometry collections within each other; else 1.
+
+    Strings are taken out first, as they may hold braces.
+    """
+    several = F.regexp_count(F.lower(payload), F.lit("geometrycollection")) > 1
+    bare = F.regexp_replace(payload, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(1).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.when(several, F.aggregate(braces, start, step)["most"]).otherwise(F.lit(1))
+
+
 def parse_geojson(docs: DataFrame) -> DataFrame:
     """Parsed documents: root type, features, sequences and the reason of a rejection."""
     v = docs.withColumn("v", F.try_parse_json(F.trim("payload")))
@@ -111,8 +128,11 @@ def parse_geojson(docs: DataFrame) -> DataFrame:
             )
         )
 
-    flat = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_NESTING)), F.col("_roots"), unfold)
+    # one level of collections at a time, as many as the document has
+    flat = F.aggregate(F.sequence(F.lit(1), _nesting(F.col("payload"))), F.col("_roots"), unfold)
     v = v.withColumn("_flat", flat)
+    coordinates = F.filter(F.transform("_flat", lambda g: F.try_variant_get(g, "$.coordinates", "variant")), lambda c: c.isNotNull())
+    typed = ~F.exists(coordinates, lambda c: ~F.schema_of_variant(c).rlike(ORDINATES))
     v = v.withColumn("sequences", F.flatten(F.transform("_flat", _sequences)))
     short = F.exists("sequences", lambda s: F.exists(s, lambda p: F.coalesce(F.size(p) < 2, F.lit(True))))
     reason = (
@@ -120,8 +140,7 @@ def parse_geojson(docs: DataFrame) -> DataFrame:
         .when(F.col("v").isNull(), "unreadable json")
         .when(F.col("_kind").isNull() | ~F.col("_kind").isin(GEOJSON_TYPES), "unsupported root type")
         .when((F.col("_kind") == "feature") & (F.size("_roots") == 0), "feature without geometry")
-        .when(F.exists("_flat", _is_collection), "collections nested too deep")
-        .when(F.col("sequences").isNull(), "unsupported or unreadable geometry")
+        .when(~typed | F.col("sequences").isNull(), "unsupported or unreadable geometry")
         .when(F.size("sequences") == 0, "no geometry")
         .when(short, "position with fewer than two ordinates")
     )

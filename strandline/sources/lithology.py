@@ -56,13 +56,28 @@ def default_baselines(spark: SparkSession) -> DataFrame:
 
 
 def parse_profiles(docs: DataFrame) -> DataFrame:
-    """Nested profile per document (``doc_id``, ``payload``); unreadable text gives nulls."""
+    """Nested profile per document (``doc_id``, ``payload``); see ``rejected_profiles`` for those not ``readable``."""
     parsed = docs.withColumn("p", F.from_json("payload", LITHO_PROFILE))
     return parsed.select("doc_id", "p.*").withColumn(
         "readable", F.coalesce(F.length(F.trim(F.col("metadata.name"))) > 0, F.lit(False))
     )
 
 
+def rejected_profiles(docs: DataFrame) -> DataFrame:
+    """Profile documents that cannot be used, with the reason; the others are ``readable``."""
+    body, p = F.trim("payload"), F.from_json("payload", LITHO_PROFILE)
+    points, classes = p["points"], p["classes"]
+    reason = (
+        F.when(F.coalesce(F.length(body), F.lit(0)) == 0, "empty payload")
+        .when(F.try_parse_json(body).isNull(), "unreadable json")
+        .when(~body.startswith("{"), "no profile")
+        .when(F.coalesce(F.length(F.trim(p["metadata"]["name"])), F.lit(0)) == 0, "no name")
+        .when(F.coalesce(F.size(points), F.lit(0)) <= 0, "no points")
+        .when(F.coalesce(F.size(classes), F.lit(0)) <= 0, "no classes")
+    )
+    return docs.select("doc_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def profile_points(profiles: DataFrame) -> DataFrame:
     return profiles.select("doc_id", F.posexplode("points").alias("ord", "p")).select("doc_id", "ord", "p.*")
 

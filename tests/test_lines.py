@@ -66,3 +66,31 @@ def test_attach(walk):
     agg = walk.groupBy("line_id").agg(F.min("seq").alias("lo_seq"), F.max("seq").alias("hi_seq"), F.sum("v").alias("t"))
     got = ln.attach(walk, agg, width=3)
     assert same(got, walk.join(agg, "line_id"), ["line_id", "seq", "t"])
+
+
+@pytest.mark.parametrize("wrap", [True, False])
+@pytest.mark.parametrize("width", [1, 4, 4096])
+def test_halo_of_two(spark, wrap, width):
+    """Two steps to neighbours on one window, over chunk borders and round the ends of lines of any size."""
+    from strandline.lines import with_halo
+
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 4, "e": 23}
+    rows = [(k, i + 1, float((i * 7) % 11)) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "line_id string, seq int, v double").repartition(3)
+    spread, along = with_halo(df, 2, wrap=wrap, width=width)
+    step = spread.withColumn("s", F.lag("v").over(along) * 2 + F.lead("v").over(along))
+    step = step.withColumn("t", F.lag("s").over(along) - F.lead("s").over(along)).where("_own")
+    got = {(r.line_id, r.seq): r.t for r in step.collect()}
+    assert len(got) == len(rows)
+    for k, n in sizes.items():
+        v = [x for name, _, x in rows if name == k]
+
+        def at(values, i):
+            return values[i % n] if wrap else (values[i] if 0 <= i < n else None)
+
+        def both(a, b, f):
+            return None if a is None or b is None else f(a, b)
+
+        s = [both(at(v, i - 1), at(v, i + 1), lambda a, b: 2 * a + b) for i in range(n)]
+        for i in range(n):
+            assert got[k, i + 1] == both(at(s, i - 1), at(s, i + 1), lambda a, b: a - b)
