@@ -32,7 +32,7 @@ UNKNOWN = "und"
 #: Dimensions of a letter vector.
 DIM = 2048
 #: Distinct runs that a task remembers, and runs of texts that it holds at once (a single text may have more).
-REMEMBERED, HELD = 250_000, 500_000
+REMEMBERED, HELD = 150_000, 200_000
 
 
 @dataclass
