@@ -49,6 +49,8 @@ HEAVY, EQUAL, SMALLER, LARGER = 0, 1, 2, 3
 ENTRY = "key long, role byte, set long, n long"
 #: Members of a list that one task compares with as many others.
 BLOCK = 2048
+#: Bytes of the short sketches that pairs carry first.
+BRIEF = 64
 #: Sizes above this are never light: their subsets alone would outgrow any text.
 LIGHT_MOST = 60
 
@@ -365,12 +367,29 @@ def passing(pairs: DataFrame, rule: Threshold, left: str, right: str, test) -> D
     return pairs.select("a", "b", left, right).mapInArrow(run, "a long, b long")
 
 
+def brief(sets: DataFrame, most: int = BRIEF) -> DataFrame:
+    """set and a struct of n and the sketch folded to ``most`` bytes.
+
+    Folding by XOR never adds to the distance of two sketches, so pairs that are too far apart
+    in the short ones are in the whole ones, too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [x if len(x) <= most else folded([x, bytes(most)])[0].tobytes() for x in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("n"), pa.array(short, pa.binary())], names=["set", "n", "sketch"])
+
+    short = sets.select("set", "n", "sketch").mapInArrow(run, "set long, n long, sketch binary")
+    return short.select("set", F.struct("n", "sketch").alias("s"))
+
+
 def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, rule: Threshold) -> DataFrame:
-    """Pairs that link, by sketches first and whole sets then."""
+    """Pairs that link, by short sketches first, then by whole ones, and by whole sets at last."""
 
     def near(x: dict, y: dict) -> bool:
         return parity_distance(x["sketch"], y["sketch"]) <= rule.differ(x["n"], y["n"])
 
+    pairs = stored(passing(both_sides(pairs, brief(sets)), rule, "s_a", "s_b", near), "brief")
     sketches = sets.select("set", F.struct("n", "sketch").alias("s"))
     left = stored(passing(both_sides(pairs, sketches), rule, "s_a", "s_b", near), "near")
 
