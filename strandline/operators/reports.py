@@ -30,6 +30,9 @@ MSG_TREND_DOWN = "Обнаружена устойчивая тенденция 
 MSG_TREND_UP = "Обнаружена устойчивая тенденция к росту береговой линии (тренд: %.3f км/шаг)"
 MSG_TREND_FLAT = "Динамика береговой линии относительно стабильна"
 
+#: Buckets of a histogram that one row unfolds to.
+STRETCH = 4096
+
 _first = lambda c: F.min_by(c, "step")
 _last = lambda c: F.max_by(c, "step")
 
@@ -207,6 +210,16 @@ def step_matrix(m: DataFrame, relative: bool, steps: list[int] | None = None) ->
     return wide.select(*KEY, *[F.col(f"`{c}`").alias(f"step_{c}") for c in wide.columns if c not in KEY])
 
 
+def step_maps(m: DataFrame, relative: bool) -> DataFrame:
+    """R13 for any number of steps: a row per scenario, with a map from step to length; the input is read once."""
+    first = m.groupBy(*KEY).agg(
+        _first("length_km").alias("_f"), F.min("step").alias("lo_seq"), F.max("step").alias("hi_seq")
+    )
+    value = F.when(F.col("_f") > 0, F.col("length_km") / F.col("_f") * 100).otherwise(F.col("length_km"))
+    cells = attach(m, first, KEY, "step").select(*KEY, F.struct("step", (value if relative else F.col("length_km")).alias("v")).alias("c"))
+    return cells.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list("c"))).alias("steps"))
+
+
 def cumulative_net(m: DataFrame) -> DataFrame:
     """R14."""
     return running(m, {"cumulative_net_m3": F.col("net_change_m3")}, KEY, "step")
@@ -287,10 +300,11 @@ def storm_histogram(m: DataFrame) -> DataFrame:
     x = F.coalesce(F.floor("year"), F.col("step").cast("bigint"))
     hits = m.where("storm_event").groupBy(*KEY, x.alias("bucket")).agg(F.count("*").alias("storms"))
     span = m.groupBy(*KEY).agg((F.count("*") - 1).alias("rows"), F.max(F.when(F.col("storm_event"), x)).alias("top"))
-    buckets = span.select(
-        *KEY,
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("rows"), F.coalesce("top", F.lit(0))))).alias("bucket"),
-    )
+    span = span.select(*KEY, F.greatest("rows", F.coalesce("top", F.lit(0)).cast("bigint")).alias("most"))
+    # stretches first, so that no row holds all buckets of a scenario
+    stretch = F.sequence(F.lit(0).cast("bigint"), F.expr(f"most div {STRETCH}"))
+    stretches = span.withColumn("_n", F.explode(stretch)).withColumn("_s", F.col("_n") * STRETCH)
+    buckets = stretches.select(*KEY, F.explode(F.sequence("_s", F.least(F.col("_s") + (STRETCH - 1), F.col("most")))).alias("bucket"))
     return buckets.join(hits, [*KEY, "bucket"], "left").select(*KEY, "bucket", F.coalesce("storms", F.lit(0)).alias("storms"))
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.lines import LINE, with_halo
+from strandline.lines import LINE, with_halo, with_one_row
 from strandline.session import stored
 
 # Fixed values of the budget.
@@ -31,6 +32,17 @@ class SedimentParams:
     direction_deg: float = 0.0
 
 
+def for_parameters(shore: DataFrame, params: DataFrame) -> tuple[DataFrame, SimpleNamespace]:
+    """Every row of ``shore`` once per row of ``params``, and parameters that E1 to E7 take as columns.
+
+    ``params``: a short table of defaulted parameters (names as in ``SedimentParams``) with a column that
+    tells its rows apart, which then is one of the keys: all scenarios are computed in one call.
+    """
+    packed = params.agg(F.collect_list(F.struct(*params.columns)).alias("_params"))
+    rows = with_one_row(shore, packed).withColumn("_p", F.explode("_params")).select(*shore.columns, "_p.*")
+    return rows, SimpleNamespace(**{f.name: F.col(f.name) for f in fields(SedimentParams)})
+
+
 def erosion_volumes(shore: DataFrame, p: SedimentParams) -> DataFrame:
     """Eroded, transported and locally deposited volume per vertex."""
     res = F.col("resistance")

@@ -286,6 +286,20 @@ def r13a(spark, sf):
     return out(r.step_matrix(metrics(spark, sf), False))
 
 
+@register(
+    "r13_step_maps",
+    query(
+        f"""SELECT scenario, step, {s6('CASE WHEN f>0 THEN length_km/f*100 ELSE length_km END',4)} AS relative_length FROM step_metrics JOIN
+(SELECT scenario, {FL.format('length_km')} AS f FROM step_metrics GROUP BY 1) USING (scenario)""",
+        "step_metrics",
+    ),
+)
+def r13m(spark, sf):
+    """The relative lengths as one map per scenario, unfolded."""
+    maps = r.step_maps(metrics(spark, sf), True)
+    return out(maps.select("scenario", F.explode("steps").alias("step", "relative_length")))
+
+
 @register(
     "r14_cumulative_net",
     query(

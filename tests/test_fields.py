@@ -218,3 +218,34 @@ def test_depth_samples_of_any_spelling_and_rejects(spark):
     assert [(r.lat, r.lon, r.depth) for r in got] == [(1.0, 2.0, -3.0), (5.0, 0.0, 0.0)]
     reasons = sorted(r.reason for r in documents.rejected_bathymetry(docs(spark, *texts)).collect())
     assert reasons == ["empty payload", "no depth samples", "unreadable depth samples", "unreadable depth samples"]
+
+
+def test_sediment_budget_over_a_table_of_parameters(spark):
+    """Scenarios computed in one call equal calls with their parameters."""
+    from strandline.operators import sediment as e
+
+    rng = np.random.default_rng(3)
+    rows = [(k, i + 1, *map(float, rng.uniform(0.1, 3, 5))) for k in (1, 2) for i in range(12)]
+    shore = spark.createDataFrame(rows, "line_id int, seq int, lat double, lon double, erosion_rate double, resistance double, energy double")
+    sets = {"a": e.SedimentParams(direction_deg=45.0, capacity_factor=0.25), "b": e.SedimentParams(deposition_rate=0.2, direction_deg=200.0)}
+    params = spark.createDataFrame([{"scenario": k, **vars(p)} for k, p in sets.items()])
+    rows, columns = e.for_parameters(shore, params)
+    settled, totals = e.sediment_budget(rows, columns, ["scenario", "line_id"])
+    names = ["line_id", "seq", "incoming", "deposited", "transported", "modified_rate"]
+    for k, p in sets.items():
+        one, total = e.sediment_budget(shore, p)
+        assert sorted(settled.where(F.col("scenario") == k).select(names).collect()) == sorted(one.select(names).collect())
+        figures = [c for c in total.columns if c != "warnings"]
+        for x, y in zip(sorted(totals.where(F.col("scenario") == k).select(figures).collect()), sorted(total.select(figures).collect())):
+            assert tuple(x) == pytest.approx(tuple(y))
+
+
+def test_raster_axis_over_stretches(spark, monkeypatch):
+    """Nearest source positions do not depend on where an axis is cut."""
+    from strandline.sources import raster
+
+    monkeypatch.setattr(raster, "STRETCH", 3)
+    for values in ([0.1, 4.9, 5.1, 9.0, 9.0, 30.0], [12.0], []):
+        source = spark.createDataFrame([(v,) for v in values], "lat double")
+        got = {r.lat_out: r.lat for r in raster._axis_matches(source, 0.0, 20.0, 1.0, "lat").collect()}
+        assert got == {float(t): min(values, key=lambda v: (abs(v - t), v)) if values else None for t in range(21)}
