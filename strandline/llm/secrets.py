@@ -64,6 +64,19 @@ DICTIONARY = (
 ).encode()
 
 
+#: Shares of letters in words of a natural language: vowels of all letters at least, letters per part at least.
+VOWELS, PART = 0.28, 3.5
+
+
+def made_of_words(candidate: str) -> bool:
+    """Whether a candidate of letters and separators alone reads like joined words (an identifier, a path), not like a key."""
+    letters = [c for c in candidate if c.isalpha()]
+    if not letters or any(c.isdigit() or c in "+=" for c in candidate):
+        return False
+    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", candidate)
+    return sum(c in "aeiouyAEIOUY" for c in letters) >= VOWELS * len(letters) and len(letters) >= PART * len(parts)
+
+
 class Scanner:
     """Finds the spans of one text; one per task."""
 
@@ -72,8 +85,19 @@ class Scanner:
         primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zstd = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
 
+    def novelty_at(self, text: str, start: int, end: int) -> float:
+        """Marginal compressed bytes per character of ``text[start:end]``.
+
+        Other copies of the candidate are taken out of its surroundings first: a key that is used
+        again near by would explain itself.
+        """
+        own, size = text[start:end], end - start
+        before = text[max(0, start - AROUND - size) : start].replace(own, " ")[-AROUND:]
+        after = text[end : end + AROUND + size].replace(own, " ")[:AROUND]
+        return self.cost(before, own, after)
+
     def cost(self, before: str, candidate: str, after: str) -> float:
-        """Marginal compressed bytes per character of a candidate within its surroundings."""
+        """Marginal compressed bytes per character of a candidate between two stretches of text."""
         whole = len(self.zstd.compress((before + candidate + after).encode("utf-8", "replace")))
         rest = len(self.zstd.compress((before + after).encode("utf-8", "replace")))
         return (whole - rest) / len(candidate)
@@ -101,7 +125,7 @@ class Scanner:
             start, end = m.span(m.lastgroup)
             body = m[m.lastgroup]
             start, end = start + len(body) - len(body.lstrip()), end - len(body) + len(body.rstrip())
-            if CANDIDATE.search(body) and self.cost(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= self.novelty:
+            if CANDIDATE.search(body) and self.novelty_at(text, start, end) >= self.novelty:
                 found.append(("novel", start, end))
         known = known + found
         for m in CANDIDATE.finditer(text):
@@ -112,7 +136,7 @@ class Scanner:
             if not any(len(before) - w.end() <= REACH for w in SENSITIVE.finditer(before)):
                 if not any(w.start() <= REACH for w in SENSITIVE.finditer(after)):
                     continue
-            if self.cost(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= self.novelty:
+            if not made_of_words(m[0]) and self.novelty_at(text, start, end) >= self.novelty:
                 found.append(("novel", start, end))
         return found
 
