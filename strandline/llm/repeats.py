@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import GOLDEN, mix64
-from strandline.llm.jaccard import HEAVY, Threshold, linked_classes, meeting, name, shingles, sketch
+from strandline.llm.common import BLANK, GOLDEN, fold, mix64, word_hashes
+from strandline.llm.jaccard import HEAVY, Threshold, linked_classes, meeting, shingles
 from strandline.session import ship_package, stored
 
 
@@ -81,69 +81,124 @@ def joined(run: list[tuple[int, str, int]], min_words: int) -> list[tuple[int, i
     return [(run[a][0], run[b][0] + len(run[b][1])) for a, b in zip(firsts, lasts)]
 
 
+def shingle_table(parts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of many paragraphs at once: their sorted distinct hashes one after the other, and the size of each."""
+    data = b" ".join(p.encode("utf-8", "replace").lower() for p in parts)
+    inside = np.frombuffer(data.translate(BLANK), dtype=np.uint8) != 32
+    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    of = np.searchsorted(np.cumsum([len(p.encode("utf-8", "replace")) + 1 for p in parts]), first, side="right")
+    if np.bincount(of, minlength=len(parts)).min() < width:  # fewer words than a shingle has
+        sets = [shingles(p, width) for p in parts]
+        return np.concatenate(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    runs = fold(word_hashes(data), width)
+    whole = of[width - 1 :] == of[: len(runs)]
+    flat, of = runs[whole], of[: len(runs)][whole]
+    order = np.lexsort((flat, of))
+    flat, of = flat[order], of[order]
+    new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])])
+    return flat[new], np.bincount(of[new], minlength=len(parts))
+
+
+def names_of(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``name`` of every set of a table."""
+    sums = np.add.reduceat(mix64(flat ^ GOLDEN), np.cumsum(sizes) - sizes)
+    return mix64(sums ^ sizes.astype(np.uint64)).view(np.int64)
+
+
+def sketches_of(flat: np.ndarray, sizes: np.ndarray, rule: Threshold) -> list[bytes]:
+    """``sketch`` of every set of a table: sets of one width are one matrix of parities."""
+    widths = np.full(len(sizes), 64, dtype=np.int64)
+    need = 16 * (2 * sizes * (rule.den - rule.num) // (rule.den + rule.num))
+    while (narrow := widths < need).any():
+        widths[narrow] *= 2
+    out: list[bytes] = [b""] * len(sizes)
+    of_width = np.repeat(widths, sizes)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        for at in range(0, len(rows), max(1, 8_000_000 // width)):
+            part = rows[at : at + max(1, 8_000_000 // width)]
+            chosen = np.zeros(len(sizes), dtype=bool)
+            chosen[part] = True
+            own = flat[np.repeat(chosen, sizes) & (of_width == width)]
+            place = np.repeat(np.arange(len(part)), sizes[part]) * width + (own & np.uint64(width - 1)).astype(np.int64)
+            bits = np.packbits((np.bincount(place, minlength=len(part) * width) & 1).astype(np.uint8), bitorder="little")
+            for row, blob in zip(part.tolist(), bits.reshape(len(part), -1)):
+                out[row] = blob.tobytes()
+    return out
+
+
+def stretches(batch: pa.RecordBatch, min_words: int, most: int = 1_000_000) -> Iterator[tuple[list[tuple[int, int, int]], list[str]]]:
+    """(doc, start, end) and text of the paragraphs of a batch, about ``most`` characters at a time."""
+    rows, parts, held = [], [], 0
+    for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
+        for start, end, part in paragraphs(text.as_py(), min_words):
+            rows.append((doc, start, end))
+            parts.append(part)
+            held += len(part)
+            if held > most:
+                yield rows, parts
+                rows, parts, held = [], [], 0
+    if parts:
+        yield rows, parts
+
+
 def cut(docs: DataFrame, width: int, rule: Threshold, min_words: int) -> DataFrame:
     """Paragraphs of ``docs`` (doc, text): doc, start, end, n, words, set and sketch."""
     schema = "doc long, start int, `end` int, words int, n long, set long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                for start, end, part in paragraphs(text, min_words):
-                    own = shingles(part, width)
-                    rows.append((doc, start, end, len(part.split()), len(own), name(own), sketch(own, rule)))
-            if rows:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            for rows, parts in stretches(batch, min_words):
+                flat, sizes = shingle_table(parts, width)
+                doc, start, end = zip(*rows)
+                columns = [
+                    pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+                    pa.array([len(p.split()) for p in parts], pa.int32()), pa.array(sizes, pa.int64()),
+                    pa.array(names_of(flat, sizes)), pa.array(sketches_of(flat, sizes, rule), pa.binary()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "start", "end", "words", "n", "set", "sketch"])
 
     return docs.mapInArrow(run, schema)
 
 
 def pieces(docs: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(doc, text) of every paragraph, where doc is the name of its set."""
+    """(doc, text) of every paragraph, where doc is the name of its set; a stretch of text gives a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [p for t in batch.column("text").to_pylist() for _, _, p in paragraphs(t, min_words)]
-            names = [name(shingles(p, width)) for p in found]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.string())], names=["doc", "text"])
+            for _, parts in stretches(batch, min_words):
+                names, at = np.unique(names_of(*shingle_table(parts, width)), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([parts[i] for i in at], pa.string())], names=["doc", "text"])
 
     return docs.mapInArrow(run, "doc long, text string")
 
 
 def banded(docs: DataFrame, width: int, min_words: int, n_bands: int, rows: int) -> DataFrame:
-    """Band entries (key, role, set, n) of every paragraph."""
+    """Band entries (key, role, set, n) of the paragraphs' sets; a stretch of text gives those of a set once."""
     seeds = mix64(np.arange(1, n_bands * rows + 1, dtype=np.uint64) * GOLDEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = (p for t in batch.column("text").to_pylist() for _, _, p in paragraphs(t, min_words))
-            group, held = [], 0
-            for part in found:
-                group.append(shingles(part, width))
-                held += len(group[-1])
-                if held > 100_000:
-                    yield keys(group)
-                    group, held = [], 0
-            if group:
-                yield keys(group)
-
-    def keys(group: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(group)
-        starts = np.concatenate([[0], np.cumsum([len(g) for g in group])[:-1]])
-        names = np.array([name(g) for g in group])
-        sizes = np.array([len(g) for g in group], dtype=np.int64)
+            for _, parts in stretches(batch, min_words):
+                flat, sizes = shingle_table(parts, width)
+                names, at = np.unique(names_of(flat, sizes), return_index=True)
+                once = np.zeros(len(sizes), dtype=bool)
+                once[at] = True
+                flat, names, sizes = flat[np.repeat(once, sizes)], names_of(flat, sizes)[once], sizes[once]
+                yield keys(flat, names, sizes)
+
+    def keys(flat: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        starts = np.cumsum(sizes) - sizes
         out = []
         for band in range(n_bands):
-            key = np.full(len(group), band, dtype=np.uint64)
+            key = np.full(len(names), band, dtype=np.uint64)
             for seed in seeds[band * rows : (band + 1) * rows]:
                 key = mix64((key + GOLDEN) ^ np.minimum.reduceat((flat ^ seed) * (seed | np.uint64(1)), starts))
             out.append(key)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate(out).view(np.int64)),
-                pa.array(np.full(len(group) * n_bands, HEAVY, np.int8)),
+                pa.array(np.full(len(names) * n_bands, HEAVY, np.int8)),
                 pa.array(np.tile(names, n_bands)),
                 pa.array(np.tile(sizes, n_bands)),
             ],
