@@ -49,8 +49,8 @@ HEAVY, EQUAL, SMALLER, LARGER = 0, 1, 2, 3
 ENTRY = "key long, role byte, set long, n long"
 #: Members of a list that one task compares with as many others.
 BLOCK = 2048
-#: Bytes of the short sketches that pairs carry first.
-BRIEF = 64
+#: Bytes of the short sketches that pairs carry first, and that members of lists carry.
+BRIEF, WIDE = 64, 256
 #: Sizes above this are never light: their subsets alone would outgrow any text.
 LIGHT_MOST = 60
 
@@ -295,7 +295,7 @@ def unlike_pairs(members: DataFrame, rule: Threshold, block: int = BLOCK) -> Dat
     """Pairs of unlike classes that meet in a list and pass the sketches.
 
     ``members``: key, set, n, label, sketch. A list is cut into blocks, and every two blocks
-    meet in a task; pairs are compared there and only those that pass leave it.
+    meet in a task; pairs are compared there by their (short) sketches and only those that pass leave it.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = sizes.where("low <> high").select("key", F.expr(f"CAST((m + {block - 1}) div {block} AS INT)").alias("blocks"))
@@ -423,7 +423,8 @@ def linked_classes(lists: DataFrame, docs: DataFrame, sets: DataFrame, width: in
     pairs = stored(pivot_pairs(heavy, rule), "pairs")
     links = stored(proven(lists), "proven").union(compared(pairs, docs, sets, width, rule))
     labels = stored(components(links), "labels").withColumnRenamed("id", "set").withColumnRenamed("component_id", "label")
-    members = heavy.join(labels, "set", "left").join(sets.select("set", "sketch"), "set")
+    short = stored(brief(sets, WIDE), "short").select("set", F.col("s.sketch").alias("sketch"))
+    members = heavy.join(labels, "set", "left").join(short, "set")
     members = members.select("key", "set", "n", F.coalesce("label", "set").alias("label"), "sketch")
     others = stored(unlike_pairs(members, rule), "others").join(pairs, ["a", "b"], "left_anti")
     links = links.union(compared(others, docs, sets, width, rule))
