@@ -19,7 +19,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
     """One line per user: a compact walk, ordered by event id."""
-    e = table(spark, sf, "events").select(F.col("user_id").alias("line_id"), F.col("event_id").alias("src_id"))
+    return _walk(table(spark, sf, "events").select(F.col("user_id").alias("line_id"), F.col("event_id").alias("src_id")))
+
+
+def one_line(spark: SparkSession, sf: str) -> DataFrame:
+    """The same walk with all events on a single line, which grows with the table."""
+    return _walk(table(spark, sf, "events").select(F.lit(1).cast("bigint").alias("line_id"), F.col("event_id").alias("src_id")))
+
+
+def _walk(e: DataFrame) -> DataFrame:
     walk = running(
         e,
         {

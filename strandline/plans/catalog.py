@@ -9,6 +9,7 @@ from strandline.plans import (  # noqa: F401
     source_queries,
     spatial_queries,
     load_queries,
+    long_queries,
 )
 from strandline.plans.registry import ORACLES, QUERIES
 
