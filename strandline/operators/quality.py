@@ -26,6 +26,10 @@ MSG_SEGMENT = "сегмент %d-%d имеет длину %.0f км, это бо
 ALERT_COUNT = "Длинные сегменты > %.0f км: %d"
 ALERT_SEGMENT = "сегмент %d-%d: %.0f км"
 ALERT_FIXES = "Автоисправления: %d"
+WARN_STEP_LOW = "YearsPerStep %.2f < minimum %.2f"
+WARN_STEP_HIGH = "YearsPerStep %.2f > maximum %.2f"
+WARN_STORMS = "High storm probability %.2f (unrealistic for most climates)"
+WARN_SEA = "High sea level rise %.4f m/year (exceeds IPCC RCP8.5)"
 LANDMARKS = [
     (46.48, 30.73, "Одесса, Украина"),
     (45.33, 32.49, "Евпатория, Крым"),
@@ -545,15 +549,15 @@ def temporal_warnings(params: DataFrame) -> DataFrame:
     y, lo, hi = F.col("years_per_step"), F.col("min_years_per_step"), F.col("max_years_per_step")
     found = F.array_compact(
         F.array(
-            F.when(y < lo, F.format_string("YearsPerStep %.2f < minimum %.2f", y, lo)),
-            F.when(y > hi, F.format_string("YearsPerStep %.2f > maximum %.2f", y, hi)),
+            F.when(y < lo, F.format_string(WARN_STEP_LOW, y, lo)),
+            F.when(y > hi, F.format_string(WARN_STEP_HIGH, y, hi)),
             F.when(
                 F.col("storm_probability") > 0.5,
-                F.format_string("High storm probability %.2f (unrealistic for most climates)", F.col("storm_probability")),
+                F.format_string(WARN_STORMS, F.col("storm_probability")),
             ),
             F.when(
                 F.col("sea_level_rise") > 0.01,
-                F.format_string("High sea level rise %.4f m/year (exceeds IPCC RCP8.5)", F.col("sea_level_rise")),
+                F.format_string(WARN_SEA, F.col("sea_level_rise")),
             ),
         )
     )

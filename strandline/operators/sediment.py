@@ -13,12 +13,15 @@ from strandline.functions import geo
 from strandline.lines import LINE, with_halo, with_one_row
 from strandline.session import stored
 
-# Fixed values of the budget.
+# Fixed values of the budget: limits and message formats.
 HARD_ROCK = 5.0
 HARD_ROCK_SHARE = 0.7
 MISSING_ENERGY = 0.5
 CALM_ENERGY = 0.3
 BALANCE_LIMIT = 0.15
+WARN_BALANCE = "Poor mass balance: %.2f vs %.2f"
+NOTE_EROSION = "Erosion at %d points"
+NOTE_DEPOSITION = "Deposition at %d points"
 
 
 @dataclass(frozen=True)
@@ -123,10 +126,10 @@ def budget_totals(settled: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:
         F.array(
             F.when(
                 ~fine,
-                F.format_string("Poor mass balance: %.2f vs %.2f", F.col("total_eroded"), F.col("total_deposited")),
+                F.format_string(WARN_BALANCE, F.col("total_eroded"), F.col("total_deposited")),
             ),
-            F.when(F.col("erosion_points") > 0, F.format_string("Erosion at %d points", F.col("erosion_points"))),
-            F.when(F.col("deposition_points") > 0, F.format_string("Deposition at %d points", F.col("deposition_points"))),
+            F.when(F.col("erosion_points") > 0, F.format_string(NOTE_EROSION, F.col("erosion_points"))),
+            F.when(F.col("deposition_points") > 0, F.format_string(NOTE_DEPOSITION, F.col("deposition_points"))),
         )
     )
     return agg.withColumns(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.lines import LINE
@@ -40,7 +40,7 @@ def coastline_documents(
     keys: Sequence[str] = LINE,
     long_km: float = LONG_SEGMENT_KM,
 ) -> DataFrame:
-    """Real and rendered line, simplification, highlights and issues."""
+    """Real and rendered line, simplification, highlights and issues (S14), both lists in pages."""
     keys = list(keys)
     comparison = compare_simplification(lines, rendered, keys)
     head = comparison.select(
@@ -62,12 +62,13 @@ def coastline_documents(
     issues = issue_summary(lines, landmarks, keys, long_km).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("warning_type", F.col("issues").alias("count"), "threshold_km"))).alias("summary")
     )
-    repeated = repeated_landmarks(lines, landmarks, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("landmark").alias("name"), F.col("vertices").alias("count")))).alias(
-            "duplicate_locations"
-        )
+    numbered = Window.partitionBy(*keys).orderBy("landmark")
+    repeated = repeated_landmarks(lines, landmarks, keys).withColumn("_n", F.row_number().over(numbered) - 1)
+    repeated = _paged(
+        repeated, keys, "_n", F.struct(F.col("landmark").alias("name"), F.col("vertices").alias("count")), "duplicate_locations"
     )
-    return head.join(issues, keys, "left").join(repeated, keys, "left").join(pages, keys, "left").select(
+    pages = pages.join(repeated, [*keys, "page"], "full")
+    return head.join(issues, keys, "left").join(pages, keys, "left").select(
         *keys,
         F.coalesce("page", F.lit(0)).alias("page"),
         "real",
