@@ -361,8 +361,10 @@ def passing(pairs: DataFrame, rule: Threshold, left: str, right: str, test) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [test(x, y) for x, y in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):  # whole sets of few pairs at once
+                part = batch.slice(at, 256)
+                keep = [test(x, y) for x, y in zip(part.column(left).to_pylist(), part.column(right).to_pylist())]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", left, right).mapInArrow(run, "a long, b long")
 
