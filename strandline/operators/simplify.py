@@ -13,7 +13,7 @@ groups and are finished inside one task each.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,9 +34,19 @@ ROUNDS_PER_CUT = 4
 
 def significance(lines: DataFrame, keys: Sequence[str] = LINE, local_span: int = LOCAL_SPAN) -> DataFrame:
     """Add ``significance`` to every vertex; end vertices get infinity."""
+    return _scored(lines, keys, local_span).drop("x", "y")
+
+
+def _scored(lines: DataFrame, keys: Sequence[str], local_span: int = LOCAL_SPAN) -> DataFrame:
+    """``significance`` with the projected vertices."""
     keys = list(keys)
+    turn, scale = F.cos(F.radians("ref_lat")), F.col("meters_per_deg_lon")
+    # one factor after the other: products in another order differ in the last bits, and offsets near a step of ties with them
+    x = F.when(F.abs(turn * geo.METERS_PER_DEG_LAT) < 1e-9, (F.col("lon") - F.col("ref_lon")) * scale).otherwise(
+        (F.col("lon") - F.col("ref_lon")) * geo.METERS_PER_DEG_LAT * turn
+    )
     projected = project_local(lines.select(*keys, "seq", "lat", "lon"), keys).select(
-        *keys, "seq", "lat", "lon", "x", "y"
+        *keys, "seq", "lat", "lon", x.alias("x"), "y"
     )
     xy = F.struct("x", "y")
     whole = projected.groupBy(*keys).agg(
@@ -48,7 +58,7 @@ def significance(lines: DataFrame, keys: Sequence[str] = LINE, local_span: int =
     whole = whole.withColumn("chain", F.lit(float("inf")))
     state = attach(projected, whole, keys, lo="s", hi="e")
     ends = state.where((F.col("seq") == F.col("s")) | (F.col("seq") == F.col("e"))).select(
-        *keys, "seq", "lat", "lon", F.lit(float("inf")).alias("significance")
+        *keys, "seq", "lat", "lon", "x", "y", F.lit(float("inf")).alias("significance")
     )
     todo = state.where((F.col("seq") > F.col("s")) & (F.col("seq") < F.col("e")))
     done: list[DataFrame] = [ends]
@@ -114,7 +124,7 @@ def _split_long(todo: DataFrame, keys: list[str], local_span: int) -> tuple[Data
         if rounds % ROUNDS_PER_CUT == 0:
             nxt = cut_lineage(nxt)
         decided.append(
-            nxt.where("hit").select(*keys, "seq", "lat", "lon", F.col("chain").alias("significance"))
+            nxt.where("hit").select(*keys, "seq", "lat", "lon", "x", "y", F.col("chain").alias("significance"))
         )
         current = nxt.where(~F.col("hit")).drop("hit")
     rest, hits = short[0], decided[0]
@@ -126,25 +136,46 @@ def _split_long(todo: DataFrame, keys: list[str], local_span: int) -> tuple[Data
 
 
 def _finish_local(todo: DataFrame, keys: list[str]) -> DataFrame:
+    """Short intervals, which come one after the other in a task and are finished there."""
     fields = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + (
-        f", seq {fields['seq']}, lat double, lon double, significance double"
+    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + (
+        f", seq {fields['seq']}, lat double, lon double, x double, y double, significance double"
     )
     flat = todo.select(
         *keys, "seq", "lat", "lon", "x", "y", "s", "e", "chain",
         F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"),
     )
+    group = [*keys, "s"]
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        head = pdf.iloc[0]
-        x = np.concatenate([[head.ax], pdf.x.to_numpy(), [head.bx]])
-        y = np.concatenate([[head.ay], pdf.y.to_numpy(), [head.by]])
-        return pdf[[*keys, "seq", "lat", "lon"]].assign(
-            significance=interval_significance(x, y, float(head.chain))[1:-1]
-        )
+        new = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
+        first = np.flatnonzero(new)
+        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
+        ax, ay, bx, by, chain = (pdf[c].to_numpy()[first] for c in ("ax", "ay", "bx", "by", "chain"))
+        found = np.empty(len(pdf))
+        for n, (i, j) in enumerate(zip(first, [*first[1:], len(pdf)])):
+            px, py = np.concatenate([[ax[n]], x[i:j], [bx[n]]]), np.concatenate([[ay[n]], y[i:j], [by[n]]])
+            found[i:j] = interval_significance(px, py, float(chain[n]))[1:-1]
+        return pdf[[*keys, "seq", "lat", "lon", "x", "y"]].assign(significance=found)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            last = (batch[group] != batch[group].iloc[-1]).any(axis=1).to_numpy()
+            start = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            same = not held or (held[-1][group].iloc[-1] == batch[group].iloc[0]).all()
+            if not same or start:  # the interval at the end goes on in the next batch
+                whole = pd.concat([*held, batch.iloc[:start]], ignore_index=True)
+                if len(whole):
+                    yield finish(whole)
+                held = []
+            held.append(batch.iloc[start:])
+        if held:
+            yield finish(pd.concat(held, ignore_index=True))
 
-    return spread_out(flat, [*keys, "s"]).groupBy(*keys, "s").applyInPandas(finish, schema)
+    return spread_out(flat, group).sortWithinPartitions(*group, "seq").mapInPandas(run, schema)
 
 
 def interval_significance(x: np.ndarray, y: np.ndarray, chain: float) -> np.ndarray:
@@ -178,10 +209,13 @@ def simplify_to_tolerance(scored: DataFrame, tolerance_m: float) -> DataFrame:
 
 
 def simplify_to_budget(
-    lines: DataFrame, max_points: int, keys: Sequence[str] = LINE
+    lines: DataFrame, max_points: int, keys: Sequence[str] = LINE, rings: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Simplify each line to at most ``max_points`` vertices.
 
+    Lines that end where they start are rings; without ``rings`` all lines are open, also those that meet their
+    start by chance.
+
     Returns the surviving vertices and one record per line.  The 24 halvings
     between zero and the box diagonal only ask whether more than the wanted
     number of vertices survive, so one order statistic per line decides them.
@@ -193,7 +227,7 @@ def simplify_to_budget(
         F.min("seq").alias("lo_seq"),
         F.max("seq").alias("hi_seq"),
         (F.min_by(point, F.col("seq")) == F.max_by(point, F.col("seq"))).alias("closed"),
-    ).withColumn("closed", F.col("closed") & (F.col("original_count") >= 2))
+    ).withColumn("closed", F.lit(rings) & F.col("closed") & (F.col("original_count") >= 2))
     ring = F.col("closed")
     work_n = F.col("original_count") - F.when(ring, 1).otherwise(0)
     target = F.when(ring, F.greatest(F.lit(max_points - 1), F.lit(3))).otherwise(F.greatest(F.lit(max_points), F.lit(2)))
@@ -208,7 +242,7 @@ def simplify_to_budget(
     work = attach(lines.select(*keys, "seq", "lat", "lon"), heads, keys).where(
         ~(F.col("closed") & (F.col("seq") == F.col("hi_seq")))
     )
-    scored = cut_lineage(significance(work.where("wanted").select(*keys, "seq", "lat", "lon"), keys))
+    scored = cut_lineage(_scored(work.where("wanted").select(*keys, "seq", "lat", "lon"), keys))
 
     # the deciding order statistics, cut down per salt before the per-line step
     depth = max(max_points, 3) + 1
@@ -220,11 +254,8 @@ def simplify_to_budget(
         .withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(by_sig, "seq")))
         .where(F.col("_rank") <= depth)
     )
-    m_lon = geo.meters_per_deg_lon(F.avg("lat"))
     extent = scored.groupBy(*keys).agg(
-        geo.length2d(
-            (F.max("lon") - F.min("lon")) * m_lon, (F.max("lat") - F.min("lat")) * geo.METERS_PER_DEG_LAT
-        ).alias("diagonal")
+        geo.length2d(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("diagonal")
     )
     flags = heads.select(*keys, "closed", target.alias("target"))
     order = (
