@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
 from strandline.functions.cells import segment_cells
-from strandline.lines import LINE, attach, spread_out, with_neighbours
+from strandline.lines import LINE, WHOLE_ROWS, attach, map_whole, spread_out, with_neighbours
+from strandline.operators import whole
+from strandline.operators.crossings import split_lines
 from strandline.operators.geometry import line_reference, project_local
 from strandline.operators.spatial import depth_factor, interpolate_depth
 from strandline.session import cut_lineage, stored
@@ -23,6 +28,8 @@ SHAPE_BASE, SHELTER_WEIGHT, SHAPE_LOW, SHAPE_HIGH = 0.55, 0.35, 0.1, 1.75
 WIND_REFERENCE, WIND_LOW, WIND_HIGH = 12.0, 0.1, 4.0
 SMOOTHING_MAX = 0.5
 
+# Vertices times segments of the lines that a task works on at once.
+RAY_PAIRS = 1 << 16
 PER_CELL = 8
 NEAR_CELLS = 4
 
@@ -107,28 +114,84 @@ def _with_cell(frames: DataFrame, keys: list[str]) -> DataFrame:
     return attach(frames, sized, keys, lo="lo", hi="hi").drop("lo", "hi")
 
 
+def _ways(p: WaveParams) -> list[tuple[Column, Column]]:
+    """Directions of the rays: the fan, then the left and the right normal."""
+    fan = [(F.lit(math.sin(math.radians(b))), F.lit(math.cos(math.radians(b)))) for b in p.bearings()]
+    return [*fan, (-F.col("ty"), F.col("tx")), (F.col("ty"), -F.col("tx"))]
+
+
 def ray_fetch(frames: DataFrame, p: WaveParams, keys: Sequence[str] = LINE) -> DataFrame:
-    """Fetch along every ray of every framed vertex.
+    """Fetch along every ray of every framed vertex (W3), one row per ray.
 
     Rays 0..n-1 form the fan, rays n and n+1 follow the left and right normal.
+    """
+    keys = list(keys)
+    every = [F.struct(F.lit(i).alias("ray"), dx.alias("dx"), dy.alias("dy"), F.col("fetches")[i].alias("fetch")) for i, (dx, dy) in enumerate(_ways(p))]
+    return with_fetches(frames, p, keys).select(*keys, "seq", F.explode(F.array(*every)).alias("r")).select(*keys, "seq", "r.*")
+
+
+def with_fetches(frames: DataFrame, p: WaveParams, keys: Sequence[str] = LINE, rows: int = WHOLE_ROWS) -> DataFrame:
+    """Framed vertices with the array ``fetches``, one for each ray.
+
+    Lines of at most ``rows`` vertices come whole to a task, where every ray meets every segment of its line.
+    """
+    keys = list(keys)
+    probe = p.probe()
+    limit = p.max_fetch_m - probe
+    bearings = [math.radians(b) for b in p.bearings()]
+    frames = stored(frames, "frames")
+    short, others = split_lines(frames, keys, rows, [c for c in frames.columns if c not in keys])
+
+    def work(batch: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values = {c: batch.column(c).to_numpy() for c in ("x", "y", "nx", "ny", "tx", "ty")}
+        seq, before = batch.column("seq").to_numpy(), batch.column("pseq").fill_null(-1).to_numpy()
+        framed = batch.column("framed").fill_null(False).to_numpy(zero_copy_only=False)
+        known = batch.column("pseq").is_valid().to_numpy(zero_copy_only=False)
+        segment = batch.column("closed").to_numpy(zero_copy_only=False) | (seq < batch.column("hi_seq").to_numpy())
+        fetches = np.full((len(batch), len(bearings) + 2), limit)
+        for _, sizes, at in whole.matrices(first, len(batch), RAY_PAIRS):
+            inside = np.arange(at.shape[1]) < sizes[:, None]
+            x, y, nx, ny, tx, ty = (values[c][at] for c in ("x", "y", "nx", "ny", "tx", "ty"))
+            own = (seq[at][:, None, :] == seq[at][:, :, None]) | (seq[at][:, None, :] == before[at][:, :, None])
+            allowed = ~own & (segment[at] & inside)[:, None, :] & known[at][:, :, None]
+            fan = [(np.full_like(x[:, :1], math.sin(b)), np.full_like(x[:, :1], math.cos(b))) for b in bearings]
+            for i, (dx, dy) in enumerate([*fan, (-ty, tx), (ty, -tx)]):
+                t = whole.nearest_hits(x, y, nx, ny, allowed, dx, dy, probe, limit)
+                fetches[at[inside], i] = t[inside]
+        here = pa.array(np.flatnonzero(framed))
+        flat = (probe + fetches[framed]).ravel()
+        listed = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, fetches.shape[1], dtype=np.int32), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([*batch.take(here).columns, listed], names=[*batch.schema.names, "fetches"])
+
+    if limit <= 0:
+        flat = F.array(*[F.lit(p.max_fetch_m)] * (len(bearings) + 2))
+        return frames.where("framed").withColumn("fetches", flat)
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema.fields]
+    done = map_whole(short, keys, work, ", ".join([*types, "fetches array<double>"]))
+    if others is None:
+        return done
+    far = _fetch_by_cells(others, p, keys).groupBy(*keys, "seq").agg(
+        *[F.max(F.when(F.col("ray") == i, F.col("fetch"))).alias(f"_f{i}") for i in range(len(bearings) + 2)]
+    )
+    listed = F.array(*[F.col(f"_f{i}") for i in range(len(bearings) + 2)])
+    met = others.where("framed").join(far, [*keys, "seq"]).withColumn("fetches", listed)
+    return done.unionByName(met.select(*done.columns))
+
+
+def _fetch_by_cells(frames: DataFrame, p: WaveParams, keys: list[str]) -> DataFrame:
+    """Fetch along every ray of lines of any length.
+
     A vertex first meets the segments of the cells around it, once for all of its rays:
     the nearest hit of every ray is one minimum of one aggregate.  Only rays
     without a hit there go on, in rounds of four times the reach over cells of four times
     the size, so that a ray passes a bounded number of cells in each.  Meeting a segment in
     several cells is harmless to a minimum.
     """
-    keys = list(keys)
     sized = cut_lineage(_with_cell(frames, keys))
-    n = p.fetch_samples
     probe = p.probe()
     limit = p.max_fetch_m - probe
-    fan = [(F.lit(math.sin(math.radians(b))), F.lit(math.cos(math.radians(b)))) for b in p.bearings()]
-    ways = [*fan, (-F.col("ty"), F.col("tx")), (F.col("ty"), -F.col("tx"))]
+    ways = _ways(p)
     at = sized.where("framed")
-    if limit <= 0:
-        every = F.array(*[F.struct(F.lit(i).alias("ray"), dx.alias("dx"), dy.alias("dy")) for i, (dx, dy) in enumerate(ways)])
-        rows = at.select(*keys, "seq", F.explode(every).alias("r"))
-        return rows.select(*keys, "seq", "r.ray", "r.dx", "r.dy", F.lit(p.max_fetch_m).alias("fetch"))
     has_segment = F.col("closed") | (F.col("seq") < F.col("hi_seq"))
     segs = sized.where(has_segment).select(
         *keys, F.col("seq").alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"),
@@ -198,13 +261,13 @@ def ray_fetch(frames: DataFrame, p: WaveParams, keys: Sequence[str] = LINE) -> D
 
 def side_scores(
     frames: DataFrame,
-    fetches: DataFrame,
+    fetches: DataFrame | None,
     p: WaveParams,
     depths: DataFrame | None = None,
     resolution: float = 0.1,
     keys: Sequence[str] = LINE,
 ) -> DataFrame:
-    """Score of both sides of every framed vertex."""
+    """Score of both sides of every framed vertex (W4); ``fetches`` has a row per ray, or is None if ``frames`` has the array."""
     keys = list(keys)
     n = p.fetch_samples
     at = frames.where("framed")
@@ -212,6 +275,10 @@ def side_scores(
         at = interpolate_depth(at, depths, resolution).drop("status")
     else:
         at = at.withColumn("depth", F.lit(None).cast("double"))
+    if fetches is None:
+        scored = at.withColumns({f"{t}_{c}": v for t, own in _side_sums(p).items() for c, v in own.items()}).drop("fetches")
+        # the sums are long expressions, which those that follow would repeat
+        return _scored_sides(stored(scored, "sides"), p)
     rays = fetches.join(at.select(*keys, "seq", "tx", "ty"), [*keys, "seq"])
     in_fan = F.col("ray") < n
     left = geo.dot(-F.col("ty"), F.col("tx"), F.col("dx"), F.col("dy"))
@@ -226,7 +293,28 @@ def side_scores(
         ]
 
     sums = rays.groupBy(*keys, "seq").agg(*side(1, n, "left"), *side(-1, n + 1, "right"))
-    scored = at.join(sums, [*keys, "seq"])
+    return _scored_sides(at.join(sums, [*keys, "seq"]), p)
+
+
+def _side_sums(p: WaveParams) -> dict[str, dict[str, Column]]:
+    """Weight, pull and fetch along the normal of both sides from the array ``fetches``, summed from the first ray on."""
+    out = {}
+    ways = _ways(p)[:-2]
+    for sign, tag in ((1, "left"), (-1, "right")):
+        incidences = [geo.dot(-F.col("ty"), F.col("tx"), dx, dy) * sign for dx, dy in ways]
+        weights = [F.when(i > 0, F.pow(i, F.lit(p.exposure_power))).otherwise(F.lit(0.0)) for i in incidences]
+        weight = reduce(lambda a, b: a + b, weights)
+        pull = reduce(lambda a, b: a + b, [w * F.col("fetches")[k] for k, w in enumerate(weights)])
+        out[tag] = {
+            "weight": F.when(weight > 0, weight),
+            "pull": F.when(weight > 0, pull),
+            "normal_fetch": F.col("fetches")[len(ways) + (sign < 0)],
+        }
+    return out
+
+
+def _scored_sides(scored: DataFrame, p: WaveParams) -> DataFrame:
+    n = p.fetch_samples
     for tag in ("left", "right"):
         weight = F.col(f"{tag}_weight")
         mean = F.col(f"{tag}_pull") / weight
@@ -325,5 +413,5 @@ def wave_pass(
 ) -> tuple[DataFrame, DataFrame]:
     """Frames and uncapped-by-rock retreats of one pass."""
     frames = cut_lineage(vertex_frames(shores, keys))
-    scored = side_scores(frames, ray_fetch(frames, p, keys), p, depths, resolution, keys)
+    scored = side_scores(with_fetches(frames, p, keys), None, p, depths, resolution, keys)
     return frames, cut_lineage(retreat_potential(shape_factors(seaward_side(scored, p)), p))
