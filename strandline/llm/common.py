@@ -21,6 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows whose texts a task turns into Python objects at once.
+ROWS = 500
+
+
+def lean(run, rows: int | None = None):
+    """``run`` (for mapInArrow), given ``rows`` rows at a time; at its end the worker gives its free memory back.
+
+    A worker serves the tasks of later stages, too, and would keep the largest amount it ever held.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows or max(batch.num_rows, 1)):
+                    yield batch.slice(at, rows)
+
+        try:
+            yield from run(parts())
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return held
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import ROWS, lean
 from strandline.session import ship_package
 
 # bytes: lower-case A-Z, keep digits, letters and all bytes above 7F, blank the rest
@@ -38,24 +39,28 @@ class Automaton:
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.owners: list[set[int]] = [set()]  # items with an occurrence of the state's runs
+        #: State that ends the last ``window`` words of a state's runs (0 if they are shorter), and its items.
+        self.ends: list[int] = []
+        self.owners: dict[int, set[int]] = {}
         self.shorts: dict[int, list[tuple[int, int]]] = {}  # state -> whole short items that end its runs
         ids = [(i, w) for i, w in items if w]
         for item, run in ids:
             last = 0
             for word in run:
                 last = self._add(word, last)
+        order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        self.ends = [0] * len(self.link)
+        for state in order:
+            if self.length[state] >= window:
+                self.ends[state] = self.ends[self.link[state]] or state
         for item, run in ids:
             state = 0
             for word in run:
                 state = self.next[state][word]
-                up = state
-                while up > 0 and item not in self.owners[up]:
-                    self.owners[up].add(item)
-                    up = self.link[up]
+                if end := self.ends[state]:
+                    self.owners.setdefault(end, set()).add(item)
             if len(run) < window:
                 self.shorts.setdefault(state, []).append((item, len(run)))
-        order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
         for state in order:  # what ends the suffix ends the run
             if above := self.shorts.get(self.link[state]):
                 self.shorts[state] = [*above, *self.shorts.get(state, [])]
@@ -64,7 +69,6 @@ class Automaton:
         self.next.append(edges)
         self.length.append(length)
         self.link.append(link)
-        self.owners.append(set())
         return len(self.next) - 1
 
     def _split(self, at: int, word: bytes, to: int) -> int:
@@ -109,10 +113,7 @@ class Automaton:
                 continue
             reach = window if matched >= window else 0
             if reach:
-                up = state
-                while length[link[up]] >= window:
-                    up = link[up]
-                items |= self.owners[up]
+                items |= self.owners[self.ends[state]]
             for item, size in shorts.get(state, ()):
                 if size <= matched:
                     items.add(item)
@@ -158,6 +159,20 @@ def mark(
     find nothing; repeated items and repeated rows each count. Input columns of the
     added names are replaced.
     """
+    return _marked(docs, benchmark, text, item, item_text, window, shard_words)
+
+
+def _marked(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    shard_words: int = 200_000,
+    cut: bool = False,
+) -> DataFrame:
+    """``mark``; with ``cut`` the last pass takes the hit words out of the text, in the same Python worker."""
     ship_package(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("hit_spans", "hit_items", "n_words")]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(text, F.col(f"`{text}`").cast("string"))
@@ -168,8 +183,9 @@ def mark(
         "CAST(0 AS BIGINT) AS n_words",
     )
     schema, sc = out.schema, docs.sparkSession.sparkContext
-    for shard in [*shards(benchmark, item, item_text, shard_words)] or [[]]:
-        out = out.mapInArrow(_pass(sc.broadcast(shard), uuid.uuid4().hex, text, window), schema)
+    all_ = [*shards(benchmark, item, item_text, shard_words)] or [[]]
+    for i, shard in enumerate(all_, 1):
+        out = out.mapInArrow(lean(_pass(sc.broadcast(shard), uuid.uuid4().hex, text, window, cut and i == len(all_)), ROWS), schema)
     return out
 
 
@@ -184,13 +200,13 @@ def automaton(key: str, items: list[tuple[int, str]], window: int) -> Automaton:
     return _BUILT[key]
 
 
-def _pass(shard, key: str, text: str, window: int):
+def _pass(shard, key: str, text: str, window: int, cut: bool):
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(key, shard.value, window)
         for batch in batches:
-            spans, items, sizes = [], [], []
+            spans, items, sizes, texts = [], [], [], []
             earlier = zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist())
             for t, (old, known) in zip(batch.column(text).to_pylist(), earlier):
                 run_words = words(t)
@@ -199,7 +215,11 @@ def _pass(shard, key: str, text: str, window: int):
                 spans.append([{"start": a, "end": b} for a, b in both])
                 items.append(sorted(found.union(known)))
                 sizes.append(len(run_words))
+                if cut:
+                    texts.append(without_hits(t, both))
             put = {"hit_spans": pa.array(spans, spans_type), "hit_items": pa.array(items, pa.list_(pa.int64())), "n_words": pa.array(sizes, pa.int64())}
+            if cut:
+                put[text] = pa.array(texts, pa.string())
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([put.get(c, batch.column(c)) for c in names], names=names)
 
@@ -249,21 +269,9 @@ def clean(
     is counted anew where it did. Documents without a hit are untouched.
     """
     names = docs.columns
-    marked = mark(docs, benchmark, text, **limits)
+    marked = _marked(docs, benchmark, text, **limits, cut=True)
     hit = F.aggregate("hit_spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    marked = marked.where((F.size("hit_spans") == 0) | (hit < coverage * F.col("n_words")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                without_hits(t, [(x["start"], x["end"]) for x in s])
-                for t, s in zip(batch.column(text).to_pylist(), batch.column("hit_spans").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in batch.schema.names], names=batch.schema.names
-            )
-
-    out = marked.mapInArrow(cut, marked.schema)
+    out = marked.where((F.size("hit_spans") == 0) | (hit < coverage * F.col("n_words")))
     if n_chars in names:
         out = out.withColumn(n_chars, F.when(F.size("hit_spans") > 0, F.length(text).cast("long")).otherwise(F.col(n_chars)))
     return out.select(*[F.col(f"`{c}`") for c in names])

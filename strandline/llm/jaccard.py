@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import GOLDEN, components, distinct_sorted, fold, mix64, word_hashes
+from strandline.llm.common import GOLDEN, ROWS, components, distinct_sorted, fold, lean, mix64, word_hashes
 from strandline.session import ship_package, stored
 
 HEAVY, EQUAL, SMALLER, LARGER = 0, 1, 2, 3
@@ -140,7 +140,7 @@ def describe(docs: DataFrame, width: int, rule: Threshold) -> DataFrame:
                 names=["doc", "n", "set", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc long, n long, set long, sketch binary")
+    return docs.mapInArrow(lean(run, ROWS), "doc long, n long, set long, sketch binary")
 
 
 def name(own: np.ndarray) -> int:
@@ -228,7 +228,7 @@ def listed(docs: DataFrame, width: int, rule: Threshold, light: int) -> DataFram
         key, role, own, n = (np.concatenate(x) for x in zip(*parts))
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), pa.array(own), pa.array(n)], names=["key", "role", "set", "n"])
 
-    return meeting(docs.mapInArrow(enter, ENTRY))
+    return meeting(docs.mapInArrow(lean(enter, ROWS), ENTRY))
 
 
 def meeting(entries_: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def meeting(entries_: DataFrame) -> DataFrame:
         if held is not None and held[1]:
             yield held[0]
 
-    return entries_.repartition("key").sortWithinPartitions("key", "set").mapInArrow(meet, ENTRY)
+    return entries_.repartition("key").sortWithinPartitions("key", "set").mapInArrow(lean(meet), ENTRY)
 
 
 def proven(lists: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def pivot_pairs(lists: DataFrame, rule: Threshold) -> DataFrame:
                     pivots.append((own, n))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.repartition("key").sortWithinPartitions("key", "at", "set").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "at", "set").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def unlike_pairs(members: DataFrame, rule: Threshold, block: int = BLOCK) -> DataFrame:
@@ -336,7 +336,7 @@ def unlike_pairs(members: DataFrame, rule: Threshold, block: int = BLOCK) -> Dat
         if a:
             yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -366,7 +366,7 @@ def passing(pairs: DataFrame, rule: Threshold, left: str, right: str, test) -> D
                 keep = [test(x, y) for x, y in zip(part.column(left).to_pylist(), part.column(right).to_pylist())]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", left, right).mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", left, right).mapInArrow(lean(run), "a long, b long")
 
 
 def brief(sets: DataFrame, most: int = BRIEF) -> DataFrame:
@@ -381,7 +381,7 @@ def brief(sets: DataFrame, most: int = BRIEF) -> DataFrame:
             short = [x if len(x) <= most else folded([x, bytes(most)])[0].tobytes() for x in batch.column("sketch").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("n"), pa.array(short, pa.binary())], names=["set", "n", "sketch"])
 
-    short = sets.select("set", "n", "sketch").mapInArrow(run, "set long, n long, sketch binary")
+    short = sets.select("set", "n", "sketch").mapInArrow(lean(run), "set long, n long, sketch binary")
     return short.select("set", F.struct("n", "sketch").alias("s"))
 
 
@@ -407,7 +407,7 @@ def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, rul
     wanted = left.select(F.col("a").alias("set")).union(left.select(F.col("b").alias("set"))).distinct()
     wanted = stored(wanted.join(sets.select("set", "doc"), "set"), "wanted")
     texts = docs.join(wanted, "doc").dropDuplicates(["doc", "set", "text"]).select("set", "text")
-    wholes = stored(texts.mapInArrow(whole, "set long, whole binary"), "whole")
+    wholes = stored(texts.mapInArrow(lean(whole), "set long, whole binary"), "whole")
 
     def linked(x: bytes, y: bytes) -> bool:
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import GOLDEN, mix64
+from strandline.llm.common import GOLDEN, ROWS, lean, mix64
 from strandline.session import ship_package
 
 UNKNOWN = "und"
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM)
             {"l": pa.array(list(sums), pa.string()), "v": pa.array([v.tobytes() for v in sums.values()], pa.binary())}
         )
 
-    counts = rows.mapInArrow(count, "l string, run long, n long").groupBy("l", "run").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(count, ROWS), "l string, run long, n long").groupBy("l", "run").agg(F.sum("n").alias("n"))
     sums = counts.mapInArrow(bundle, "l string, v binary").repartition("l").mapInArrow(add, "l string, v binary")
     found = sorted((r["l"], np.frombuffer(r["v"])) for r in sums.collect())  # one short row per language
     vectors = np.array([v / max(np.linalg.norm(v), 1e-12) for _, v in found]).reshape(len(found), dim)
@@ -197,6 +197,6 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
             columns = [batch.column(c) for c in kept] + [pa.array(best, pa.string()), pa.array(cosine)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return frame.mapInArrow(score, schema)
+    return frame.mapInArrow(lean(score), schema)
 
 

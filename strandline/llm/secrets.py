@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import ROWS, lean
 from strandline.session import ship_package
 
 # fixed patterns of the base findings: kind, pattern, and the group and length that count
@@ -175,7 +176,7 @@ def scan(docs: DataFrame, text: str = "text", novelty: float = NOVELTY, redact:
             spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], kind)
             yield pa.RecordBatch.from_arrays([*columns, spans], names=[*kept, "secret_spans"])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lean(run, ROWS), schema)
 
 
 def redacted(text: str | None, spans: list[tuple[str, int, int]], by: str) -> str | None:
