@@ -11,6 +11,7 @@ from strandline.llm import (
     decontam, html, jaccard, langid, lmscore, merkle, mixing, neighbours, packing, repeats, resampling, secrets, warc
 )
 from strandline.llm.common import table
+from strandline.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,8 +207,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_repeated_paragraphs")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated paragraph to be removed, with the document that keeps its first occurrence."""
-    return repeats.repeated(table(spark, sf_dir, "documents"))
+    """Every repeated paragraph or passage to be removed, with the document that keeps its first occurrence."""
+    docs = table(spark, sf_dir, "documents")
+    gone = stored(repeats.repeated(docs), "gone")
+    return gone.unionByName(repeats.passages(docs, gone))
 
 
 @register("op10_secret_scan")

@@ -32,7 +32,7 @@ per text. Texts of any length are taken whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 from math import comb
@@ -385,8 +385,11 @@ def brief(sets: DataFrame, most: int = BRIEF) -> DataFrame:
     return short.select("set", F.struct("n", "sketch").alias("s"))
 
 
-def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, rule: Threshold) -> DataFrame:
-    """Pairs that link, by short sketches first, then by whole ones, and by whole sets at last."""
+def compared(pairs: DataFrame, docs: DataFrame | Callable[[DataFrame], DataFrame], sets: DataFrame, width: int, rule: Threshold) -> DataFrame:
+    """Pairs that link, by short sketches first, then by whole ones, and by whole sets at last.
+
+    ``docs`` (doc, text) may be a function of the wanted sets, which must give these and may give others.
+    """
 
     def near(x: dict, y: dict) -> bool:
         return parity_distance(x["sketch"], y["sketch"]) <= rule.differ(x["n"], y["n"])
@@ -405,8 +408,10 @@ def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, rul
                 yield pa.RecordBatch.from_arrays([part.column("set"), blobs], names=["set", "whole"]).filter(same)
 
     wanted = left.select(F.col("a").alias("set")).union(left.select(F.col("b").alias("set"))).distinct()
-    wanted = stored(wanted.join(sets.select("set", "doc"), "set"), "wanted")
-    texts = docs.join(wanted, "doc").dropDuplicates(["doc", "set", "text"]).select("set", "text")
+    facts = [c for c in ("set", "doc", "home") if c in sets.columns]
+    wanted = stored(wanted.join(sets.select(*facts), "set"), "wanted")
+    texts = docs(wanted) if callable(docs) else docs
+    texts = texts.join(wanted, "doc").dropDuplicates(["doc", "set", "text"]).select("set", "text")
     wholes = stored(texts.mapInArrow(lean(whole), "set long, whole binary"), "whole")
 
     def linked(x: bytes, y: bytes) -> bool:
@@ -416,10 +421,10 @@ def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, rul
     return stored(passing(both_sides(left, wholes), rule, "whole_a", "whole_b", linked), "linked")
 
 
-def linked_classes(lists: DataFrame, docs: DataFrame, sets: DataFrame, width: int, rule: Threshold) -> DataFrame:
+def linked_classes(lists: DataFrame, docs: DataFrame | Callable[[DataFrame], DataFrame], sets: DataFrame, width: int, rule: Threshold) -> DataFrame:
     """(set, label) of all sets that link: pairs from ``lists`` (key, role, set, n), compared exactly.
 
-    ``docs``: doc, text; ``sets``: set, doc (one that holds it), n, sketch.
+    ``docs``: doc, text (see ``compared``); ``sets``: set, doc (one that holds it), n, sketch.
     """
     heavy = lists.where(F.col("role") == HEAVY)
     pairs = stored(pivot_pairs(heavy, rule), "pairs")

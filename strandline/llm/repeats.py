@@ -12,6 +12,12 @@ components, and of every cluster the first occurrence (smallest doc_id, then pla
 stays while all others are removed. Long bands are never expanded into pairs (see the
 scans of ``jaccard``).
 
+Passages that repeat within paragraphs that are otherwise different are found by winnowing: of the
+hashes of all runs of half of ``PASSAGE`` words those are kept that are least among as many
+neighbours as make every run of ``PASSAGE`` words hold one. What lies between the first and the
+last kept run that an earlier document has, too, is removed; fewer than half of ``PASSAGE`` words
+at either end can stay, and shared runs of half to all of ``PASSAGE`` words can be found, too.
+
 Null and empty texts have no paragraphs; rows without an id take no part; rows that
 repeat an id are occurrences like any other.
 """
@@ -23,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BLANK, GOLDEN, fold, mix64, word_hashes
+from strandline.llm.common import BLANK, GOLDEN, ROWS, fold, lean, mix64, word_hashes
 from strandline.llm.jaccard import HEAVY, Threshold, linked_classes, meeting, shingles
 from strandline.session import ship_package, stored
 
@@ -161,16 +167,43 @@ def cut(docs: DataFrame, width: int, rule: Threshold, min_words: int) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def pieces(docs: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(doc, text) of every paragraph, where doc is the name of its set; a stretch of text gives a set once."""
+def bits_of(keys: DataFrame, most: int = 1 << 27) -> np.ndarray:
+    """Words of a bitmap of the low bits of hashes (column h): 16 bits or more for each, ``most`` (16 MB) at most."""
+    size = 1 << min(most.bit_length() - 1, max(10, (16 * keys.count()).bit_length()))
+    at = keys.select(F.expr(f"h & {size - 1}").alias("at"))
+    set_ = at.selectExpr("at div 64 AS word", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = set_.toArrow()
+    out = np.zeros(size // 64, dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set: all that were put in, and few others."""
+    at = hashes.view(np.int64) & np.int64(len(bits) * 64 - 1)
+    return (bits[at // 64] >> (at % 64)) & 1 == 1
+
+
+def pieces(docs: DataFrame, width: int, min_words: int, wanted: DataFrame) -> DataFrame:
+    """(doc, text) of the paragraphs of the sets of ``wanted`` (set, home: a document that has it), where doc is the set's name.
+
+    Bitmaps of a bounded size leave out nearly all other documents and paragraphs before they are shuffled.
+    """
+    sc = docs.sparkSession.sparkContext
+    homes = sc.broadcast(bits_of(wanted.select(F.xxhash64("home").alias("h")).distinct()))
+    sets = sc.broadcast(bits_of(wanted.select(F.col("set").alias("h"))))
+    docs = docs.withColumn("h", F.xxhash64("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marked(homes.value, batch.column("h").to_numpy())))
             for _, parts in stretches(batch, min_words):
                 names, at = np.unique(names_of(*shingle_table(parts, width)), return_index=True)
+                own = marked(sets.value, names)
+                names, at = names[own], at[own]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([parts[i] for i in at], pa.string())], names=["doc", "text"])
 
-    return docs.mapInArrow(run, "doc long, text string")
+    return docs.mapInArrow(lean(run, ROWS), "doc long, text string")
 
 
 def banded(docs: DataFrame, width: int, min_words: int, n_bands: int, rows: int) -> DataFrame:
@@ -224,11 +257,11 @@ def repeated(
     rule = Threshold(num, den)
     docs = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).where("doc IS NOT NULL")
     found = stored(cut(docs, width, rule, min_words), "paragraphs")
-    sets = found.groupBy("set").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")).withColumn("doc", F.col("set"))
+    sets = found.groupBy("set").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("doc").alias("home")).withColumn("doc", F.col("set"))
     sets = stored(sets, "sets")
     n_bands, rows = bands(num / den, hashes, recall)
     lists = stored(meeting(banded(docs, width, min_words, n_bands, rows)), "lists")
-    labels = linked_classes(lists, pieces(docs, width, min_words), sets, width, rule)
+    labels = linked_classes(lists, lambda wanted: pieces(docs, width, min_words, wanted), sets, width, rule)
 
     places = found.select("doc", "start", "end", "words", "set").join(labels, "set", "left")
     places = stored(places.select("doc", "start", "end", "words", F.coalesce("label", "set").alias("label")), "places")
@@ -238,6 +271,82 @@ def repeated(
     return gone.select(F.col("doc").alias(id), "start", "end", "words", F.col("first.doc").alias(f"kept_{id}"))
 
 
+#: Runs of so many words that repeat in other documents are found wherever they stand.
+PASSAGE = 50
+#: An odd factor and its inverse: sums of words times its powers give the hash of any run by one difference.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), base, dtype=np.uint64)]), dtype=np.uint64)[:n]
+
+
+def anchors(text: str | None, words: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first word, start, end in code points) of the kept runs of ``words`` // 2 words."""
+    k, none = words // 2, np.empty(0, np.int64)
+    data = (text or "").encode("utf-8", "replace").lower()
+    hashes = word_hashes(data)
+    n = len(hashes) - k + 1
+    if n < words - k + 1:
+        return none, none, none, none
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(FACTOR, len(hashes)), dtype=np.uint64)])
+    runs = mix64((sums[k:] - sums[:-k]) * powers(INVERSE, n))
+    # the least of every window of neighbours, by doubling
+    width, span, least = words - k + 1, 1, runs
+    while 2 * span <= width:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    if rest := width - span:
+        least = np.minimum(least[:-rest], least[rest:])
+    # a run is kept that is the least of a window that holds it
+    most = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+    span = 1
+    while 2 * span <= width:
+        most, span = np.maximum(most[:-span], most[span:]), 2 * span
+    if rest := width - span:
+        most = np.maximum(most[:-rest], most[rest:])
+    at = np.flatnonzero(most == runs)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    inside = np.frombuffer(data.translate(BLANK), dtype=np.uint8) != 32
+    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    first, last = points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)]
+    return runs[at].view(np.int64), at, first[at], last[at + k - 1]
+
+
+def passages(docs: DataFrame, gone: DataFrame, id: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
+    """Passages, outside of the spans of ``gone``, that an earlier document has outside of them, too: rows as of ``repeated``."""
+    ship_package(docs.sparkSession)
+    docs = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).where("doc IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors(t, words) for t in batch.column("text").to_pylist()]
+            doc = np.repeat(batch.column("doc").to_numpy(), [len(f[0]) for f in found])
+            key, at, start, end = (np.concatenate(x) for x in zip(*found))
+            columns = [pa.array(key), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (at, start, end))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "at", "start", "end"])
+
+    def shared(rows: DataFrame) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+        return rows.join(keys.drop("last"), "key")
+
+    found = stored(docs.mapInArrow(lean(run, ROWS), "key long, doc long, at int, start int, `end` int"), "anchors")
+    met = stored(shared(found).drop("first"), "met")
+    spans = gone.select(F.col(id).alias("of"), F.col("start").alias("from"), F.col("end").alias("to"))
+    free = met.join(spans, (F.col("doc") == F.col("of")) & (F.col("start") < F.col("to")) & (F.col("end") > F.col("from")), "left_anti")
+    hits = shared(stored(free, "free")).where("doc > first")
+    order = Window.partitionBy("doc").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    hits = hits.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = hits.groupBy("doc", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("at") + words // 2 - F.min("at")).cast("int").alias("words"), F.min("first").alias("first"),
+    )
+    return merged.select(F.col("doc").alias(id), "start", "end", "words", F.col("first").alias(f"kept_{id}"))
+
+
 def without(docs: DataFrame, removals: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the removed paragraphs (their line ends go, too); rows without removals stay as they are."""
     spans = removals.groupBy(F.col(id).alias("_of")).agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
