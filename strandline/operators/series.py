@@ -54,18 +54,38 @@ def retreats(snapshots: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:
     """
     keys = list(keys)
     full = [*keys, "step"]
+    pairs = attach(snapshots, _same_size(snapshots, keys), full).join(_earlier(snapshots, keys), [*full, "seq"])
+    return pairs.select(*full, "seq", _moved().alias("retreat_km"))
+
+
+def _same_size(snapshots: DataFrame, keys: list[str]) -> DataFrame:
+    """Snapshots with as many vertices as the one before: keys, step, lo_seq, hi_seq."""
+    full = [*keys, "step"]
     size = snapshots.groupBy(*full).agg(
         F.count("*").alias("n"), F.min("seq").alias("lo_seq"), F.max("seq").alias("hi_seq")
     )
     before = size.select(*keys, (F.col("step") + 1).alias("step"), F.col("n").alias("n_before"))
-    same = size.join(before, full).where(F.col("n") == F.col("n_before")).drop("n", "n_before")
-    earlier = snapshots.select(
+    return size.join(before, full).where(F.col("n") == F.col("n_before")).drop("n", "n_before")
+
+
+def _earlier(snapshots: DataFrame, keys: list[str]) -> DataFrame:
+    return snapshots.select(
         *keys, (F.col("step") + 1).alias("step"), "seq", F.col("lat").alias("plat"), F.col("lon").alias("plon")
     )
-    pairs = attach(snapshots, same, full).join(earlier, [*full, "seq"])
-    return pairs.select(
-        *full, "seq", geo.haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")).alias("retreat_km")
-    )
+
+
+def _moved() -> Column:
+    return geo.haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+
+
+def retreat_summary(snapshots: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:
+    """Mean and largest of ``retreats`` per line and step; unequal pairs are left out after the vertices are summed up."""
+    keys = list(keys)
+    full = [*keys, "step"]
+    vertices = snapshots.select(*full, "seq", "lat", "lon")
+    pairs = vertices.join(_earlier(snapshots, keys), [*full, "seq"])
+    moved = pairs.groupBy(*full).agg(F.avg(_moved()).alias("mean_retreat"), F.max(_moved()).alias("max_retreat"))
+    return moved.join(_same_size(snapshots, keys).select(*full), full)
 
 
 def snapshot_metrics(snapshots: DataFrame, states: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:
@@ -73,9 +93,7 @@ def snapshot_metrics(snapshots: DataFrame, states: DataFrame, keys: Sequence[str
     full = [*keys, "step"]
     sized = line_summary(snapshots, full).select(*full, "points", "length_km", "area_km2")
     dims = fast_dimension(snapshots, full).select(*full, "fast_dimension")
-    moved = retreats(snapshots, keys).groupBy(*full).agg(
-        F.avg("retreat_km").alias("mean_retreat"), F.max("retreat_km").alias("max_retreat")
-    )
+    moved = retreat_summary(snapshots, keys)
     return (
         sized.join(dims, full)
         .join(moved, full, "left")
