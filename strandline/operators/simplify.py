@@ -5,10 +5,11 @@ vertex gets one number, its *significance*: the smallest squared offset along
 the chain of splits leading to it.  A vertex survives a tolerance t exactly
 when its significance exceeds t squared.
 
-Intervals longer than ``LOCAL_SPAN`` vertices are split by distributed rounds
-(a combining aggregate finds the farthest vertex of each interval, then the
-rows learn their new interval on (line, chunk)).  Shorter intervals are bounded
-groups and are finished inside one task each.
+Lines of at most ``WHOLE_ROWS`` vertices come whole to one task, many at once.
+Of longer lines, intervals longer than ``LOCAL_SPAN`` vertices are split by
+distributed rounds (a combining aggregate finds the farthest vertex of each
+interval, then the rows learn their new interval on (line, chunk)).  Shorter
+intervals are bounded groups and are finished inside one task each.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
-from strandline.lines import CHUNK, LINE, attach, chunk_number, spread_out
+from strandline.lines import CHUNK, LINE, WHOLE_ROWS, attach, chunk_number, map_whole, spread_out
+from strandline.operators.crossings import split_lines
 from strandline.operators.geometry import project_local
 from strandline.session import cut_lineage
 
@@ -40,13 +43,42 @@ def significance(lines: DataFrame, keys: Sequence[str] = LINE, local_span: int =
 def _scored(lines: DataFrame, keys: Sequence[str], local_span: int = LOCAL_SPAN) -> DataFrame:
     """``significance`` with the projected vertices."""
     keys = list(keys)
-    turn, scale = F.cos(F.radians("ref_lat")), F.col("meters_per_deg_lon")
-    # one factor after the other: products in another order differ in the last bits, and offsets near a step of ties with them
-    x = F.when(F.abs(turn * geo.METERS_PER_DEG_LAT) < 1e-9, (F.col("lon") - F.col("ref_lon")) * scale).otherwise(
-        (F.col("lon") - F.col("ref_lon")) * geo.METERS_PER_DEG_LAT * turn
-    )
+    short, others = split_lines(lines, keys, min(WHOLE_ROWS, local_span))
+    scored = _score_whole(short, keys)
+    return scored if others is None else scored.unionByName(_score_parts(others, keys, local_span))
+
+
+def _turned() -> Column:
+    """East metres from ``ref_lat`` and ``ref_lon``.
+
+    One factor after the other: products in another order differ in the last bits, and offsets near a step of ties with them.
+    """
+    turn, east = F.cos(F.radians("ref_lat")), F.col("lon") - F.col("ref_lon")
+    flat = F.abs(turn * geo.METERS_PER_DEG_LAT) < 1e-9
+    return F.when(flat, east * geo.meters_per_deg_lon(F.col("ref_lat"))).otherwise(east * geo.METERS_PER_DEG_LAT * turn)
+
+
+def _score_whole(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Short lines: the mean vertex (summed along ``seq``), the projection and all splits in one shuffle."""
+    along = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    means = {f"ref_{c}": F.sum(c).over(along) / F.count(c).over(along) for c in ("lat", "lon")}
+    y = (F.col("lat") - F.col("ref_lat")) * geo.METERS_PER_DEG_LAT
+    projected = spread_out(lines, keys).withColumns(means).select(*keys, "seq", "lat", "lon", _turned().alias("x"), y.alias("y"))
+    types = {f.name: f.dataType.simpleString() for f in projected.schema.fields}
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", significance double"
+
+    def work(batch: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+        found = interval_significance(x, y, first, np.full(len(first), np.inf))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "significance"])
+
+    return map_whole(projected, keys, work, schema)
+
+
+def _score_parts(lines: DataFrame, keys: list[str], local_span: int) -> DataFrame:
+    """Longer lines, by intervals."""
     projected = project_local(lines.select(*keys, "seq", "lat", "lon"), keys).select(
-        *keys, "seq", "lat", "lon", x.alias("x"), "y"
+        *keys, "seq", "lat", "lon", _turned().alias("x"), "y"
     )
     xy = F.struct("x", "y")
     whole = projected.groupBy(*keys).agg(
@@ -150,12 +182,17 @@ def _finish_local(todo: DataFrame, keys: list[str]) -> DataFrame:
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         new = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
         first = np.flatnonzero(new)
-        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
-        ax, ay, bx, by, chain = (pdf[c].to_numpy()[first] for c in ("ax", "ay", "bx", "by", "chain"))
-        found = np.empty(len(pdf))
-        for n, (i, j) in enumerate(zip(first, [*first[1:], len(pdf)])):
-            px, py = np.concatenate([[ax[n]], x[i:j], [bx[n]]]), np.concatenate([[ay[n]], y[i:j], [by[n]]])
-            found[i:j] = interval_significance(px, py, float(chain[n]))[1:-1]
+        size = np.diff(np.append(first, len(pdf)))
+        ends = np.repeat(np.arange(len(first)), 2)
+        # every interval with its two ends
+        at = np.stack([first, first + size], axis=1).ravel()
+        px, py = (
+            np.insert(pdf[c].to_numpy(), at, np.where(np.arange(len(at)) % 2 == 0, pdf["a" + c].to_numpy()[first][ends], pdf["b" + c].to_numpy()[first][ends]))
+            for c in ("x", "y")
+        )
+        start = first + 2 * np.arange(len(first))
+        found = interval_significance(px, py, start, pdf.chain.to_numpy()[first])
+        found = np.delete(found, np.concatenate([start, start + size + 1]))
         return pdf[[*keys, "seq", "lat", "lon", "x", "y"]].assign(significance=found)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,26 +215,44 @@ def _finish_local(todo: DataFrame, keys: list[str]) -> DataFrame:
     return spread_out(flat, group).sortWithinPartitions(*group, "seq").mapInPandas(run, schema)
 
 
-def interval_significance(x: np.ndarray, y: np.ndarray, chain: float) -> np.ndarray:
-    """Significance of the vertices of one bounded interval, ends infinite."""
+def interval_significance(x: np.ndarray, y: np.ndarray, first: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Significance of the vertices of bounded intervals, one after the other from ``first``; ends are infinite.
+
+    All intervals are split at once, one level of splits after the other.
+    """
     out = np.full(len(x), np.inf)
-    stack = [(0, len(x) - 1, chain)]
-    while stack:
-        i, j, limit = stack.pop()
-        if j - i < 2:
-            continue
-        dx, dy = x[j] - x[i], y[j] - y[i]
-        px, py = x[i + 1 : j], y[i + 1 : j]
+    last = np.append(first[1:], len(x)) - 1
+    inner = np.ones(len(x), dtype=bool)
+    inner[first] = inner[last] = False
+    at = np.flatnonzero(inner)
+    part = np.searchsorted(first, at, side="right") - 1  # interval of every vertex
+    new = np.flatnonzero(np.diff(part, prepend=-1))
+    low, high, limit = first[part[new]], last[part[new]], chain[part[new]].astype(float)
+    while len(at):
+        part = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(at))))
+        ax, ay = x[low], y[low]
+        dx, dy = x[high] - ax, y[high] - ay
         span = dx * dx + dy * dy
-        t = 0.0 if span == 0 else np.clip(((px - x[i]) * dx + (py - y[i]) * dy) / span, 0.0, 1.0)
-        ex, ey = px - (x[i] + t * dx), py - (y[i] + t * dy)
+        point = span == 0
+        ax, ay, dx, dy, px, py = ax[part], ay[part], dx[part], dy[part], x[at], y[at]
+        t = np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(point, 1.0, span)[part], 0.0, 1.0)
+        t = np.where(point[part], 0.0, t)
+        ex, ey = px - (ax + t * dx), py - (ay + t * dy)
         d2 = ex * ex + ey * ey
-        k = int(np.argmax(np.floor(d2 * TIE_STEPS)))
-        limit = min(limit, float(d2[k]))
-        k += i + 1
-        out[k] = limit
-        stack.append((i, k, limit))
-        stack.append((k, j, limit))
+        step = np.floor(d2 * TIE_STEPS)
+        step[np.isnan(step)] = np.inf
+        top = np.flatnonzero(step == np.maximum.reduceat(step, new)[part])
+        top = top[np.flatnonzero(np.diff(part[top], prepend=-1))]  # the earliest of each interval
+        limit = np.where(d2[top] < limit, d2[top], limit)
+        split = at[top]
+        out[split] = limit
+        rest = np.ones(len(at), dtype=bool)
+        rest[top] = False
+        child = (2 * part + (at > split[part]))[rest]
+        at = at[rest]
+        new = np.flatnonzero(np.diff(child, prepend=-1))
+        of, right = child[new] >> 1, (child[new] & 1).astype(bool)
+        low, high, limit = np.where(right, split[of], low[of]), np.where(right, high[of], split[of]), limit[of]
     return out
 
 
