@@ -6,12 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from strandline.operators.simplify import significance, simplify_to_tolerance
-from strandline.lines import renumber
 from strandline.operators.spatial import build_grid
 from strandline.plans import adapters as a
 from strandline.plans import fractal_queries, quality_queries  # noqa: F401  (defines shared tables)
-from strandline.plans.geometry_queries import G10_TOLERANCE
+from strandline.plans.geometry_queries import simplified
 from strandline.plans.registry import r6, register, s6
 from strandline.plans.sql import define, hav, query
 from strandline.sinks import reports as docs_out
@@ -20,7 +18,7 @@ from strandline.sources import documents as d
 from strandline.sources import lithology as lit
 from strandline.sources.naming import dataset_name, slug, snapshot_name
 from strandline.sources.raster import resample
-from strandline.session import shared_dir
+from strandline.session import shared_dir, stored
 from strandline.sources.step_metrics import read_step_metrics, scenario_folder, step_metrics_rejects
 
 LONG_KM = quality_queries.LONG_KM
@@ -391,9 +389,8 @@ LEFT JOIN (SELECT line_id, CAST(count(*) AS INTEGER) AS nl FROM segs WHERE km>{L
     ),
 )
 def s14(spark, sf):
-    v = a.vertices(spark, sf)
-    kept = renumber(simplify_to_tolerance(significance(v), G10_TOLERANCE).select("line_id", "seq", "lat", "lon"))
-    docs = docs_out.coastline_documents(v, kept, a.landmarks(spark, sf), long_km=LONG_KM)
+    v = stored(a.vertices(spark, sf), "vertices")
+    docs = docs_out.coastline_documents(v, simplified(v), a.landmarks(spark, sf), long_km=LONG_KM)
     size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c))
     return docs.select(
         "line_id",

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from strandline.lines import LINE
 from strandline.operators.fractal import dimension
 from strandline.operators.geometry import compare_simplification, line_summary, version_ratios
-from strandline.operators.quality import LONG_SEGMENT_KM, issue_summary, long_segments, repeated_landmarks
+from strandline.operators.quality import LONG_SEGMENT_KM, count_issues, long_segments, repeated_landmarks
+from strandline.session import stored
 from strandline.operators.reports import KEY, basic_statistics, erosion_totals, storm_split, temporal_change
 
 PAGE = 10_000
@@ -42,14 +43,16 @@ def coastline_documents(
 ) -> DataFrame:
     """Real and rendered line, simplification, highlights and issues (S14), both lists in pages."""
     keys = list(keys)
-    comparison = compare_simplification(lines, rendered, keys)
+    comparison = stored(compare_simplification(lines, rendered, keys), "comparison")
     head = comparison.select(
         *keys,
         F.struct(F.col("points_before").alias("points_count"), F.col("length_before_km").alias("length_km")).alias("real"),
         F.struct(F.col("points_after").alias("points_count"), F.col("length_after_km").alias("length_km")).alias("render"),
         F.struct(*[c for c in comparison.columns if c not in keys]).alias("render_simplification"),
     )
-    longs = long_segments(lines, keys, long_km)
+    # both findings are read twice: listed, and counted as issues
+    longs = stored(long_segments(lines, keys, long_km), "long-segments")
+    found = stored(repeated_landmarks(lines, landmarks, keys), "repeated")
     pages = _paged(
         longs, keys, "start_index",
         F.struct(
@@ -59,11 +62,11 @@ def coastline_documents(
         ),
         "long_segments",
     )
-    issues = issue_summary(lines, landmarks, keys, long_km).groupBy(*keys).agg(
+    issues = count_issues(comparison.select(*keys), longs, found, keys, long_km).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("warning_type", F.col("issues").alias("count"), "threshold_km"))).alias("summary")
     )
     numbered = Window.partitionBy(*keys).orderBy("landmark")
-    repeated = repeated_landmarks(lines, landmarks, keys).withColumn("_n", F.row_number().over(numbered) - 1)
+    repeated = found.withColumn("_n", F.row_number().over(numbered) - 1)
     repeated = _paged(
         repeated, keys, "_n", F.struct(F.col("landmark").alias("name"), F.col("vertices").alias("count")), "duplicate_locations"
     )

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from strandline.operators import simplify
+from strandline.operators import quality, simplify
 from strandline.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -34,5 +34,13 @@ def test_intervals_are_split_together():
 
 def test_kept_vertices_are_found_once(spark):
     """Their numbering reads them twice, and each read split all lines again."""
-    for name in ("g12_simplify_compare",):
+    for name in ("g12_simplify_compare", "s14_coastline_document"):
         assert "MapIn" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_landmarks_are_met_once(spark, monkeypatch):
+    """The document's list and its issues each met all vertices with the landmarks."""
+    calls, met = [], quality.nearest_landmark
+    monkeypatch.setattr(quality, "nearest_landmark", lambda *a, **k: calls.append(1) or met(*a, **k))
+    QUERIES["s14_coastline_document"](spark, SF)
+    assert len(calls) == 1
