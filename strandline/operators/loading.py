@@ -41,7 +41,8 @@ def read_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sequence_id, seq, lat, lon) of point arrays and GeoJSON documents, and their rejects."""
     head = F.substring(F.trim("payload"), 1, 1)
     arrays, objects = docs.where(head == "["), docs.where(head == "{")
-    parsed = parse_geojson(objects)
+    # read twice, for vertices and for rejects
+    parsed = stored(parse_geojson(objects).select("doc_id", "reason", F.when(F.col("reason").isNull(), F.col("sequences")).alias("sequences")), "parsed")
     points = parse_points(arrays).select("doc_id", F.lit(0).alias("sequence_id"), "seq", "lat", "lon")
     other = docs.where(F.coalesce(~head.isin("[", "{"), F.lit(True)))
     other = other.select("doc_id", F.when(F.coalesce(F.length(F.trim("payload")), F.lit(0)) == 0, "empty payload").otherwise("unsupported payload").alias("reason"))
@@ -59,14 +60,16 @@ def chosen_sequences(
 
     Bounds clip GeoJSON only; a point array is taken as it is.
     """
+    docs = stored(docs.select("doc_id", "payload"), "documents")
     rows, unread = read_lines(docs)
     rows = stored(rows, "sequences")
-    is_array = docs.where(F.trim("payload").startswith("[")).select("doc_id")
+    is_array = stored(docs.where(F.trim("payload").startswith("[")).select("doc_id"), "arrays")
     clipped = rows
     if any(box):
         runs = clip_runs(rows.join(is_array, "doc_id", "left_anti"), box, [*DOC, "sequence_id"])
         runs = runs.withColumn("sequence_id", F.col("sequence_id").cast("bigint") * (1 << 32) + F.col("run_id")).drop("run_id")
-        clipped = rows.join(is_array, "doc_id", "left_semi").unionByName(renumber(runs, [*DOC, "sequence_id"]))
+        renumbered = renumber(stored(runs, "runs"), [*DOC, "sequence_id"])
+        clipped = stored(rows.join(is_array, "doc_id", "left_semi").unionByName(renumbered), "clipped")
     best = longest_sequence(clipped, DOC, "sequence_id")
     line = stored(clipped.join(best.select(*DOC, "sequence_id"), [*DOC, "sequence_id"]).drop("sequence_id"), "lines")
     opened = stored(open_rings(line, DOC), "opened")
@@ -91,7 +94,6 @@ def load_lines(
     coordinate out of range, fewer than two distinct vertices, and a line that crosses itself
     in its best order.
     """
-    docs = stored(docs.select("doc_id", "payload"), "documents")
     line, rejects = chosen_sequences(docs, box)
     range_ = coordinate_violations(line, DOC)
     range_ = range_.select("doc_id", F.concat(F.lit("invalid "), F.col("rule")).alias("reason"), F.lit("range").alias("stage"))
